@@ -4,9 +4,9 @@ Two rule dialects exist.  *Globs* (built-in excludes, includes) test a whole
 path.  *Ignore rules* (rule files, user excludes) are ordered, may be negated,
 apply to directories as well, and cascade from the pack root downwards.
 
-Rule files are rows of the corpus.  Their patterns are translated once per
-distinct pattern, gathered into one array per (pack, directory) and joined to
-the paths below that directory; the verdict itself is a row-local expression.
+Rule files are rows of the corpus.  Their translated patterns are gathered into
+one array per (pack, directory) and joined to the paths below that directory;
+the verdict itself is a row-local expression.
 """
 
 from __future__ import annotations
@@ -151,18 +151,11 @@ def rule_lines(files: DataFrame) -> DataFrame:
 def rule_sets(lines: DataFrame) -> DataFrame:
     """One ordered array of translated rules per (pack, base).
 
-    A rule array is as long as the rule files of one directory.  Patterns are
-    translated per distinct text before they are gathered.
+    A rule array is as long as the rule files of one directory.
     """
-    known = (
-        lines.select("pattern")
-        .distinct()
-        .withColumn("rule", rule_regex_udf("pattern"))
-        .filter(F.col("rule.regex").isNotNull())
-    )
+    translated = lines.withColumn("rule", rule_regex_udf("pattern")).filter("rule.regex IS NOT NULL")
     return (
-        lines.join(known, "pattern")
-        .groupBy("pack_id", "base", "depth")
+        translated.groupBy("pack_id", "base", "depth")
         .agg(
             F.sort_array(
                 F.collect_list(F.struct("source", "line_no", "rule.regex", "rule.negated"))
