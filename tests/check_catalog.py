@@ -17,7 +17,7 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
 
     spark = build(
         master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(sf_dir), entry.oracle_sql(), 0
