@@ -226,29 +226,57 @@ def _styled(spark, sf_dir):
     return docs.select("doc_id", F.array_join(styled, "\n").alias("content"))
 
 
-@query("p14_strip_by_extension", with_views(
-    r"""SELECT pack_id, path, CASE
+# The same segmentation in a regex subset without possessive quantifiers.
+C_SEGMENTS_SQL = (
+    r'''"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*["\n]?|''[^''\\\n]*(?:\\[\s\S][^''\\\n]*)*[''\n]?'''
+    r'''|`[^`\\]*(?:\\[\s\S][^`\\]*)*`?|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|[^"''`/]+|[\s\S]'''
+)
+
+
+def strip_c_sql(content: str) -> str:
+    bare = (
+        f"array_to_string(list_transform(regexp_extract_all({content}, '{C_SEGMENTS_SQL}'), lambda s: CASE "
+        "WHEN starts_with(s, '//') THEN '' WHEN starts_with(s, '/*') THEN regexp_replace(s, '[^\n]+', '', 'g') ELSE s END), '')"
+    )
+    return (
+        f"array_to_string(list_transform(list_filter(list_zip(string_split({bare}, chr(10)), string_split({content}, chr(10))), "
+        r"lambda p: regexp_matches(p[1], '\S') OR NOT regexp_matches(p[2], '\S')), lambda p: p[1]), chr(10))"
+    )
+
+
+@query(
+    "p14_strip_by_extension",
+    with_views(
+        rf"""SELECT pack_id, path, CASE
           WHEN path LIKE '%.py' THEN array_to_string(list_filter(string_split(content, chr(10)), lambda l: NOT regexp_matches(l, '^\s*#')), chr(10))
           WHEN path LIKE '%.sql' THEN array_to_string(list_filter(string_split(content, chr(10)), lambda l: NOT regexp_matches(l, '^\s*--')), chr(10))
-          WHEN path LIKE '%.html' OR path LIKE '%.md' THEN regexp_replace(content, '<!--[^\n]*?-->', '', 'g')
+          WHEN path LIKE '%.html' OR path LIKE '%.md' THEN regexp_replace(content, '<!--[\s\S]*?-->', '', 'g')
+          WHEN path LIKE '%.ts' OR path LIKE '%.go' THEN {strip_c_sql('content')}
           ELSE content END AS content
-        FROM (SELECT pack_id, path, concat('# a', chr(10), content, chr(10), '-- b', chr(10), '<!-- c -->', chr(10), 'x <!-- d --> y') AS content
-              FROM files WHERE NOT regexp_matches(path, '\.(ts|go)$'))""",
-    v.FILES))
+        FROM (SELECT pack_id, path, concat('# a // z', chr(10), content, chr(10), '-- b', chr(10), '<!-- c -->', chr(10), 'x <!-- d --> y') AS content
+              FROM files)""",
+        v.FILES,
+    ),
+)
 def p14(spark, sf_dir):
-    files = tables.files(spark, sf_dir).filter(~F.rlike("path", F.lit(r"\.(ts|go)$")))
-    dressed = F.concat(F.lit("# a\n"), "content", F.lit("\n-- b\n<!-- c -->\nx <!-- d --> y"))
-    return files.withColumn("content", dressed).select(
+    dressed = F.concat(F.lit("# a // z\n"), "content", F.lit("\n-- b\n<!-- c -->\nx <!-- d --> y"))
+    return tables.files(spark, sf_dir).withColumn("content", dressed).select(
         "pack_id", "path", shape.strip_comments(F.col("path"), F.col("content")).alias("content")
     )
 
 
-@query("p14a_strip_c_comments")
+QUOTED = """quoted AS (
+  SELECT doc_id, concat(array_to_string(ls, chr(10)), chr(10), 'const u = "http://x/*y*/"; // tail', chr(10), '/* open', chr(10),
+    array_to_string(ls, chr(10))) AS content FROM styled)"""
+
+
+@query(
+    "p14a_strip_c_comments",
+    with_views(f"SELECT doc_id, {strip_c_sql('content')} AS content FROM quoted", STYLED, QUOTED),
+)
 def p14a(spark, sf_dir):
-    """Rows only: string-safe segmentation needs possessive regexes SQL engines lack."""
-    files = _styled(spark, sf_dir)
     quoted = F.concat("content", F.lit('\nconst u = "http://x/*y*/"; // tail\n/* open\n'), "content")
-    return files.withColumn("content", quoted).select(
+    return _styled(spark, sf_dir).withColumn("content", quoted).select(
         "doc_id", shape.strip_c_comments(F.col("content")).alias("content")
     )
 
@@ -266,11 +294,14 @@ def p14b(spark, sf_dir):
 
 @query(
     "p14c_strip_html_comments",
-    r"SELECT page_id, regexp_replace(html, '<!--[^\n]*?-->', '', 'g') AS html FROM pages WHERE NOT regexp_matches(html, '<!--[^\n]*\n')",
+    """WITH c AS (SELECT page_id, concat(html, chr(10), '<!-- a', chr(10), page_id, ' -->tail<!--') AS html FROM pages)
+       SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<!--[\\s\\S]*?(?:-->|\\z)|[^<]+|<'), lambda s:
+         CASE WHEN NOT starts_with(s, '<!--') THEN s WHEN ends_with(s, '-->') AND length(s) > 6
+           THEN regexp_replace(s, '[^\\n]+', '', 'g') ELSE '' END), '') AS html FROM c""",
 )
 def p14c(spark, sf_dir):
-    one_line = ~F.rlike("html", F.lit("<!--[^\n]*\n"))
-    pages = tables.table(spark, sf_dir, "pages").filter(one_line)
+    tail = F.concat("html", F.lit("\n<!-- a\n"), F.col("page_id").cast("string"), F.lit(" -->tail<!--"))
+    pages = tables.table(spark, sf_dir, "pages").withColumn("html", tail)
     return pages.select("page_id", shape.strip_html_comments(F.col("html")).alias("html"))
 
 
