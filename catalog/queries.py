@@ -1,13 +1,6 @@
 """All registered queries."""
 
-import importlib
-
+from catalog import documents, relations, scalars, scans  # noqa: F401
 from catalog.registry import QUERIES, SQL
 
-for _name in ("scans", "scalars", "relations", "documents"):
-    try:
-        importlib.import_module(f"catalog.{_name}")
-    except ModuleNotFoundError as e:
-        print(e)
-
 __all__ = ["QUERIES", "SQL"]

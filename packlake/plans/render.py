@@ -287,6 +287,13 @@ def tree_only(plan: Pack) -> DataFrame:
     return tree.tree_lines(plan.stats, plan.spec.max_file_kb, plan.spec.collation)
 
 
+def tree_sections(plan: Pack) -> DataFrame:
+    """The tree as section rows, for :func:`volumes` or :func:`write_text` (K6)."""
+    b = _Builder(plan)
+    b.tree()
+    return b.union()
+
+
 def _placed(rows: DataFrame, measure: Column) -> DataFrame:
     """Add ``offset``: the sum of ``measure`` over the sections before this one.
 
