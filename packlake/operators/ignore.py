@@ -218,34 +218,33 @@ def ignored_paths(files: DataFrame, sets: DataFrame, excludes: list[str] | None
     ``excludes`` are root-level rules after those of the rule files.
     """
     compiled = [r for r in map(rule_regex, excludes or []) if r]
-    keyed = files.select("pack_id", "path")
-
-    root = sets.filter(F.col("base") == F.lit("")).select("pack_id", "rules")
-    at_root = join_per_pack(keyed, root, ["pack_id"])
+    levels = files.select(
+        "pack_id",
+        "path",
+        F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.col("path")))).alias("base"),
+    )
+    how = "left" if compiled else "inner"
+    ruled = join_per_pack(levels, sets.select("pack_id", "base", "rules"), ["pack_id", "base"], how)
+    at_root = F.col("base") == F.lit("")
+    if compiled:
+        ruled = ruled.filter(F.col("rules").isNotNull() | at_root)
+    rest = F.when(at_root, F.col("path")).otherwise(F.expr("substr(path, length(base) + 2)"))
 
     def decide(subject: Column) -> Column:
         from_files = F.coalesce(_last_match(subject, F.col("rules")), F.lit(0))
         if not compiled:
             return from_files
         extra = _last_match_fixed(subject, compiled)
-        return F.when(extra != 0, extra).otherwise(from_files)
-
-    root_verdict = at_root.select(
-        "pack_id", "path", F.lit(0).alias("depth"), _level_verdict(F.col("path"), decide).alias("verdict")
-    )
+        return F.when(at_root & (extra != 0), extra).otherwise(from_files)
 
-    below = keyed.withColumn("base", F.explode(paths.ancestors(F.col("path"))))
-    inner = join_per_pack(
-        below, sets.filter(F.col("base") != F.lit("")), ["pack_id", "base"], how="inner"
-    ).withColumn("rest", F.expr("substr(path, length(base) + 2)"))
-    nested_verdict = inner.select(
-        "pack_id",
-        "path",
-        "depth",
-        _level_verdict(F.col("rest"), lambda p: _last_match(p, F.col("rules"))).alias("verdict"),
-    )
     return (
-        root_verdict.unionByName(nested_verdict)
+        ruled.withColumn("rest", rest)
+        .select(
+            "pack_id",
+            "path",
+            paths.depth(F.col("base")).alias("depth"),
+            _level_verdict(F.col("rest"), decide).alias("verdict"),
+        )
         .filter(F.col("verdict") != 0)
         .groupBy("pack_id", "path")
         .agg(F.max_by("verdict", "depth").alias("verdict"))

@@ -79,31 +79,31 @@ def restrict_by_table(files: DataFrame, scan_paths: DataFrame) -> DataFrame:
     return files.join(keys, ["pack_id", "path"], "left_semi")
 
 
-def select_files(files: DataFrame, spec: PackSpec) -> DataFrame:
+def select_files(files: DataFrame, spec: PackSpec, facts: DataFrame | None = None) -> DataFrame:
     """Mark every scanned file as kept, pruned or suspicious.
 
     Adds ``is_candidate`` (survives the built-in excludes), ``is_selected``
-    (survives rules, or is force-included) and ``is_suspicious``.  The rule
-    cascade works on paths only; the text joins its result by the unique
+    (survives rules, or is force-included) and ``is_suspicious`` to ``facts``,
+    a narrow table with a row per file, or to ``files`` itself.  The rule
+    cascade works on paths only and meets the rows again on the unique
     (pack_id, path) key, which no hot pack can skew.
     """
-    scanned = restrict(files, spec.scan_paths)
-    candidate = scanned.filter(~ignore.is_default_excluded(F.col("path")))
-    at_root = F.col("base") == F.lit("")
-    lines = ignore.rule_lines(files).filter(at_root).unionByName(
-        ignore.rule_lines(scanned).filter(~at_root)
-    )
-    rejected = ignore.ignored_paths(candidate, ignore.rule_sets(lines), spec.root_rules())
+    rows = files if facts is None else facts
+    entries = clean_scan_paths(spec.scan_paths)
+    in_scan = under_any(F.col("path"), entries) if entries else F.lit(True)
     included = ignore.matches_any(F.col("path"), spec.includes)
-    # force-includes reach beyond the scan paths, like the root itself does
-    reach = files if spec.includes else scanned
-    in_scan = under_any(F.col("path"), clean_scan_paths(spec.scan_paths)) if spec.scan_paths else F.lit(True)
+    candidate = in_scan & ~ignore.is_default_excluded(F.col("path"))
+    lines = ignore.rule_lines(files)
+    if entries:
+        lines = lines.filter((F.col("base") == F.lit("")) | under_any(F.col("base"), entries))
+    rejected = ignore.ignored_paths(
+        files.filter(candidate), ignore.rule_sets(lines), spec.root_rules()
+    )
     return (
-        reach.join(rejected.withColumn("_rejected", F.lit(True)), ["pack_id", "path"], "left")
-        .withColumn("is_candidate", in_scan & ~ignore.is_default_excluded(F.col("path")))
-        .withColumn(
-            "is_selected", (F.col("is_candidate") & F.col("_rejected").isNull()) | included
-        )
+        rows.filter(in_scan | included)
+        .join(rejected.withColumn("_rejected", F.lit(True)), ["pack_id", "path"], "left")
+        .withColumn("is_candidate", candidate)
+        .withColumn("is_selected", (candidate & F.col("_rejected").isNull()) | included)
         .withColumn("is_suspicious", is_suspicious_path(F.col("path")))
         .drop("_rejected")
     )

@@ -47,9 +47,16 @@ def tech_stack(files: DataFrame) -> DataFrame:
     Reads unredacted text of manifests only.  Packs without any are absent.
     """
     names = [fixed.MANIFEST, *fixed.FILENAME_TECH]
+    found = files.filter(paths.basename(F.col("path")).isin(names)).select(
+        "pack_id", file_technologies(F.col("path"), F.col("content")).alias("techs")
+    )
+    return gather(found)
+
+
+def gather(found: DataFrame) -> DataFrame:
+    """Distinct sorted union of the ``techs`` arrays of each pack; combined map-side."""
     return (
-        files.filter(paths.basename(F.col("path")).isin(names))
-        .select("pack_id", F.explode(file_technologies(F.col("path"), F.col("content"))).alias("tech"))
+        found.select("pack_id", F.explode("techs").alias("tech"))
         .groupBy("pack_id")
         .agg(F.sort_array(F.collect_set("tech")).alias("tech_stack"))
     )

@@ -1,8 +1,9 @@
 """The whole packing plan: select, shape, redact, count, budget.
 
-Narrow facts (paths, token counts) are written once; everything that orders,
-sums or cuts a pack works on them.  Text is only touched row-locally and joins
-the facts back on the unique (pack_id, path) key.
+One pass over the text derives narrow facts (flags, token counts, technologies)
+row by row, without a shuffle of text.  Everything that selects, orders, sums or
+cuts a pack works on those facts, which are written once.  Text is read again
+only to be rendered, and then meets its facts on the unique (pack_id, path) key.
 """
 
 from __future__ import annotations
@@ -15,14 +16,11 @@ from pyspark.sql import functions as F
 from packlake import fixed
 from packlake.functions import redact as secrets
 from packlake.functions import shape as shaping
-from packlake.functions import text, tokens
+from packlake.functions import paths, text, tokens
 from packlake.operators import budget, history, order, rollup, scan, stack
 from packlake.session import materialize
 from packlake.spec import PackSpec, resolve_persona
 
-MIN_COLUMNS = ["pack_id", "path", "size_bytes", "content"]
-
-
 def shaped(files: DataFrame, spec: PackSpec) -> DataFrame:
     """Shape text of files that have any (P17); records lengths before and after."""
     active = spec.compress or spec.remove_comments or spec.remove_blank_lines
@@ -56,35 +54,61 @@ def counted(files: DataFrame, spec: PackSpec) -> DataFrame:
     )
 
 
-def _with_omitted(files: DataFrame, stats: DataFrame) -> DataFrame:
-    """Replace ``is_omitted`` by the budget's verdict and blank the text of omitted files."""
-    omitted = stats.filter("is_omitted").select("pack_id", "path", "is_omitted")
-    return (
-        files.drop("is_omitted")
-        .join(omitted, ["pack_id", "path"], "left")
-        .withColumn("is_omitted", F.coalesce("is_omitted", F.lit(False)))
-        .withColumn("content", F.when(~F.col("is_omitted"), F.col("content")))
-    )
+def facts(files: DataFrame, spec: PackSpec) -> DataFrame:
+    """Narrow facts of every file; row-local, so the text is never shuffled."""
+    keep = ["pack_id", "path", "size_bytes", "is_binary", "is_oversized", "has_content", "redactions", "tokens"]
+    flagged = scan.add_flags(files, spec.max_file_bytes)
+    techs = stack.file_technologies(F.col("path"), F.col("content"))
+    return counted(flagged.withColumn("techs", techs), spec).select(*keep, "techs")
 
 
 @dataclass
 class Pack:
-    """Result of :func:`pack`: lazily evaluated tables keyed by pack_id."""
+    """Result of :func:`pack`: tables keyed by pack_id.
+
+    ``stats`` and ``totals`` are narrow and written; ``text`` is lazy.
+    """
 
     spec: PackSpec
-    files: DataFrame  # with final text, flags, tokens, is_omitted
-    stats: DataFrame  # narrow and materialised: pack_id, path, tokens, flags, order columns
+    source: DataFrame
+    selection: DataFrame  # every scanned path with its selection flags
+    stats: DataFrame  # one row per packed file
     totals: DataFrame  # one row per pack
-    suspicious: DataFrame
-    prune: DataFrame
-    log: DataFrame | None
-    diffs: DataFrame | None
+    log: DataFrame | None = None
+    diffs: DataFrame | None = None
+
+    @property
+    def files(self) -> DataFrame:
+        """Packed files with their final text; null text where none is inlined."""
+        shown = self.stats.select(
+            "pack_id", "path", "size_bytes", "tokens", "has_content", "is_binary", "is_oversized", "is_omitted",
+            *(["churn"] if "churn" in self.stats.columns else []),
+        )
+        raw = "raw" if "raw" in self.source.columns else "content"
+        body = self.source.select("pack_id", "path", F.col(raw).cast("string").alias("content"))
+        joined = body.join(shown, ["pack_id", "path"]).withColumn(
+            "content", F.when(F.col("has_content"), F.col("content"))
+        )
+        final = shaped(joined, self.spec)
+        if self.spec.redact:
+            final = final.withColumn("content", secrets.redacted(F.col("content")))
+        return final
 
     @property
     def omitted(self) -> DataFrame:
         """Paths dropped for the budget (Q4)."""
         return self.stats.filter("is_omitted").select("pack_id", "path", "tokens_before")
 
+    @property
+    def suspicious(self) -> DataFrame:
+        """Credential-shaped files left out."""
+        return scan.suspicious(self.selection)
+
+    @property
+    def prune(self) -> DataFrame:
+        """Prune counts."""
+        return scan.prune_counts(self.selection)
+
     def order_keys(self):
         return order.order_keys(self.spec.sort, self.spec.collation)
 
@@ -97,57 +121,48 @@ def pack(
     changed: DataFrame | None = None,
     diffs: DataFrame | None = None,
 ) -> Pack:
-    """Plan a run over a ``files`` table (pack_id, path, size_bytes, content or raw)."""
+    """Plan a run over a ``files`` table (pack_id, path, size_bytes, content or raw).
+
+    (pack_id, path) is unique.  ``diffs`` holds one diff text per pack.
+    """
     if spec.changed_only and changed is None:
         raise ValueError("changed_only needs a table of changed paths")
     if spec.sort == "churn" and touches is None:
         raise ValueError("sorting by churn needs a table of touches")
 
-    selected = scan.select_files(files, spec)
-    flagged = scan.add_flags(scan.kept(selected), spec.max_file_bytes)
+    selection = materialize(scan.select_files(files, spec, facts(files, spec)))
+    stats = scan.kept(selection)
     if spec.changed_only:
-        flagged = history.only_changed(flagged, changed)
+        stats = history.only_changed(stats, changed)
     if spec.sort == "churn":
-        flagged = history.with_churn(flagged, history.churn(touches, spec.churn_commits))
+        stats = history.with_churn(stats, history.churn(touches, spec.churn_commits))
+    if spec.changed_only or spec.sort == "churn":
+        stats = materialize(stats)
 
-    full = counted(flagged, spec)
-    narrow = ["pack_id", "path", "size_bytes", "tokens", "has_content", "redactions"]
-    narrow += ["is_binary", "is_oversized", *(["churn"] if spec.sort == "churn" else [])]
-    stats = materialize(full.select(*narrow))
-    if spec.max_tokens is not None:
+    stats = stats.withColumn("tokens_before", F.col("tokens"))
+    if spec.max_tokens is None:
+        stats = stats.withColumn("is_omitted", F.lit(False))
+    else:
         keys = order.order_keys(spec.sort, spec.collation)
         stats = budget.mark_omitted(stats, spec.max_tokens, keys)
-        full, flagged = _with_omitted(full, stats), _with_omitted(flagged, stats)
-    else:
-        stats = stats.withColumn("is_omitted", F.lit(False))
-    gone = F.col("is_omitted")
-    stats = (
-        stats.withColumn("tokens_before", F.col("tokens"))
-        .withColumn("tokens", F.when(gone, F.lit(0)).otherwise(F.col("tokens")).cast("bigint"))
-        .withColumn("redactions", F.when(gone, F.lit(0)).otherwise(F.col("redactions")).cast("bigint"))
-        .withColumn("has_content", F.col("has_content") & ~gone)
-    )
-    full = (
-        full.withColumn("tokens", F.when(gone, F.lit(0)).otherwise(F.col("tokens")).cast("bigint"))
-        .withColumn("redactions", F.when(gone, F.lit(0)).otherwise(F.col("redactions")).cast("bigint"))
-        .withColumn("has_content", F.col("has_content") & ~gone)
-    )
-    totals = (
-        stats.groupBy("pack_id")
-        .agg(
-            F.count(F.lit(1)).alias("total_files"),
-            F.sum("tokens").cast("bigint").alias("total_tokens"),
-            F.sum("redactions").cast("bigint").alias("redactions"),
-            F.count_if("is_omitted").alias("omitted_files"),
+        gone, none = F.col("is_omitted"), F.lit(0).cast("bigint")
+        manifest = paths.basename(F.col("path")) == F.lit(fixed.MANIFEST)
+        stats = materialize(
+            stats.withColumn("tokens", F.when(gone, none).otherwise(F.col("tokens")))
+            .withColumn("redactions", F.when(gone, none).otherwise(F.col("redactions")))
+            .withColumn("has_content", F.col("has_content") & ~gone)
+            .withColumn("techs", F.when(~(gone & manifest), F.col("techs")))
         )
-        .join(stack.tech_stack(flagged), "pack_id", "left")
-    )
+    totals = stats.groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("total_files"),
+        F.sum("tokens").cast("bigint").alias("total_tokens"),
+        F.sum("redactions").cast("bigint").alias("redactions"),
+        F.count_if("is_omitted").alias("omitted_files"),
+    ).join(stack.gather(stats.filter("techs IS NOT NULL")), "pack_id", "left")
     log = None
     if spec.log_commits is not None and commits is not None:
         log = history.commit_log(commits, spec.log_commits)
-    return Pack(
-        spec, full, stats, totals, scan.suspicious(selected), scan.prune_counts(selected), log, diffs
-    )
+    return Pack(spec, files, selection, stats, materialize(totals), log, diffs)
 
 
 def task_text(spec: PackSpec) -> str | None:
