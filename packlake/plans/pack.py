@@ -8,7 +8,7 @@ only to be rendered, and then meets its facts on the unique (pack_id, path) key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from packlake import fixed
 from packlake.functions import redact as secrets
 from packlake.functions import shape as shaping
 from packlake.functions import paths, text, tokens
-from packlake.operators import budget, history, order, rollup, scan, stack
+from packlake.operators import bpe, budget, history, order, rollup, scan, stack
 from packlake.session import materialize
 from packlake.spec import PackSpec, resolve_persona
 
@@ -46,6 +46,8 @@ def counted(files: DataFrame, spec: PackSpec) -> DataFrame:
         )
     else:
         out = out.withColumn("redactions", F.lit(0).cast("bigint"))
+    if spec.token_mode == "bpe":  # counted apart, see _with_bpe
+        return out.withColumn("tokens", F.lit(0).cast("bigint"))
     return out.withColumn(
         "tokens",
         F.when(
@@ -62,6 +64,18 @@ def facts(files: DataFrame, spec: PackSpec) -> DataFrame:
     return counted(flagged.withColumn("techs", techs), spec).select(*keep, "techs")
 
 
+def _with_bpe(files: DataFrame, narrow: DataFrame, spec: PackSpec, ranks: DataFrame) -> DataFrame:
+    """Exact token counts of the shaped, redacted text in place of the estimate."""
+    estimated = replace(spec, token_mode="pretoken")
+    texts = counted(scan.add_flags(files, spec.max_file_bytes), estimated).filter("has_content")
+    exact = bpe.count_bpe(texts.select("pack_id", "path", "content"), ranks, spec.encoding)
+    return (
+        narrow.drop("tokens")
+        .join(exact, ["pack_id", "path"], "left")
+        .withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("bigint")))
+    )
+
+
 @dataclass
 class Pack:
     """Result of :func:`pack`: tables keyed by pack_id.
@@ -120,17 +134,24 @@ def pack(
     commits: DataFrame | None = None,
     changed: DataFrame | None = None,
     diffs: DataFrame | None = None,
+    ranks: DataFrame | None = None,
 ) -> Pack:
     """Plan a run over a ``files`` table (pack_id, path, size_bytes, content or raw).
 
-    (pack_id, path) is unique.  ``diffs`` holds one diff text per pack.
+    (pack_id, path) is unique.  ``diffs`` holds one diff text per pack; ``ranks``
+    is the rank table of the ``bpe`` token mode.
     """
+    if spec.token_mode == "bpe" and ranks is None:
+        raise ValueError("token mode bpe needs a rank table")
     if spec.changed_only and changed is None:
         raise ValueError("changed_only needs a table of changed paths")
     if spec.sort == "churn" and touches is None:
         raise ValueError("sorting by churn needs a table of touches")
 
-    selection = materialize(scan.select_files(files, spec, facts(files, spec)))
+    narrow = facts(files, spec)
+    if spec.token_mode == "bpe":
+        narrow = _with_bpe(files, narrow, spec, ranks)
+    selection = materialize(scan.select_files(files, spec, narrow))
     stats = scan.kept(selection)
     if spec.changed_only:
         stats = history.only_changed(stats, changed)

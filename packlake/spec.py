@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from packlake import fixed
 
+TOKEN_MODES = ("pretoken", "chars4", "bpe")
 SORTS = ("path", "churn", "size")
 
 
@@ -30,6 +31,7 @@ class PackSpec:
     redact: bool = True
     max_tokens: int | None = None
     token_mode: str = "pretoken"
+    encoding: str = "o200k_base"
     sort: str = "path"
     collation: str = "UNICODE"
     churn_commits: int = fixed.DEFAULT_CHURN_COMMITS
@@ -47,6 +49,10 @@ class PackSpec:
             raise ValueError(
                 f"invalid format {self.format!r}; known: {', '.join(fixed.FORMAT_EXTENSION)}"
             )
+        if self.token_mode not in TOKEN_MODES:
+            raise ValueError(
+                f"unknown token mode {self.token_mode!r}; known: {', '.join(TOKEN_MODES)}"
+            )
         if self.persona is not None:
             resolve_persona(self.persona)
         if self.recipe is not None and self.recipe.lower() not in fixed.RECIPES:
