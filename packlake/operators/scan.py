@@ -136,10 +136,11 @@ def add_flags(files: DataFrame, max_bytes: int = fixed.DEFAULT_MAX_FILE_BYTES) -
     a NUL or are not UTF-8 are binary; binary wins over oversized.
     """
     if "raw" in files.columns:
-        binary = F.contains(F.col("raw"), F.lit(b"\x00")) | ~F.is_valid_utf8(
-            F.col("raw").cast("string")
+        as_text = F.col("raw").cast("string")
+        binary = F.coalesce(
+            F.contains(F.col("raw"), F.lit(b"\x00")) | ~F.is_valid_utf8(as_text), F.lit(False)
         )
-        body = F.col("raw").cast("string")
+        body = as_text
     else:
         binary = F.coalesce(F.contains(F.col("content"), F.lit("\u0000")), F.lit(False))
         body = F.col("content")

@@ -19,6 +19,7 @@ from packlake.functions import shape as shaping
 from packlake.functions import paths, text, tokens
 from packlake.operators import bpe, budget, history, order, rollup, scan, stack
 from packlake.session import materialize
+from packlake.sources import corpus
 from packlake.spec import PackSpec, resolve_persona
 
 def shaped(files: DataFrame, spec: PackSpec) -> DataFrame:
@@ -98,8 +99,7 @@ class Pack:
             "pack_id", "path", "size_bytes", "tokens", "has_content", "is_binary", "is_oversized", "is_omitted",
             *(["churn"] if "churn" in self.stats.columns else []),
         )
-        raw = "raw" if "raw" in self.source.columns else "content"
-        body = self.source.select("pack_id", "path", F.col(raw).cast("string").alias("content"))
+        body = self.source.select("pack_id", "path", "content")
         joined = body.join(shown, ["pack_id", "path"]).withColumn(
             "content", F.when(F.col("has_content"), F.col("content"))
         )
@@ -148,6 +148,8 @@ def pack(
     if spec.sort == "churn" and touches is None:
         raise ValueError("sorting by churn needs a table of touches")
 
+    if "raw" in files.columns:
+        files = files.withColumn("content", corpus.decode())
     narrow = facts(files, spec)
     if spec.token_mode == "bpe":
         narrow = _with_bpe(files, narrow, spec, ranks)

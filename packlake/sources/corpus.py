@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -98,9 +99,10 @@ def from_path_list(
     ``listing`` has pack_id and path relative to ``root``.  Reading is spread
     over tasks of about ``files_per_task`` files.
     """
+    tasks = max(1, math.ceil(listing.count() / files_per_task))
     prefix = os.path.abspath(root) + "/"
     named = listing.select("pack_id", "path", F.concat(F.lit(prefix), F.col("path")).alias("file"))
-    return named.repartition(F.pmod(F.xxhash64("path"), F.lit(files_per_task))).mapInArrow(
+    return named.repartition(tasks, "pack_id", "path").mapInArrow(
         lambda batches: _read_files(batches, max_bytes),
         "pack_id string, path string, size_bytes bigint, raw binary",
     )
