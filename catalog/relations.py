@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.registry import query, with_views
 from packlake import fixed
-from packlake.functions import text
+from packlake.functions import redact, text
 from packlake.operators import budget, history, lookups, order, rollup, scan, stack
 from packlake.operators.spread import top_rows
 from packlake.plans import pack
@@ -237,12 +237,10 @@ def a2(spark, sf_dir):
 @query(
     "a3_total_redactions",
     with_views(
-        "SELECT pack_id, sum(hits)::BIGINT AS redactions FROM r14 GROUP BY 1", v.FILES, *v.redactions_sql("files", "content")
+        "SELECT pack_id, sum(hits)::BIGINT AS redactions FROM " + f"r{len(redact.RULES)}" + " GROUP BY 1", v.FILES, *v.redactions_sql("files", "content")
     ),
 )
 def a3(spark, sf_dir):
-    from packlake.functions import redact
-
     files = redact.redact(tables.files(spark, sf_dir).select("pack_id", "content"))
     return files.groupBy("pack_id").agg(F.sum("redactions").cast("bigint").alias("redactions"))
 
