@@ -1,5 +1,6 @@
 """Rendered documents and questions asked of them."""
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from catalog.registry import query, with_views
 from catalog.scalars import EXT_SQL, _case
 from packlake import fixed
 from packlake.functions import redact
+from packlake.operators.spread import top_rows
 from packlake.plans import pack, render, store
+from packlake.session import checkpoint_dir
 from packlake.sources import tables
 
 TASK = "Review the parts that changed last."
@@ -214,6 +217,20 @@ def k9(spark, sf_dir):
     return _sections(spark, sf_dir, "markdown").filter(F.col("section") >= render.LOG).drop("entry")
 
 
+@query(
+    "k8_text_sink",
+    with_views(
+        "SELECT pack_id, text AS line, count(*) AS n FROM pack_lines GROUP BY ALL", *BASE, PLAIN, DOC_LINES
+    ),
+)
+def k8(spark, sf_dir):
+    """Written as text files per pack below the shared folder, and read back."""
+    folder = f"{checkpoint_dir(spark)}/k8_text_sink-{uuid.uuid4().hex}"
+    render.write_text(render.sections(_plan(spark, sf_dir, "plain")), folder)
+    lines = spark.read.schema("value string, pack_id string").option("lineSep", "\n").text(folder)
+    return lines.groupBy("pack_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 VOLUME = 65_536
 
 
@@ -334,8 +351,6 @@ FILE_HITS = r"""ranked AS (
     with_views("SELECT pack_id, path, line_no, match_no FROM ranked WHERE match_no <= 3", v.FILES, v.LINES, FILE_HITS),
 )
 def o10(spark, sf_dir):
-    from packlake.operators.spread import top_rows
-
     lines = tables.lines(spark, sf_dir).withColumnRenamed("line", "text")
     hits = lines.filter(store.line_predicate(spark, "token|license", ignore_case=True))
     first = top_rows(hits, ["pack_id"], [F.col("path").asc(), F.col("i").asc()], 3, "match_no")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.registry import query, with_views
 from packlake import fixed
-from packlake.functions import redact, text
+from packlake.functions import redact, shape, text
 from packlake.operators import budget, history, lookups, order, rollup, scan, stack
 from packlake.operators.spread import top_rows
 from packlake.plans import pack
@@ -501,8 +501,6 @@ def u2(spark, sf_dir):
     ),
 )
 def a8(spark, sf_dir):
-    from packlake.functions import shape
-
     files = v.flagged(spark, sf_dir).filter(scan.has_content())
     loose = F.replace("content", F.lit(". "), F.lit(".\n \n"))
     sizes = files.select(

@@ -1,12 +1,13 @@
 """Row-local functions (P1-P28) over whole texts."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from catalog import views as v
 from catalog.registry import query, with_views
 from packlake import fixed
 from packlake.functions import paths, redact, shape, text, tokens
-from packlake.operators import order, scan
+from packlake.operators import bpe, lookups, rollup, scan
 from packlake.plans import pack
 from packlake.sources import tables
 from packlake.spec import PackSpec
@@ -82,6 +83,24 @@ def p3_chars4(spark, sf_dir):
     return docs.select("doc_id", tokens.count_tokens(F.col("text"), "chars4").alias("tokens_est"))
 
 
+@query("p3_tokens_bpe")
+def p3_bpe(spark, sf_dir):
+    """Rows only: merging by rank is iterative.  Ranks: single bytes, then letter pairs by frequency."""
+    docs = tables.documents(spark, sf_dir, "doc_id", "text")
+    pairs = (
+        docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?=([a-z]{2}))"), F.lit(1))).alias("pair"))
+        .groupBy("pair")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )  # at most 26 * 26 rows
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "pair"))
+    ranks = pairs.select(F.encode("pair", "UTF-8").alias("token"), (place + 255).alias("rank"))
+    single = spark.range(256).select(
+        F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("token"), F.col("id").cast("int").alias("rank")
+    )
+    files = docs.select("doc_id", F.col("text").alias("content"))
+    return bpe.count_bpe(files, single.unionByName(ranks), "cl100k_base", keys=("doc_id",))
+
+
 @query(
     "p4_line_numbers",
     """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
@@ -475,12 +494,6 @@ def p22(spark, sf_dir):
     ),
 )
 def p24(spark, sf_dir):
-    return _savings(spark, sf_dir)
-
-
-def _savings(spark, sf_dir):
-    from packlake.operators import rollup
-
     files = scan.add_flags(tables.source_like(spark, sf_dir)).filter(scan.has_content())
     skeleton = shape.signatures(F.col("path"), F.col("content"))
     sizes = files.select(
@@ -519,8 +532,6 @@ RECIPE_SQL = "(VALUES " + ", ".join(
         FROM conversations LEFT JOIN {RECIPE_SQL} ON r.name = CASE conv_id % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'audit' END""",
 )
 def p26(spark, sf_dir):
-    from packlake.operators import lookups
-
     turns = tables.table(spark, sf_dir, "conversations")
     name = F.when(F.col("conv_id") % 3 == 0, "Review").when(F.col("conv_id") % 3 == 1, "AUDIT")
     own = F.when(F.col("turn") % 2 == 0, F.col("text"))

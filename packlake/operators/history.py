@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packlake import fixed
 from packlake.functions import text
-from packlake.operators.spread import top_rows
+from packlake.operators.spread import join_per_pack, top_rows
 
 
 def recent_commits(commits: DataFrame, n: int, key: str = "commit_id") -> DataFrame:
@@ -29,7 +29,7 @@ def churn(touches: DataFrame, n: int = fixed.DEFAULT_CHURN_COMMITS) -> DataFrame
     commits = touches.groupBy("pack_id", "commit_id").agg(F.max("ts").alias("ts"))
     newest = recent_commits(commits, n).select("pack_id", "commit_id")
     return (
-        touches.join(newest, ["pack_id", "commit_id"], "left_semi")
+        join_per_pack(touches, newest, ["pack_id", "commit_id"], "left_semi")
         .groupBy("pack_id", "path")
         .agg(F.count(F.lit(1)).alias("churn"))
     )

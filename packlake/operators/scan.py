@@ -9,6 +9,7 @@ from packlake import fixed
 from packlake.functions import paths
 from packlake.functions.redact import is_suspicious_path
 from packlake.operators import ignore
+from packlake.operators.spread import join_per_pack
 from packlake.spec import PackSpec
 
 
@@ -47,32 +48,27 @@ def restrict(files: DataFrame, scan_paths: list[str]) -> DataFrame:
     return files.filter(under_any(F.col("path"), clean_scan_paths(scan_paths))) if scan_paths else files
 
 
+def _prefixes(files: DataFrame) -> DataFrame:
+    """(pack_id, path, entry) with every scan path a file answers to: itself, its directories, the root."""
+    path = F.col("path")
+    entries = F.concat(paths.ancestors(path), F.array(path, F.lit("")))
+    return files.select("pack_id", "path", F.explode(entries).alias("entry"))
+
+
 def missing_scan_paths(files: DataFrame, scan_paths: DataFrame) -> DataFrame:
     """Entries of a ``(pack_id, entry)`` table that name no file or directory."""
-    known = files.select(
-        "pack_id",
-        F.explode(
-            F.concat(paths.ancestors(F.col("path")), F.array(F.col("path"), F.lit("")))
-        ).alias("entry"),
-    )
+    known = _prefixes(files).select("pack_id", "entry").distinct()
     return scan_paths.join(known, ["pack_id", "entry"], "left_anti")
 
 
 def restrict_by_table(files: DataFrame, scan_paths: DataFrame) -> DataFrame:
     """Per-pack scan paths (S2, S3): an equi semi-join on exploded prefixes.
 
-    A file meets each of its own prefixes once, so overlapping entries do not
-    repeat it (U3).
+    A directory entry meets all files below it, so the join is spread by path;
+    a file that meets several overlapping entries is kept once (U3).
     """
     keys = (
-        files.select(
-            "pack_id",
-            "path",
-            F.explode(
-                F.concat(paths.ancestors(F.col("path")), F.array(F.col("path"), F.lit("")))
-            ).alias("entry"),
-        )
-        .join(scan_paths, ["pack_id", "entry"], "left_semi")
+        join_per_pack(_prefixes(files), scan_paths, ["pack_id", "entry"], "left_semi")
         .select("pack_id", "path")
         .distinct()
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from packlake.functions import text
 from packlake.session import spread_small_input
@@ -18,8 +19,15 @@ MANIFEST_TEXT = '{"dependencies":{"react":"1","koa":"2"}}'
 CHANGED_SINCE = "2024-01-30 00:00:00"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the footers once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -230,3 +230,17 @@ def test_bad_options(options):
 def test_missing_history_is_an_error(corpus):
     with pytest.raises(ValueError, match="changed"):
         pack.pack(corpus({"a": "1"}), PackSpec(changed_only=True))
+
+
+def test_facts_of_a_stream_equal_the_batch(corpus, spark, tmp_path):
+    from packlake.streaming.rows import append_facts
+
+    files = corpus({"a.py": "# c\nx = 1\n", "b.txt": 'token = "0123456789abcdef"', "c.txt": ""})
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files.write.parquet(source)
+    stream = spark.readStream.schema(files.schema).parquet(source)
+    spec = PackSpec(remove_comments=True)
+    append_facts(stream, spec, out, str(tmp_path / "cp")).awaitTermination(60)
+    stored = {tuple(r) for r in spark.read.parquet(out).select("path", "tokens", "redactions").collect()}
+    assert stored == {tuple(r) for r in pack.facts(files, spec).select("path", "tokens", "redactions").collect()}
+    assert len(stored) == 3
