@@ -12,7 +12,7 @@ from packlake import fixed
 from packlake.functions import redact
 from packlake.operators.spread import top_rows
 from packlake.plans import pack, render, store
-from packlake.session import checkpoint_dir
+from packlake.session import checkpoint_dir, materialize
 from packlake.sources import tables
 
 TASK = "Review the parts that changed last."
@@ -257,7 +257,8 @@ def a11(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    return store.number_lines(render.sections(_plan(spark, sf_dir)))
+    """Numbered lines, written once as a store would."""
+    return materialize(store.number_lines(render.sections(_plan(spark, sf_dir))))
 
 
 @query("k10_pack_lines", with_views("SELECT pack_id, line_no, text FROM pack_lines", *BASE, MARKDOWN, DOC_LINES))
@@ -280,8 +281,8 @@ def w2(spark, sf_dir):
     with_views("SELECT pack_id, line_no, text FROM pack_lines WHERE line_no BETWEEN 101 AND 160", *BASE, MARKDOWN, DOC_LINES),
 )
 def o13(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    return store.read_page(plan.totals, store.number_lines(render.sections(plan)), 101, 60)
+    lines = _lines(spark, sf_dir)
+    return store.read_page(lines.select("pack_id").distinct(), lines, 101, 60)
 
 
 @query(
@@ -336,9 +337,8 @@ def q2(spark, sf_dir):
     ),
 )
 def q2_headers(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    found = store.grep(store.number_lines(render.sections(plan)), PATTERN)
-    return store.grep_headers(plan.totals, found, PATTERN)
+    lines = _lines(spark, sf_dir)
+    return store.grep_headers(lines.select("pack_id").distinct(), store.grep(lines, PATTERN), PATTERN)
 
 
 FILE_HITS = r"""ranked AS (

@@ -114,6 +114,8 @@ def grep(
     overlap repeat their lines, once per match.
     """
     context = min(context, fixed.MAX_GREP_CONTEXT)
+    if context < 0 or limit < 1:
+        raise ValueError("context is not negative and limit is positive")
     test = line_predicate(lines.sparkSession, pattern, ignore_case)
     hits = top_rows(lines.filter(test), ["pack_id"], [F.col("line_no").asc()], limit, "match_no")
     if context == 0:
@@ -130,19 +132,21 @@ def grep(
 
 
 def grep_text(found: DataFrame, context: int = 0) -> DataFrame:
-    """Printable rows ``n: text`` / ``n- text``, with ``--`` after each block."""
-    row = F.concat(
-        F.col("line_no").cast("string"),
-        F.when(F.col("is_match"), F.lit(": ")).otherwise(F.lit("- ")),
-        F.col("text"),
-    )
-    out = found.select("pack_id", "match_no", "line_no", row.alias("line"))
-    if context == 0:
-        return out
-    stops = found.filter("is_match").select(
-        "pack_id", "match_no", F.lit(None).cast("bigint").alias("line_no"), F.lit("--").alias("line")
+    """Printable rows ``n: text`` / ``n- text``, with ``--`` after each block.
+
+    A separator has no line number and sorts last inside its match.
+    """
+    row = F.struct(
+        F.col("line_no"),
+        F.concat(
+            F.col("line_no").cast("string"),
+            F.when(F.col("is_match"), F.lit(": ")).otherwise(F.lit("- ")),
+            F.col("text"),
+        ).alias("line"),
     )
-    return out.unionByName(stops)
+    stop = F.struct(F.lit(None).cast("bigint").alias("line_no"), F.lit("--").alias("line"))
+    rows = F.when(F.col("is_match") & F.lit(context > 0), F.array(row, stop)).otherwise(F.array(row))
+    return found.select("pack_id", "match_no", F.inline(rows))
 
 
 def grep_headers(
