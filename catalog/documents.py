@@ -404,7 +404,7 @@ def o12(spark, sf_dir):
              (SELECT count(*) FROM final x WHERE x.pack_id = h.pack_id AND is_omitted) AS omitted,
              (SELECT string_agg(path, ', ' ORDER BY path) FILTER (WHERE rn <= 10) || CASE WHEN count(*) > 10 THEN ', …' ELSE '' END
               FROM (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY path) AS rn FROM final WHERE is_omitted) x WHERE x.pack_id = h.pack_id) AS omitted_names,
-             0 AS suspicious
+             0::BIGINT AS suspicious
            FROM header h JOIN counts c USING (pack_id)""",
         *BASE,
         MARKDOWN,

@@ -48,6 +48,19 @@ def restrict(files: DataFrame, scan_paths: list[str]) -> DataFrame:
     return files.filter(under_any(F.col("path"), clean_scan_paths(scan_paths))) if scan_paths else files
 
 
+def require_scan_paths(files: DataFrame, scan_paths: list[str]) -> None:
+    """Fail for an entry that names no file or directory of any pack."""
+    entries = clean_scan_paths(scan_paths)
+    if not entries:
+        return
+    found = files.agg(
+        *[F.max(under_any(F.col("path"), [e])).alias(f"e{i}") for i, e in enumerate(entries)]
+    ).first()
+    for raw, hit in zip(scan_paths, found):
+        if not hit:
+            raise ValueError(f'Path "{raw}" does not exist.')
+
+
 def _prefixes(files: DataFrame) -> DataFrame:
     """(pack_id, path, entry) with every scan path a file answers to: itself, its directories, the root."""
     path = F.col("path")

@@ -148,6 +148,7 @@ def pack(
     if spec.sort == "churn" and touches is None:
         raise ValueError("sorting by churn needs a table of touches")
 
+    scan.require_scan_paths(files, spec.scan_paths)
     if "raw" in files.columns:
         files = files.withColumn("content", corpus.decode())
     narrow = facts(files, spec)

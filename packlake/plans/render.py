@@ -34,6 +34,14 @@ def _rank(files: DataFrame, sort: str) -> Column:
     return (F.col("size_bytes") if sort == "size" else F.lit(0)).cast("bigint")
 
 
+def _log_bodies(log: DataFrame) -> DataFrame:
+    """Commit lines of each pack as one text; the requested number bounds it."""
+    newest_first = F.sort_array(F.collect_list(F.struct("commit_no", "line")))
+    return log.groupBy("pack_id").agg(
+        F.array_join(F.transform(newest_first, lambda c: c["line"]), "\n").alias("body")
+    )
+
+
 class _Builder:
     """Collects section rows with one uniform schema."""
 
@@ -82,15 +90,7 @@ class _Builder:
         """Commit lines of a pack; bounded by the requested number of commits."""
         if self.plan.log is None:
             return
-        joined = self.plan.log.groupBy("pack_id").agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct("commit_no", "line"))), lambda c: c["line"]
-                ),
-                "\n",
-            ).alias("body")
-        )
-        self.add(joined, LOG, body_of(F.col("body")))
+        self.add(_log_bodies(self.plan.log), LOG, body_of(F.col("body")))
 
     def diff(self, body_of) -> None:
         """Diff text comes as rows (pack_id, diff); blank ones render nothing."""
@@ -377,11 +377,21 @@ def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
         F.lit(fixed.BRAND).alias("generator"),
     )
     document = F.struct(
-        metadata.alias("metadata"), "tree", "files", F.lit(task_text(spec)).cast("string").alias("task")
+        metadata.alias("metadata"),
+        "tree",
+        "files",
+        F.lit(task_text(spec)).cast("string").alias("task"),
+        F.col("diff").alias("gitDiff"),
+        F.col("body").alias("gitLog"),
     )
+    none = plan.totals.select("pack_id").limit(0)
+    log = none.withColumn("body", F.lit("")) if plan.log is None else _log_bodies(plan.log)
+    diffs = none.withColumn("diff", F.lit("")) if plan.diffs is None else plan.diffs
     return (
         plan.totals.join(files, "pack_id")
         .join(lines, "pack_id")
+        .join(log, "pack_id", "left")
+        .join(diffs.filter(~text.is_blank(F.col("diff"))), "pack_id", "left")
         .select("pack_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
     )
 

@@ -9,7 +9,7 @@ import sys
 import time
 
 from packlake.session import build
-from tests.oracle import compare, connect
+from tests.oracle import compare, connect, type_differences
 
 
 def main(sf_dir: str, prefixes: list[str]) -> int:
@@ -29,6 +29,9 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
             df = fn(spark, sf_dir)
             if name in sql:
                 problem = compare(df, con, sql[name])
+                kinds = type_differences(df, con, sql[name])
+                if kinds:
+                    print("    types differ:", name, kinds, flush=True)
             else:
                 problem = None if df.count() > 0 else "no rows"
         except Exception as error:  # report and go on

@@ -56,3 +56,19 @@ def compare(df, con, sql) -> str | None:
         right = [r for r in theirs if r not in set(mine)]
         return f"rows {len(mine)} vs {len(theirs)}; only here {left[:3]}; only there {right[:3]}"
     return None
+
+
+_SAME = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE",
+    "timestamp": "TIMESTAMP",
+}
+
+
+def type_differences(df, con, sql) -> list[str]:
+    """Columns whose types are not each other's counterpart."""
+    theirs = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"{name}: {kind} / {theirs[name]}"
+        for name, kind in df.dtypes
+        if name in theirs and _SAME.get(kind) != theirs[name]
+    ]

@@ -227,6 +227,24 @@ def test_bad_options(options):
         PackSpec(**options)
 
 
+def test_missing_scan_path_is_an_error(corpus):
+    files = corpus({"a/b.ts": "1", "c.ts": "2"})
+    with pytest.raises(ValueError, match='Path "nope" does not exist'):
+        pack.pack(files, PackSpec(scan_paths=["a", "nope"]))
+    assert [r.path for r in pack.pack(files, PackSpec(scan_paths=["a"])).stats.collect()] == ["a/b.ts"]
+
+
+def test_json_document_carries_history(corpus, spark):
+    files = corpus({"a.ts": "1"})
+    packs = files.select("pack_id").distinct()
+    commits = packs.select(
+        "pack_id", F.lit("abcdef0123").alias("hash"), F.lit("2024-05-06").cast("timestamp").alias("ts"), F.lit("fix").alias("subject")
+    )
+    plan = pack.pack(files, PackSpec(format="json", log_commits=3), commits=commits, diffs=packs.withColumn("diff", F.lit("+x")))
+    parsed = json.loads(render.json_documents(plan).first().document)
+    assert (parsed["gitDiff"], parsed["gitLog"], parsed["task"]) == ("+x", "abcdef0 2024-05-06 fix", None)
+
+
 def test_missing_history_is_an_error(corpus):
     with pytest.raises(ValueError, match="changed"):
         pack.pack(corpus({"a": "1"}), PackSpec(changed_only=True))
