@@ -1,8 +1,8 @@
 """Headline queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; prints one JSON line.
 
 Every query computes all its rows and columns into a no-op sink.  Each is run
-twice in one session and the faster run counts, so that JVM start-up and code
-generation are left out; ``first_run`` holds the first timings.
+three times in one session and the fastest run counts, so that JVM start-up and
+code generation are left out; ``first_run`` holds the first timings.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def main() -> None:
         todo[name] = lambda s, q=registered.QUERIES[name]: q(s, SF_DIR)
     first, best = {}, {}
     for name, query in todo.items():
-        for run in range(2):
+        for _ in range(3):
             start = time.perf_counter()
             query(spark).write.format("noop").mode("overwrite").save()
             seconds = round(time.perf_counter() - start, 3)

@@ -10,6 +10,7 @@ from packlake.functions import paths
 from packlake.functions.redact import is_suspicious_path
 from packlake.operators import ignore
 from packlake.operators.spread import join_per_pack
+from packlake.session import materialize
 from packlake.spec import PackSpec
 
 
@@ -95,7 +96,8 @@ def select_files(files: DataFrame, spec: PackSpec, facts: DataFrame | None = Non
     (survives rules, or is force-included) and ``is_suspicious`` to ``facts``,
     a narrow table with a row per file, or to ``files`` itself.  The rule
     cascade works on paths only and meets the rows again on the unique
-    (pack_id, path) key, which no hot pack can skew.
+    (pack_id, path) key, which no hot pack can skew.  Without any rule file the
+    verdict is row-local.
     """
     rows = files if facts is None else facts
     entries = clean_scan_paths(spec.scan_paths)
@@ -105,14 +107,20 @@ def select_files(files: DataFrame, spec: PackSpec, facts: DataFrame | None = Non
     lines = ignore.rule_lines(files)
     if entries:
         lines = lines.filter((F.col("base") == F.lit("")) | under_any(F.col("base"), entries))
-    rejected = ignore.ignored_paths(
-        files.filter(candidate), ignore.rule_sets(lines), spec.root_rules()
-    )
+    # written: its size tells the planner whether the rules can be broadcast
+    sets = materialize(ignore.rule_sets(lines))
+    reached = rows.filter(in_scan | included)
+    if sets.isEmpty():
+        rejected = ignore.ignored_by_rules(F.col("path"), spec.root_rules())
+        marked = reached.withColumn("_rejected", rejected)
+    else:
+        below = ignore.ignored_paths(files.filter(candidate), sets, spec.root_rules())
+        marked = reached.join(
+            below.withColumn("_rejected", F.lit(True)), ["pack_id", "path"], "left"
+        ).withColumn("_rejected", F.col("_rejected").isNotNull())
     return (
-        rows.filter(in_scan | included)
-        .join(rejected.withColumn("_rejected", F.lit(True)), ["pack_id", "path"], "left")
-        .withColumn("is_candidate", candidate)
-        .withColumn("is_selected", (candidate & F.col("_rejected").isNull()) | included)
+        marked.withColumn("is_candidate", candidate)
+        .withColumn("is_selected", (candidate & ~F.col("_rejected")) | included)
         .withColumn("is_suspicious", is_suspicious_path(F.col("path")))
         .drop("_rejected")
     )
