@@ -32,7 +32,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 4096
+LEAF_CHARS = 8192
 # White space as the splitting pattern understands it (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 BORDER = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
