@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import quality, toxicity
+from packlake.llm import bpe, mixing, neardup, quality, toxicity
 from packlake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,11 +21,32 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def tokenizer(name: str) -> tuple[bytes, str]:
+    """Rank file and splitting pattern of a public tokenizer."""
+    return bpe.load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer(RANKS))
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -36,3 +59,41 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return _scored(docs, quality.score(F.col("text"), model), 0.3)
+
+
+SQL["op1_mixing"] = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, source IS NULL AS no_source, coalesce(source, '') AS src, coalesce(text, '') AS t,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+  FROM documents),
+sources AS (
+  SELECT no_source, src, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY no_source, src) AS place
+  FROM sized GROUP BY no_source, src),
+weighed AS (
+  SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
+-- the common level: each round fills the sources whose limit lies below it
+levels AS (
+  SELECT 0 AS n, CAST(0 AS DOUBLE) AS level, -1 AS full_before
+  UNION ALL
+  SELECT n + 1,
+         ((SELECT sum(source_size) FROM weighed) - (SELECT coalesce(sum(source_size * 3), 0) FROM weighed WHERE source_size * 3 <= level * weight))
+           / (SELECT CAST(sum(weight) AS DOUBLE) FROM weighed WHERE source_size * 3 > level * weight),
+         (SELECT count(*) FROM weighed WHERE source_size * 3 <= level * weight)
+  FROM levels
+  WHERE (SELECT count(*) FROM weighed WHERE source_size * 3 <= level * weight) <> full_before
+    AND EXISTS (SELECT 1 FROM weighed WHERE source_size * 3 > level * weight)),
+goal AS (SELECT arg_max(level, n) AS level FROM levels),
+targets AS (
+  SELECT no_source, src, source_size, least(CAST(source_size * 3 AS DOUBLE), level * CAST(weight AS DOUBLE)) AS target
+  FROM weighed, goal),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
+         coalesce(sum(s.size) OVER (PARTITION BY s.no_source, s.src ORDER BY s.k, s.doc_id, s.size, md5(s.t)
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN targets t ON s.no_source = t.no_source AND s.src = t.src)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken
+FROM placed
+"""
