@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.registry import query, with_views
+from packlake import fixed
 from packlake.functions import text
 from packlake.operators import history, ignore, scan, stack
-from packlake.plans import store
+from packlake.plans import pack, store
 from packlake.sources import corpus, tables
 from packlake.spec import PackSpec
 
@@ -205,13 +206,13 @@ def f3(spark, sf_dir):
 
 
 F4_SQL = rf"""(CASE
-    WHEN starts_with(path, 'es/shard_3/') AND regexp_matches(path, '/doc_1[^/]*\.py$') THEN false
-    WHEN starts_with(path, 'es/shard_3/') AND regexp_matches(path, '\.py$') THEN true
-    WHEN starts_with(path, 'en/shard_2/') OR regexp_matches(path, '^en/.*/shard_2/') THEN true
-    WHEN starts_with(path, 'en/') AND path LIKE '%.json' THEN false
-    WHEN starts_with(path, 'fr/shard_1/') THEN true
-    WHEN regexp_matches(path, '(^|/)doc_1[^/]*\.json$') THEN false
-    WHEN regexp_matches(path, '\.(py|go)$') THEN true
+    WHEN starts_with(lower(path), 'es/shard_3/') AND regexp_matches(lower(path), '/doc_1[^/]*\.py$') THEN false
+    WHEN starts_with(lower(path), 'es/shard_3/') AND regexp_matches(lower(path), '\.py$') THEN true
+    WHEN starts_with(lower(path), 'en/shard_2/') OR regexp_matches(lower(path), '^en/.*/shard_2/') THEN true
+    WHEN starts_with(lower(path), 'en/') AND lower(path) LIKE '%.json' THEN false
+    WHEN starts_with(lower(path), 'fr/shard_1/') THEN true
+    WHEN regexp_matches(lower(path), '(^|/)doc_1[^/]*\.json$') THEN false
+    WHEN regexp_matches(lower(path), '\.(py|go)$') THEN true
     ELSE {v.ROOT_VERDICT_SQL} END)"""
 
 
@@ -281,6 +282,22 @@ def a6(spark, sf_dir):
     return scan.prune_counts(scan.select_files(v.mixed(spark, sf_dir), INCLUDE_SPEC))
 
 
+@query(
+    "pack_prunes_excluded",
+    with_views(
+        f"""SELECT m.pack_id, m.path, CASE WHEN content <> '' AND strlen(content) <= {fixed.DEFAULT_MAX_FILE_BYTES}
+              THEN {v.PRETOKEN.format(v.redacted_sql('content'))} ELSE 0 END AS tokens
+            FROM mixed m JOIN selected s USING (pack_id, path) WHERE is_candidate OR is_selected""",
+        v.FILES,
+        v.MIXED,
+        SELECTED,
+    ),
+)
+def pack_prunes_excluded(spark, sf_dir):
+    """Only paths within reach are ever counted."""
+    return pack.pack(v.mixed(spark, sf_dir), INCLUDE_SPEC).selection.select("pack_id", "path", "tokens")
+
+
 @query(
     "f7_binary_flag",
     with_views(
@@ -311,8 +328,8 @@ def f8(spark, sf_dir):
 @query(
     "f9_lite_mode",
     with_views(
-        r"SELECT pack_id, path FROM mixed WHERE path LIKE '%/package.json' OR path = 'package.json' OR NOT "
-        r"regexp_matches(path, '\.(css|scss|sass|less|json|svg|png|jpg|jpeg|ico|ttf|otf|woff|woff2)$')",
+        r"SELECT pack_id, path FROM mixed WHERE lower(path) LIKE '%/package.json' OR lower(path) = 'package.json' OR NOT "
+        r"regexp_matches(lower(path), '\.(css|scss|sass|less|json|svg|png|jpg|jpeg|ico|ttf|otf|woff|woff2)$')",
         v.FILES,
         v.MIXED,
     ),

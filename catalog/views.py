@@ -15,7 +15,7 @@ from packlake.spec import PackSpec
 BINARY = "UTF8_BINARY"
 BUDGET = 15_000
 SPEC = PackSpec(collation=BINARY)
-SMALL = PackSpec(collation=BINARY, max_file_kb=10, max_tokens=BUDGET)
+SMALL = PackSpec(collation=BINARY, max_tokens=BUDGET)
 
 # ------------------------------------------------------------------ SQL views
 
@@ -125,7 +125,9 @@ MIXED = f"""mixed AS (
   SELECT pack_id, CASE doc_id % 16 WHEN 0 THEN 'node_modules/' || path WHEN 1 THEN path || '.map'
       WHEN 2 THEN 'pkg/dist/' || path WHEN 3 THEN 'dist/' || path WHEN 4 THEN 'conf/' || doc_id || '/.env'
       WHEN 5 THEN 'keys/doc_' || doc_id || '.pem' WHEN 6 THEN 'assets/doc_' || doc_id || '.css'
-      WHEN 7 THEN 'img/doc_' || doc_id || '.svg' ELSE path END AS path, content
+      WHEN 7 THEN 'img/doc_' || doc_id || '.svg'
+      WHEN 9 THEN replace(path, '/doc_' || doc_id || '.py', '/DOC_' || doc_id || '.PY')
+      WHEN 14 THEN replace(path, '/doc_' || doc_id || '.json', '/Doc_' || doc_id || '.JSON') ELSE path END AS path, content
   FROM files
   UNION ALL
   SELECT s.source, v.p, v.c FROM (SELECT DISTINCT source FROM documents) s, (VALUES {_RULE_VALUES}) v(p, c))"""
@@ -136,17 +138,17 @@ DEFAULT_EXCLUDED_SQL = r"""(regexp_matches({0}, '^(node_modules|\.git|dist|build
   OR regexp_matches({0}, '\.(min\.js|min\.css|map|svg|png|jpg|jpeg|gif|ico|woff|woff2|ttf|otf|eot|pdf|zip|gz|tar)$')
   OR regexp_matches({0}, '(^|/)\.DS_Store$') OR regexp_matches({0}, '^packlake-[^/]*\.(md|xml|json|txt)$'))"""
 
-# The rule files above, read as predicates by hand.
-ROOT_VERDICT_SQL = r"""(CASE WHEN starts_with(path, 'fr/shard_1/') THEN true
-    WHEN regexp_matches(path, '(^|/)doc_2[^/]\.txt$') THEN true
-    WHEN regexp_matches(path, '^de/(.*/)?doc_1[^/]*$') THEN true
-    WHEN regexp_matches(path, '(^|/)package\.json$') THEN false
-    WHEN regexp_matches(path, '\.json$') THEN true ELSE false END)"""
+# The rule files above, read as predicates by hand; rules ignore case.
+ROOT_VERDICT_SQL = r"""(CASE WHEN starts_with(lower(path), 'fr/shard_1/') THEN true
+    WHEN regexp_matches(lower(path), '(^|/)doc_2[^/]\.txt$') THEN true
+    WHEN regexp_matches(lower(path), '^de/(.*/)?doc_1[^/]*$') THEN true
+    WHEN regexp_matches(lower(path), '(^|/)package\.json$') THEN false
+    WHEN regexp_matches(lower(path), '\.json$') THEN true ELSE false END)"""
 CASCADE_SQL = rf"""(CASE
-    WHEN starts_with(path, 'es/shard_3/') AND regexp_matches(path, '/doc_1[^/]*\.py$') THEN false
-    WHEN starts_with(path, 'es/shard_3/') AND regexp_matches(path, '\.py$') THEN true
-    WHEN starts_with(path, 'en/shard_2/') OR regexp_matches(path, '^en/.*/shard_2/') THEN true
-    WHEN starts_with(path, 'en/') AND path LIKE '%.json' THEN false
+    WHEN starts_with(lower(path), 'es/shard_3/') AND regexp_matches(lower(path), '/doc_1[^/]*\.py$') THEN false
+    WHEN starts_with(lower(path), 'es/shard_3/') AND regexp_matches(lower(path), '\.py$') THEN true
+    WHEN starts_with(lower(path), 'en/shard_2/') OR regexp_matches(lower(path), '^en/.*/shard_2/') THEN true
+    WHEN starts_with(lower(path), 'en/') AND lower(path) LIKE '%.json' THEN false
     ELSE {ROOT_VERDICT_SQL} END)"""
 
 SUSPICIOUS_SQL = r"regexp_matches(path, '(^|/)\.env$|\.pem$')"
@@ -168,6 +170,8 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 16 == 5, F.concat(F.lit("keys/doc_"), number, F.lit(".pem")))
         .when(doc % 16 == 6, F.concat(F.lit("assets/doc_"), number, F.lit(".css")))
         .when(doc % 16 == 7, F.concat(F.lit("img/doc_"), number, F.lit(".svg")))
+        .when(doc % 16 == 9, F.replace(path, F.concat(F.lit("/doc_"), number, F.lit(".py")), F.concat(F.lit("/DOC_"), number, F.lit(".PY"))))
+        .when(doc % 16 == 14, F.replace(path, F.concat(F.lit("/doc_"), number, F.lit(".json")), F.concat(F.lit("/Doc_"), number, F.lit(".JSON"))))
         .otherwise(path)
     )
     rules = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in RULE_FILES])

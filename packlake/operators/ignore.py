@@ -25,25 +25,52 @@ from packlake.operators.spread import join_per_pack
 # ---------------------------------------------------------------- translation
 
 
+def _set_regex(members: str, negated: bool) -> str:
+    """A bracket set as code points; a reversed range holds nothing, an escape is its letter."""
+    letters = [(m[1] or m[2], bool(m[1])) for m in re.finditer(r"\\(.)|(.)", members, re.S)]
+    out, k = "", 0
+    while k < len(letters):
+        first = last = letters[k][0]
+        if k + 2 < len(letters) and letters[k + 1] == ("-", False):
+            last = letters[k + 2][0]
+            k += 2
+        k += 1
+        if first <= last:
+            out += rf"\x{{{ord(first):x}}}-\x{{{ord(last):x}}}"
+    if negated:
+        return f"[^/{out}]"
+    return f"(?!/)[{out}]" if out else "(?!)"
+
+
 def _segment_regex(glob: str, braces: bool) -> str:
-    """Translate one path segment: ``*``, ``?``, ``[set]``, escapes, ``{a,b}``."""
+    """Translate one path segment: ``*``, ``?``, ``[set]``, escapes, ``{a,b}``.
+
+    What stands between two stars is matched where it first occurs and not
+    tried again: a later place could not match more.
+    """
     token = re.compile(r"\\(.)|(\*+)|(\?)|\[([!^]?)((?:\\.|[^\]\\])+)\]|([{},])|(.)", re.S)
-    out, depth = [], 0
+    chunks, depth = [""], 0
     for m in token.finditer(glob):
         escaped, stars, single, negated, members, brace, plain = m.groups()
-        if stars:
-            out.append("[^/]*")
+        if stars and not depth:
+            chunks.append("")
+        elif stars:
+            chunks[-1] += "[^/]*"
         elif single:
-            out.append("[^/]")
+            chunks[-1] += "[^/]"
         elif members:
-            inside = re.sub(r"([\[&^])", r"\\\1", members)
-            out.append(f"[^/{inside}]" if negated else f"[{inside}]")
+            chunks[-1] += _set_regex(members, bool(negated))
         elif brace and braces and (brace == "{" or depth):
-            out.append({"{": "(?:", ",": "|", "}": ")"}[brace])
+            chunks[-1] += {"{": "(?:", ",": "|", "}": ")"}[brace]
             depth += {"{": 1, ",": 0, "}": -1}[brace]
         else:
-            out.append(re.escape(escaped or brace or plain or ""))
-    return "".join(out)
+            chunks[-1] += re.escape(escaped or brace or plain or "")
+    if depth:  # a brace that is never closed is a letter
+        return _segment_regex(glob, braces=False)
+    if len(chunks) == 1:
+        return chunks[0]
+    middle = "".join(f"(?>[^/]*?{c})" for c in chunks[1:-1])
+    return f"{chunks[0]}{middle}[^/]*{chunks[-1]}"
 
 
 def _path_regex(glob: str, braces: bool) -> str:
@@ -69,8 +96,8 @@ def glob_regex(glob: str) -> str:
 def rule_regex(pattern: str) -> tuple[str, bool] | None:
     """Regex and polarity of one ignore-file line; None for blanks and comments.
 
-    The regex is tested against ``dir/`` for directories and ``dir/file`` for
-    files.  A pattern without an inner slash matches at any depth.
+    The regex ignores case and is tested against ``dir/`` for directories and
+    ``dir/file`` for files.  A pattern without an inner slash matches at any depth.
     """
     line = pattern.strip()
     if not line or line.startswith("#"):
@@ -87,7 +114,7 @@ def rule_regex(pattern: str) -> tuple[str, bool] | None:
     anchored = "/" in line
     line = line.removeprefix("/")
     body = _path_regex(line, braces=False)
-    start = r"\A" if anchored else r"\A(?:.*/)?"
+    start = r"(?iu)\A" if anchored else r"(?iu)\A(?:.*/)?"
     return rf"{start}{body}{'/' if directory_only else '/?'}\z", negated
 
 

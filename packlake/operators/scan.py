@@ -89,6 +89,13 @@ def restrict_by_table(files: DataFrame, scan_paths: DataFrame) -> DataFrame:
     return files.join(keys, ["pack_id", "path"], "left_semi")
 
 
+def reachable(spec: PackSpec) -> Column:
+    """Paths that selection can still keep: in scan and not excluded, or force-included; row-local."""
+    entries = clean_scan_paths(spec.scan_paths)
+    in_scan = under_any(F.col("path"), entries) if entries else F.lit(True)
+    return (in_scan & ~ignore.is_default_excluded(F.col("path"))) | ignore.matches_any(F.col("path"), spec.includes)
+
+
 def select_files(files: DataFrame, spec: PackSpec, facts: DataFrame | None = None) -> DataFrame:
     """Mark every scanned file as kept, pruned or suspicious.
 
@@ -96,8 +103,8 @@ def select_files(files: DataFrame, spec: PackSpec, facts: DataFrame | None = Non
     (survives rules, or is force-included) and ``is_suspicious`` to ``facts``,
     a narrow table with a row per file, or to ``files`` itself.  The rule
     cascade works on paths only and meets the rows again on the unique
-    (pack_id, path) key, which no hot pack can skew.  Without any rule file the
-    verdict is row-local.
+    (pack_id, path) key, which no hot pack can skew.  Paths that are out of reach
+    (:func:`reachable`) are left out.
     """
     rows = files if facts is None else facts
     entries = clean_scan_paths(spec.scan_paths)
@@ -109,15 +116,11 @@ def select_files(files: DataFrame, spec: PackSpec, facts: DataFrame | None = Non
         lines = lines.filter((F.col("base") == F.lit("")) | under_any(F.col("base"), entries))
     # written: its size tells the planner whether the rules can be broadcast
     sets = materialize(ignore.rule_sets(lines))
-    reached = rows.filter(in_scan | included)
-    if sets.isEmpty():
-        rejected = ignore.ignored_by_rules(F.col("path"), spec.root_rules())
-        marked = reached.withColumn("_rejected", rejected)
-    else:
-        below = ignore.ignored_paths(files.filter(candidate), sets, spec.root_rules())
-        marked = reached.join(
-            below.withColumn("_rejected", F.lit(True)), ["pack_id", "path"], "left"
-        ).withColumn("_rejected", F.col("_rejected").isNotNull())
+    reached = rows.filter(reachable(spec))
+    below = ignore.ignored_paths(rows.filter(candidate), sets, spec.root_rules())
+    marked = reached.join(
+        below.withColumn("_rejected", F.lit(True)), ["pack_id", "path"], "left"
+    ).withColumn("_rejected", F.col("_rejected").isNotNull())
     return (
         marked.withColumn("is_candidate", candidate)
         .withColumn("is_selected", (candidate & ~F.col("_rejected")) | included)

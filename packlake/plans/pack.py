@@ -23,7 +23,7 @@ from packlake.sources import corpus
 from packlake.spec import PackSpec, resolve_persona
 
 def shaped(files: DataFrame, spec: PackSpec) -> DataFrame:
-    """Shape text of files that have any (P17); records lengths before and after."""
+    """Shape text of files that have any."""
     active = spec.compress or spec.remove_comments or spec.remove_blank_lines
     if not active:
         return files
@@ -99,14 +99,14 @@ class Pack:
             "pack_id", "path", "size_bytes", "tokens", "has_content", "is_binary", "is_oversized", "is_omitted",
             *(["churn"] if "churn" in self.stats.columns else []),
         )
-        body = self.source.select("pack_id", "path", "content")
-        joined = body.join(shown, ["pack_id", "path"]).withColumn(
-            "content", F.when(F.col("has_content"), F.col("content"))
-        )
-        final = shaped(joined, self.spec)
+        # only text that can be inlined is moved: excluded, binary and oversized files stay behind
+        flagged = scan.add_flags(self.source.filter(scan.reachable(self.spec)), self.spec.max_file_bytes)
+        body = flagged.filter(scan.has_content()).select("pack_id", "path", "content")
+        final = shaped(body.join(shown.filter("has_content"), ["pack_id", "path"]), self.spec)
         if self.spec.redact:
             final = final.withColumn("content", secrets.redacted(F.col("content")))
-        return final
+        bare = shown.filter("NOT has_content").withColumn("content", F.lit(None).cast("string"))
+        return final.unionByName(bare)
 
     @property
     def omitted(self) -> DataFrame:
@@ -151,9 +151,10 @@ def pack(
     scan.require_scan_paths(files, spec.scan_paths)
     if "raw" in files.columns:
         files = files.withColumn("content", corpus.decode())
-    narrow = facts(files, spec)
+    reached = files.filter(scan.reachable(spec))  # a path test, so text of excluded files is not even read
+    narrow = facts(reached, spec)
     if spec.token_mode == "bpe":
-        narrow = _with_bpe(files, narrow, spec, ranks)
+        narrow = _with_bpe(reached, narrow, spec, ranks)
     selection = materialize(scan.select_files(files, spec, narrow))
     stats = scan.kept(selection)
     if spec.changed_only:
@@ -190,8 +191,8 @@ def pack(
 
 
 def task_text(spec: PackSpec) -> str | None:
-    """Task and recipe prompt of a spec."""
-    parts = [spec.task] if spec.task else []
+    """Task and recipe prompt of a spec (P26); a blank task counts as none."""
+    parts = [spec.task] if spec.task and spec.task.strip() else []
     if spec.recipe:
         parts.append(fixed.RECIPES[spec.recipe.lower()][1])
     return "\n\n".join(parts) or None

@@ -1,9 +1,12 @@
 """Ignore rules, scan paths, flags and history on literal corpora."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from packlake.operators import history, ignore, scan
+from packlake.plans import pack
 from packlake.spec import PackSpec
 
 
@@ -91,6 +94,38 @@ def test_rules_below_an_ignored_directory_stay_ignored(evaluate):
     assert evaluate(lambda p: ignore.ignored_by_rules(p, ["d/*", "!d/keep"]), "d/keep") is False
 
 
+@pytest.mark.parametrize(
+    "pattern, path, hit",
+    [
+        ("*.md", "README.MD", True), ("SRC/", "src/x", True), ("[z-a].md", "b.md", False), ("[!z-a].md", "b.md", True), ("[^].md", "^.md", True),
+        ("[a-].md", "-.md", True), (r"[\d].md", "d.md", True), (r"[\d].md", "1.md", False), ("[&&].md", "&.md", True), ("a\\", "a\\", True),
+        ("*a*a*b", "xaxab", True), ("*a*a*b", "xab", False), ("a*?c", "abc", True), ("[+-9]x", "/x", False), ("*.tar.*z", "a.tar.b.tar.gz", True),
+    ],
+)
+def test_rules_are_untrusted_text(evaluate, pattern, path, hit):
+    assert evaluate(lambda p: ignore.ignored_by_rules(p, [pattern]), path) is hit
+
+
+def test_any_rule_line_is_a_valid_pattern(spark, corpus):
+    rng = random.Random(1)
+    lines = ["".join(rng.choice("ab*?[]!^-\\{},/.()+$&|# \t~é") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    lines.append("*a" * 40 + "b")
+    files = corpus({".gitignore": "\n".join(lines), "a" * 200: "x", "b/c.md": "y", "keep": "z"})
+    sets = ignore.rule_sets(ignore.rule_lines(files))
+    assert ignore.ignored_paths(files, sets).count() >= 0
+    packed = pack.pack(corpus({("p", ".gitignore"): "[z-a].md\n*.log", ("p", "b.md"): "x", ("q", "A.LOG"): "y", ("p", "A.LOG"): "y"}), PackSpec())
+    assert {(r.pack_id, r.path) for r in packed.stats.collect()} == {("p", ".gitignore"), ("p", "b.md"), ("q", "A.LOG")}
+
+
+def test_excluded_files_are_neither_counted_nor_read(corpus):
+    files = corpus({f"node_modules/m{i}/x.js": "one two three" for i in range(20)})
+    plan = pack.pack(files, PackSpec())
+    assert plan.selection.count() == plan.stats.count() == plan.files.count() == 0
+    reached = files.filter(scan.reachable(PackSpec()))
+    logical = pack.facts(reached, PackSpec())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in logical and logical.index("regexp") < logical.index("Filter")  # the path test stands below the counting
+
+
 @pytest.mark.parametrize(
     "glob, path, hit",
     [
