@@ -15,6 +15,7 @@ from packlake.plans import pack, render, store
 from packlake.session import checkpoint_dir, materialize
 from packlake.sources import tables
 
+VOLUME = 65_536
 TASK = "Review the parts that changed last."
 SPEC = replace(v.SMALL, log_commits=5, task=TASK, recipe="review", persona="arch")
 
@@ -25,7 +26,7 @@ FINAL = f"""final AS (
   SELECT b.pack_id, b.path, b.size_bytes, b.is_oversized, b.is_omitted, b.has_content AND NOT b.is_omitted AS shown,
     CASE WHEN b.is_omitted THEN 0 ELSE b.tokens END AS tokens, r.t AS body,
     CASE WHEN b.has_content AND NOT b.is_omitted THEN r.hits ELSE 0 END AS hits,
-    CASE WHEN b.is_oversized THEN '(file >10KB, contents skipped)' WHEN b.is_omitted THEN '(omitted to fit token budget)' ELSE '(no content)' END AS note
+    CASE WHEN b.is_oversized THEN '(file >100KB, contents skipped)' WHEN b.is_omitted THEN '(omitted to fit token budget)' ELSE '(no content)' END AS note
   FROM budgeted b JOIN r{len(redact.RULES)} r USING (pack_id, path))"""
 
 PROMPT = fixed.RECIPES["review"][1].replace("'", "''").replace("\n", "'||chr(10)||'")
@@ -41,7 +42,7 @@ HEADER = f"""header AS (
 
 TREE = """nodes AS (
   SELECT DISTINCT pack_id, array_to_string(seg[1:n], '/') AS node, array_to_string(seg[1:n-1], '/') AS parent, seg[n] AS name, n AS depth,
-    CASE WHEN n < len(seg) THEN '' WHEN is_oversized THEN ' [skipped >10KB]' WHEN is_omitted THEN ' [omitted: token budget]' ELSE '' END AS suffix
+    CASE WHEN n < len(seg) THEN '' WHEN is_oversized THEN ' [skipped >100KB]' WHEN is_omitted THEN ' [omitted: token budget]' ELSE '' END AS suffix
   FROM (SELECT pack_id, string_split(path, '/') AS seg, is_oversized, is_omitted, unnest(generate_series(1, len(string_split(path, '/')))) AS n FROM final)),
 lasts AS (SELECT pack_id, parent, max(name) AS last_name FROM nodes GROUP BY ALL),
 indents AS (
@@ -158,26 +159,39 @@ def k4(spark, sf_dir):
 @query(
     "k4_json_documents",
     with_views(
-        """SELECT h.pack_id, h.total_files, h.total_tokens, h.redactions, t.tree, f.files
+        f"""SELECT h.pack_id, h.pack_id AS root, h.total_files, h.total_tokens, h.redactions, 'Koa,React' AS stack, 'architect' AS persona,
+             '{fixed.BRAND}' AS generator, t.tree, f.files, {TASK_SQL} AS task, l.body AS log
            FROM header h JOIN (SELECT pack_id, string_agg(line, chr(10) ORDER BY string_split(node, '/')) AS tree FROM tree GROUP BY 1) t USING (pack_id)
-           JOIN (SELECT pack_id, string_agg(path || ':' || tokens, ',' ORDER BY path) AS files FROM final GROUP BY 1) f USING (pack_id)""",
+           JOIN (SELECT pack_id, string_agg(concat_ws(':', path, tokens, is_oversized, is_omitted, CASE WHEN shown THEN body END), ',' ORDER BY path) AS files
+                 FROM final GROUP BY 1) f USING (pack_id) LEFT JOIN log l USING (pack_id)""",
         *BASE,
     ),
 )
 def k4_documents(spark, sf_dir):
     schema = (
-        "metadata STRUCT<totalFiles: BIGINT, totalTokens: BIGINT, redactedSecrets: BIGINT>, tree STRING, "
-        "files ARRAY<STRUCT<path: STRING, tokens: BIGINT>>"
+        "metadata STRUCT<root: STRING, totalFiles: BIGINT, totalTokens: BIGINT, techStack: ARRAY<STRING>, persona: STRING, redactedSecrets: BIGINT, "
+        "generator: STRING>, tree STRING, files ARRAY<STRUCT<path: STRING, tokens: BIGINT, oversized: BOOLEAN, omitted: BOOLEAN, content: STRING>>, "
+        "task STRING, gitLog STRING"
+    )
+    pieces = render.json_documents(_plan(spark, sf_dir, "json"), VOLUME)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("volume", "document"))), lambda p: p["document"])
+    docs = pieces.groupBy("pack_id").agg(F.array_join(in_order, "").alias("document"))
+    listed = F.transform(
+        "d.files", lambda f: F.concat_ws(":", f["path"], f["tokens"].cast("string"), f["oversized"].cast("string"), f["omitted"].cast("string"), f["content"])
     )
-    docs = render.json_documents(_plan(spark, sf_dir, "json"))
-    listed = F.transform("d.files", lambda f: F.concat(f["path"], F.lit(":"), f["tokens"].cast("string")))
     return docs.select("pack_id", F.from_json("document", schema).alias("d")).select(
         "pack_id",
+        F.col("d.metadata.root").alias("root"),
         F.col("d.metadata.totalFiles").alias("total_files"),
         F.col("d.metadata.totalTokens").alias("total_tokens"),
         F.col("d.metadata.redactedSecrets").alias("redactions"),
+        F.array_join("d.metadata.techStack", ",").alias("stack"),
+        F.col("d.metadata.persona").alias("persona"),
+        F.col("d.metadata.generator").alias("generator"),
         F.col("d.tree").alias("tree"),
         F.array_join(listed, ",").alias("files"),
+        F.col("d.task").alias("task"),
+        F.col("d.gitLog").alias("log"),
     )
 
 
@@ -231,9 +245,6 @@ def k8(spark, sf_dir):
     return lines.groupBy("pack_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-VOLUME = 65_536
-
-
 @query(
     "a10_assembled_volumes",
     with_views(

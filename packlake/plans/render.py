@@ -227,8 +227,7 @@ def plain(plan: Pack) -> DataFrame:
 def json_records(plan: Pack) -> DataFrame:
     """One JSON record per metadata, tree line, file, log, diff and task (K4).
 
-    The record form has no size limit; :func:`json_documents` nests it for
-    packs small enough to be one value.
+    :func:`json_documents` has the nested form.
     """
     spec, b = plan.spec, _Builder(plan)
     b.per_pack(
@@ -312,88 +311,89 @@ def with_lines(rows: DataFrame) -> DataFrame:
     return placed.withColumn("first_line", F.col("offset") + 1).drop("offset")
 
 
-def volumes(rows: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def volumes(rows: DataFrame, max_bytes: int = 64 * 1024 * 1024, separator: str = "\n") -> DataFrame:
     """Documents as values, cut into volumes of about ``max_bytes`` (A10, K8).
 
     Sections are packed by their running byte offset, so a volume never exceeds
     the limit by more than one section; a pack below the limit is one volume.
-    Joining a pack's volumes with line feeds gives the whole document.
+    Joining a pack's volumes with the separator gives the whole document.
     """
-    placed = _placed(rows, F.octet_length("text") + 1).withColumn(
+    placed = _placed(rows, F.octet_length("text") + len(separator)).withColumn(
         "volume", F.floor(F.col("offset") / max_bytes)
     )
     ordered = F.sort_array(F.collect_list(F.struct(*SECTION_ORDER, "text")))
     return placed.groupBy("pack_id", "volume").agg(
-        F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("document")
+        F.array_join(F.transform(ordered, lambda s: s["text"]), separator).alias("document")
     )
 
 
-def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """One nested JSON document per pack of at most ``max_bytes``; others are left out.
+def json_sections(plan: Pack) -> DataFrame:
+    """The nested JSON document of every pack as section rows (K4); their texts follow each other without separators.
 
-    Larger packs are delivered whole by :func:`json_records`.
+    A list's first element has no comma before it, so the first tree line and
+    the first file of each pack are looked up in narrow tables.
     """
-    spec = plan.spec
-    sizes = plan.stats.groupBy("pack_id").agg(
-        F.sum(F.when(F.col("has_content"), F.col("size_bytes")).otherwise(0) + F.length("path") + 64).alias("b")
-    )
-    small = sizes.filter(F.col("b") <= max_bytes).select("pack_id")
-    file_row = F.struct(
-        _rank(plan.files, spec.sort).alias("rank"),
-        path_key("path", spec.collation).alias("key"),
-        F.struct(
-            "path",
-            "tokens",
-            F.col("is_binary").alias("binary"),
-            F.col("is_oversized").alias("oversized"),
-            F.col("is_omitted").alias("omitted"),
-            F.when(F.col("has_content"), _body(spec)).alias("content"),
-        ).alias("file"),
-    )
-    files = (
-        join_per_pack(plan.files, small, ["pack_id"], "inner")
-        .groupBy("pack_id")
-        .agg(F.transform(F.sort_array(F.collect_list(file_row)), lambda r: r["file"]).alias("files"))
-    )
-    lines = (
-        join_per_pack(tree_only(plan), small, ["pack_id"], "inner", spread_by="node")
-        .groupBy("pack_id")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct("tree_key", "line"))), lambda r: r["line"]
-                ),
-                "\n",
-            ).alias("tree")
-        )
-    )
-    metadata = F.struct(
-        F.col("pack_id").alias("root"),
-        F.col("total_files").alias("totalFiles"),
-        F.col("total_tokens").alias("totalTokens"),
-        F.coalesce("tech_stack", F.array().cast("array<string>")).alias("techStack"),
-        F.lit(resolve_persona(spec.persona) if spec.persona else None).cast("string").alias("persona"),
-        F.col("redactions").alias("redactedSecrets"),
-        F.lit(fixed.BRAND).alias("generator"),
+    spec, b = plan.spec, _Builder(plan)
+    string = text.json_string
+
+    def field(name: str, value: Column, depth: int) -> Column:
+        return F.concat(F.lit(" " * depth + f'"{name}": '), F.coalesce(value, F.lit("null")))
+
+    def fields(depth: int, **values: Column) -> Column:
+        return F.concat_ws(",\n", *[field(name, value, depth) for name, value in values.items()])
+
+    stack = F.transform(F.coalesce("tech_stack", F.array().cast("array<string>")), lambda t: F.concat(F.lit("      "), string(t)))
+    listed = F.when(F.size(stack) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[\n"), F.array_join(stack, ",\n"), F.lit("\n    ]")))
+    metadata = fields(
+        4,
+        root=string(F.col("pack_id")),
+        totalFiles=F.col("total_files").cast("string"),
+        totalTokens=F.col("total_tokens").cast("string"),
+        techStack=listed,
+        persona=string(F.lit(resolve_persona(spec.persona) if spec.persona else None).cast("string")),
+        redactedSecrets=F.col("redactions").cast("string"),
+        generator=string(F.lit(fixed.BRAND)),
     )
-    document = F.struct(
-        metadata.alias("metadata"),
-        "tree",
-        "files",
-        F.lit(task_text(spec)).cast("string").alias("task"),
-        F.col("diff").alias("gitDiff"),
-        F.col("body").alias("gitLog"),
+    b.per_pack(TOP, F.concat(F.lit('{\n  "metadata": {\n'), metadata, F.lit('\n  },\n  "tree": "')))
+
+    lines = tree_only(plan)
+    first_line = lines.groupBy("pack_id").agg(F.min("tree_key").alias("_first"))
+    marked = join_per_pack(lines, first_line, ["pack_id"], spread_by="node")
+    escaped = F.expr("substr(_json, 2, length(_json) - 2)")
+    line = F.concat(F.when(F.col("tree_key") == F.col("_first"), F.lit("")).otherwise(F.lit("\\n")), escaped)
+    b.add(marked.withColumn("_json", string(F.col("line"))), TREE, line, F.col("node"), F.col("tree_key"))
+
+    b.per_pack(META, '",\n  "files": [\n')
+    first = F.min_by("path", F.struct(_rank(plan.stats, spec.sort), path_key("path", spec.collation)))
+    files = join_per_pack(plan.files, plan.stats.groupBy("pack_id").agg(first.alias("_first")), ["pack_id"])
+    entry = fields(
+        6,
+        path=string(F.col("path")),
+        tokens=F.col("tokens").cast("string"),
+        binary=F.col("is_binary").cast("string"),
+        oversized=F.col("is_oversized").cast("string"),
+        omitted=F.col("is_omitted").cast("string"),
+        content=string(F.when(F.col("has_content"), _body(spec))),
     )
+    comma = F.when(F.col("path") == F.col("_first"), F.lit("")).otherwise(F.lit(",\n"))
+    b.per_file(FILES, files, F.concat(comma, F.lit("    {\n"), entry, F.lit("\n    }")))
+
     none = plan.totals.select("pack_id").limit(0)
     log = none.withColumn("body", F.lit("")) if plan.log is None else _log_bodies(plan.log)
     diffs = none.withColumn("diff", F.lit("")) if plan.diffs is None else plan.diffs
-    return (
-        plan.totals.join(files, "pack_id")
-        .join(lines, "pack_id")
-        .join(log, "pack_id", "left")
-        .join(diffs.filter(~text.is_blank(F.col("diff"))), "pack_id", "left")
-        .select("pack_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
-    )
+    ends = b.packs.join(log, "pack_id", "left").join(diffs.filter(~text.is_blank(F.col("diff"))), "pack_id", "left")
+    closing = fields(2, task=string(F.lit(task_text(spec)).cast("string")), gitDiff=string(F.col("diff")), gitLog=string(F.col("body")))
+    b.add(ends, END, F.concat(F.lit("\n  ],\n"), closing, F.lit("\n}")))
+    return b.union()
+
+
+def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """The nested JSON document of every pack, whole, in volumes of about ``max_bytes`` (K4).
+
+    A pack's volumes follow each other without a separator; a pack below the
+    size is one volume.
+    """
+    return volumes(json_sections(plan), max_bytes, separator="")
 
 
 def write_text(rows: DataFrame, path: str) -> None:

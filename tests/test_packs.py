@@ -104,7 +104,9 @@ def test_json_document(corpus):
     assert parsed["metadata"]["totalTokens"] == plan.totals.first().total_tokens
     assert parsed["files"][0]["path"] == "src/index.ts" and parsed["task"] == "Review this"
     assert "index.ts" in parsed["tree"]
-    assert render.json_documents(plan, max_bytes=10).count() == 0
+    pieces = render.json_documents(plan, max_bytes=10).orderBy("volume").collect()
+    assert len(pieces) > 3 and json.loads("".join(p.document for p in pieces)) == parsed
+    assert "".join(p.document for p in pieces) == json.dumps(parsed, indent=2)
     records = [json.loads(r.text) for r in render.sections(plan).orderBy(*render.SECTION_ORDER).collect()]
     assert [r["type"] for r in records] == ["metadata", "tree", "tree", "file", "task"]
 
