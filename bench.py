@@ -44,8 +44,9 @@ def files(spark):
 
 
 def full_pack(spark):
-    """Scan, rules, redaction, tokens and a markdown document of every pack."""
-    return render.sections(pack.pack(files(spark), PackSpec(collation=views.BINARY)))
+    """Scan, rules, redaction, tokens and a markdown document of every pack, in document order."""
+    rows = render.sections(pack.pack(files(spark), PackSpec(collation=views.BINARY)))
+    return rows.repartitionByRange("pack_id", *render.SECTION_ORDER).sortWithinPartitions("pack_id", *render.SECTION_ORDER)
 
 
 def budget_pack(spark):

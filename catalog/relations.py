@@ -13,8 +13,6 @@ from packlake.session import materialize
 from packlake.sources import tables
 from packlake.spec import PackSpec
 
-UNLIMITED = PackSpec(collation=v.BINARY, max_file_kb=10)
-
 
 # ------------------------------------------------------------------------ flagship
 
@@ -297,11 +295,13 @@ def u4(spark, sf_dir):
 @query(
     "a7_file_counts",
     with_views(
-        "SELECT pack_id, count(*) AS total_files, count(*) FILTER (WHERE is_oversized) AS oversized FROM stats GROUP BY 1", v.FILES, v.STATS_SMALL
+        "SELECT pack_id, count(*) AS total_files, count(*) FILTER (WHERE is_oversized) AS oversized FROM stats GROUP BY 1",
+        v.FILES,
+        v.stats_sql(10_240),
     ),
 )
 def a7(spark, sf_dir):
-    return v.flagged(spark, sf_dir, v.SMALL.max_file_bytes).groupBy("pack_id").agg(
+    return v.flagged(spark, sf_dir, 10_240).groupBy("pack_id").agg(
         F.count(F.lit(1)).alias("total_files"), F.count_if("is_oversized").alias("oversized")
     )
 

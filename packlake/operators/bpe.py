@@ -2,7 +2,7 @@
 
 Text is cut into pieces by a native regex and counted per (file, piece), so the
 costly merging runs once per distinct piece, and only for pieces that are not a
-single token already.  Those rest on a rank table of bounded size.
+single token already.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from packlake.operators.spread import join_per_pack
 
-MAX_RANKS = 300_000
 
 # The piece patterns of the two encodings; @ stands for white space.
 _WHITE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -84,9 +83,7 @@ def count_bpe(
 ) -> DataFrame:
     """(keys, tokens) for every row with ``content``; empty text has 0 tokens."""
     spark = files.sparkSession
-    rows = ranks.limit(MAX_RANKS + 1).collect()
-    if len(rows) > MAX_RANKS:
-        raise ValueError(f"rank table has more than {MAX_RANKS} rows")
+    rows = ranks.collect()  # one vocabulary: it does not grow with the corpus
     table = spark.sparkContext.broadcast({bytes(r.token): r.rank for r in rows})
 
     @F.pandas_udf("bigint")
@@ -101,11 +98,11 @@ def count_bpe(
         .groupBy(*keys, "piece")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # tokens that are valid text; checked above to be few, so broadcast is bounded
+    # tokens that are valid text; adaptive execution broadcasts them if they turn out small
     single = ranks.filter(F.is_valid_utf8(F.col("token").cast("string"))).select(
         F.col("token").cast("string").alias("piece"), F.lit(1).cast("bigint").alias("one")
     )
-    marked = per_file.join(F.broadcast(single), "piece", "left")
+    marked = per_file.join(single, "piece", "left")
     unknown = (
         marked.filter("one IS NULL").select("piece").distinct().withColumn("merged", lengths("piece"))
     )

@@ -74,8 +74,6 @@ def mark_omitted(
     decided = materialize(cuts(stats, max_tokens, weight))
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     split = decided.filter("tie IS NOT NULL").select("pack_id", "tie", "tie_count")
-    if split.isEmpty():
-        return _apply(stats, decided.withColumn("tie_key", F.lit(None)), weight, key, tied=False)
     at_tie = join_per_pack(
         stats.filter(is_eligible()).select("pack_id", "path", F.col(weight).alias("tie"), key.alias("key")),
         split,
@@ -88,15 +86,13 @@ def mark_omitted(
         .select("pack_id", F.col("key").alias("tie_key"))
     )
     limits = decided.select("pack_id", "floor", "tie").join(last, "pack_id", "left")
-    return _apply(stats, limits, weight, key, tied=True)
+    return _apply(stats, limits, weight, key)
 
 
-def _apply(stats: DataFrame, limits: DataFrame, weight: str, key: Column, tied: bool) -> DataFrame:
+def _apply(stats: DataFrame, limits: DataFrame, weight: str, key: Column) -> DataFrame:
     """Compare every file with the two thresholds of its pack."""
     w = F.col(weight)
-    over = w >= F.col("floor")
-    if tied:
-        over = over | ((w == F.col("tie")) & (key <= F.col("tie_key")))
+    over = (w >= F.col("floor")) | ((w == F.col("tie")) & (key <= F.col("tie_key")))
     return (
         join_per_pack(stats.drop("is_omitted"), limits, ["pack_id"])
         .withColumn("is_omitted", F.coalesce(is_eligible() & over, F.lit(False)))

@@ -10,8 +10,6 @@ A pack may hold a third of all rows, so nothing here gathers a pack in a task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +17,7 @@ from pyspark.sql.window import Window
 from packlake.session import materialize
 
 SALTS = 32
+BUCKETS = 64
 
 
 def join_per_pack(
@@ -90,14 +89,14 @@ def running(
 
 
 def top_rows(rows: DataFrame, by: list[str], order: list[Column], k: int, number: str) -> DataFrame:
-    """First ``k`` rows per group.
+    """First ``k`` rows per group, in two steps.
 
-    The literal bound on ``row_number`` lets Spark cut every map task's share to
-    ``k`` rows per group before the shuffle, whatever the size of the group.
+    Every map task cuts its share of a group to ``k`` rows; these are ranked in
+    ``BUCKETS`` parts first, so that a group spread over very many tasks does not
+    send all their rows to one.
     """
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS))
+    first = Window.partitionBy(*by, "_part").orderBy(*order)
+    cut = rows.withColumn("_part", part).withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= k)
     window = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn(number, F.row_number().over(window)).filter(F.col(number) <= k)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    return cut.drop("_part", "_nth").withColumn(number, F.row_number().over(window)).filter(F.col(number) <= k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packlake import fixed
 from packlake.functions import text
-from packlake.operators.spread import top_rows
+from packlake.operators.spread import running, top_rows
 from packlake.plans import render
 from packlake.plans.pack import Pack
 
@@ -58,13 +58,16 @@ def find(packs: DataFrame, pack_id: str) -> DataFrame:
     return found
 
 
+def _require_page(start: int, count: int) -> None:
+    if start < 1 or not 1 <= count <= fixed.MAX_READ_LINES:
+        raise ValueError(f"start is positive and count is from 1 to {fixed.MAX_READ_LINES}")
+
+
 def read_page(
     packs: DataFrame, lines: DataFrame, start: int = 1, count: int = fixed.DEFAULT_READ_LINES
 ) -> DataFrame:
     """Lines ``[start, start + count)`` of every given pack."""
-    if start < 1 or count < 1:
-        raise ValueError("start and count are positive")
-    count = min(count, fixed.MAX_READ_LINES)
+    _require_page(start, count)
     page = F.col("line_no").between(start, start + count - 1)
     return lines.filter(page).join(packs.select("pack_id"), "pack_id", "left_semi")
 
@@ -73,7 +76,7 @@ def page_headers(
     packs: DataFrame, start: int = 1, count: int = fixed.DEFAULT_READ_LINES
 ) -> DataFrame:
     """Header line of a page: range, total, and how to go on (Q1)."""
-    count = min(count, fixed.MAX_READ_LINES)
+    _require_page(start, count)
     shown = F.greatest(F.lit(0), F.least(F.lit(count), F.col("line_count") - (start - 1)))
     last = F.lit(start - 1) + shown
     header = F.concat(
@@ -106,20 +109,21 @@ def grep(
     pattern: str,
     ignore_case: bool = False,
     context: int = 0,
-    limit: int = fixed.MAX_GREP_MATCHES,
+    limit: int | None = fixed.MAX_GREP_MATCHES,
 ) -> DataFrame:
-    """First ``limit`` matches per pack with context lines.
+    """First ``limit`` matches per pack, or all for None, with context lines.
 
     Rows are (pack_id, match_no, line_no, is_match, text).  Context windows that
     overlap repeat their lines, once per match.
     """
-    context = min(context, fixed.MAX_GREP_CONTEXT)
-    if context < 0 or limit < 1:
-        raise ValueError("context is not negative and limit is positive")
+    if not 0 <= context <= fixed.MAX_GREP_CONTEXT or (limit is not None and limit < 1):
+        raise ValueError(f"context is from 0 to {fixed.MAX_GREP_CONTEXT} and limit is positive")
     test = line_predicate(lines.sparkSession, pattern, ignore_case)
-    hits = top_rows(lines.filter(test), ["pack_id"], [F.col("line_no").asc()], limit, "match_no")
-    if context == 0:
-        return hits.select("pack_id", "match_no", "line_no", F.lit(True).alias("is_match"), "text")
+    found = lines.filter(test).select("pack_id", "line_no")  # ranks are found on keys alone, text comes after
+    if limit is None:
+        hits = running(found, ["pack_id"], [F.col("line_no").asc()], {}, number="match_no")
+    else:
+        hits = top_rows(found, ["pack_id"], [F.col("line_no").asc()], limit, "match_no")
     wanted = hits.select(
         "pack_id",
         "match_no",

@@ -63,16 +63,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/packlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Rebalance an input that has fewer splits than the session has cores.
-
-    A small file with one row group would keep all CPU-heavy text work in one
-    task.  Inputs that already fill the cluster are returned untouched, so this
-    never shuffles a large corpus.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

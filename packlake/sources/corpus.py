@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.functions import paths, text
-from packlake.session import spread_small_input
 
 
 def from_table(
     rows: DataFrame, pack_id: str = "pack_id", path: str = "path", content: str = "content"
 ) -> DataFrame:
     """Any table with a pack, a path and text becomes a ``files`` table."""
-    return spread_small_input(rows).select(
+    return rows.select(
         F.col(pack_id).alias("pack_id"),
         paths.normalize(F.col(path)).alias("path"),
         F.octet_length(content).cast("bigint").alias("size_bytes"),

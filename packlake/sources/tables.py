@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from packlake.functions import text
-from packlake.session import spread_small_input
 
 # Extension by doc_id % 8.
 EXTENSIONS = [".md", ".py", ".ts", ".go", ".sql", ".html", ".json", ".txt"]
@@ -31,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread_small_input(table(spark, sf_dir, "documents").select(*columns))
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 def document_path():
@@ -147,7 +146,7 @@ def source_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as HTML files, one pack per host."""
-    raw = spread_small_input(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    raw = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return raw.select(
         F.parse_url("url", F.lit("HOST")).alias("pack_id"),
         F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
