@@ -108,7 +108,7 @@ def _blocks(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     sub = F.coalesce(F.floor((F.col("doc_id").cast("double") - pick(low)) / pick(width)), F.lit(0)).cast("bigint")
     rows = materialize(placed.withColumn("sub", sub)) if numbers else placed.withColumn("sub", F.lit(0).cast("bigint"))
     if not numbers:
-        return rows, rows
+        return rows, rows.select("doc_id", "tie", F.col("seg").alias("to_seg"), F.col("sub").alias("to_sub"))
     heads = rows.groupBy("seg", "sub").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")).alias("head"))
     in_segment = Window.partitionBy("seg").orderBy("sub")
     before = {k: numbers[i - 1] for i, k in enumerate(numbers)}  # the segment before, around the end
