@@ -44,7 +44,7 @@ def label_counts(labels: DataFrame, label: str) -> tuple[int, int]:
     """Training rows of label 0 and of label 1 over all labels."""
     y = F.col(label).cast("int")
     row = (
-        labels.filter(y.isin(0, 1) & ~held_out(F.col("doc_id")))
+        labels.filter(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .agg(F.count(F.when(y == 0, 1)).alias("n0"), F.count(F.when(y == 1, 1)).alias("n1"))
         .first()
     )

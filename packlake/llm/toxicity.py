@@ -231,6 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio:
                 else:
                     unmarked.update(found)
         keys = list(marked.keys() | unmarked.keys())
+        if not keys:
+            return
         yield pd.DataFrame(
             {"n": [k[0] for k in keys], "term": [k[1] for k in keys], "texts": [marked.get(k, []) for k in keys], "n0": [unmarked[k] for k in keys]}
         )
@@ -273,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio:
             for y, text in zip(batch["y"], batch["text"]):
                 if y == 0:
                     seen.update(WORD.findall(text.lower()))
-        yield pd.DataFrame({"word": sorted(w for w in seen if w.isalpha() and not lexicon.exact(w) and lexicon.weight(w))}, dtype=object)
+        yield pd.DataFrame({"word": pd.Series(sorted(w for w in seen if w.isalpha() and not lexicon.exact(w) and lexicon.weight(w)), dtype=object)})
 
     spared = {r.word for r in sample.select("y", "text").mapInPandas(stray, "word string").distinct().collect()}
 
