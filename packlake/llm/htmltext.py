@@ -42,6 +42,7 @@ from packlake.session import materialize
 
 LEAST_PAGES, LEAST_TOKENS = 8, 3
 LINK_SHARE = 0.6
+LONG_PATH = 400
 
 # Groups of tags.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
@@ -147,7 +148,10 @@ def events(page: str) -> Iterator[Event]:
                 if stack[at][0] in SCOPES:
                     break
         marked = tag not in ("html", "body") and _marked(tag, token)
-        path = f"{stack[-1][1]}/{tag}{'!' if marked else ''}" if tag not in INLINE or tag == "a" else stack[-1][1]
+        path = stack[-1][1]
+        if tag not in INLINE or tag == "a":
+            above = path if len(path) < LONG_PATH else f"/#{xxhash.xxh64_hexdigest(path)}"  # a deep page costs no more than its length
+            path = f"{above}/{tag}{'!' if marked else ''}"
         yield Event("open", tag, marked, path, "")
         if tag in VOID or token.endswith("/>") and tag not in CLOSES_P:
             continue
