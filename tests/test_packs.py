@@ -106,7 +106,7 @@ def test_json_document(corpus):
     assert "index.ts" in parsed["tree"]
     pieces = render.json_documents(plan, max_bytes=10).orderBy("volume").collect()
     assert len(pieces) > 3 and json.loads("".join(p.document for p in pieces)) == parsed
-    assert "".join(p.document for p in pieces) == json.dumps(parsed, indent=2)
+    assert "".join(p.document for p in pieces) == json.dumps(parsed, indent=2, ensure_ascii=False)
     records = [json.loads(r.text) for r in render.sections(plan).orderBy(*render.SECTION_ORDER).collect()]
     assert [r["type"] for r in records] == ["metadata", "tree", "tree", "file", "task"]
 
@@ -162,6 +162,10 @@ def test_store_read_and_grep(corpus, spark, tmp_path):
     ]
     assert store.grep_headers(packs, found, "x").first().header == "1 match(es) for /x/ in [p]:"
     assert store.grep(lines, "no such text").count() == 0
+    assert store.grep(lines, ".", limit=None).count() == lines.filter("text <> ''").count()
+    for bad in (lambda: store.read_page(packs, lines, 1, 2001), lambda: store.page_headers(packs, 0), lambda: store.grep(lines, "x", context=11)):
+        with pytest.raises(ValueError):
+            bad()
     with pytest.raises(ValueError, match="Invalid regular expression"):
         store.grep(lines, "([unclosed")
     with pytest.raises(KeyError, match="unknown pack"):
