@@ -9,6 +9,7 @@ from packlake import fixed
 from packlake.functions import paths, redact, shape, text, tokens
 from packlake.operators import bpe, lookups, rollup, scan
 from packlake.plans import pack
+from packlake.session import materialize
 from packlake.sources import tables
 from packlake.spec import PackSpec
 
@@ -83,9 +84,21 @@ def p3_chars4(spark, sf_dir):
     return docs.select("doc_id", tokens.count_tokens(F.col("text"), "chars4").alias("tokens_est"))
 
 
-@query("p3_tokens_bpe")
+@query(
+    "p3_tokens_bpe",
+    r"""WITH letters AS (SELECT string_split(text, '') AS cs FROM documents),
+       pairs AS (SELECT pair, count(*) AS n
+                 FROM (SELECT unnest(list_transform(generate_series(1, len(cs) - 1), lambda i: cs[i] || cs[i + 1])) AS pair FROM letters)
+                 WHERE regexp_full_match(pair, '[a-z]{2}') GROUP BY 1),
+       ranked AS (SELECT list(pair ORDER BY n DESC, pair) AS ps FROM pairs),
+       -- a contraction is a piece of its own: what follows it is cut off
+       cut AS (SELECT doc_id, text, regexp_replace(text, '([\p{L}\p{N}\n]|^)''(s|d|m|t|ll|ve|re)', '\1''\2' || chr(1), 'g') AS t FROM documents)
+       -- only letter pairs are merged, the most frequent first, and nothing is merged twice
+       SELECT doc_id, (strlen(text) - length(t) + length(list_reduce(ps, lambda acc, p: replace(acc, p, chr(2)), t)))::BIGINT AS tokens
+       FROM cut, ranked""",
+)
 def p3_bpe(spark, sf_dir):
-    """Rows only: merging by rank is iterative.  Ranks: single bytes, then letter pairs by frequency."""
+    """Ranks: single bytes, then letter pairs by frequency."""
     docs = tables.documents(spark, sf_dir, "doc_id", "text")
     pairs = (
         docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?=([a-z]{2}))"), F.lit(1))).alias("pair"))
@@ -98,7 +111,7 @@ def p3_bpe(spark, sf_dir):
         F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("token"), F.col("id").cast("int").alias("rank")
     )
     files = docs.select("doc_id", F.col("text").alias("content"))
-    return bpe.count_bpe(files, single.unionByName(ranks), "cl100k_base", keys=("doc_id",))
+    return bpe.count_bpe(files, materialize(single.unionByName(ranks)), "cl100k_base", keys=("doc_id",))
 
 
 @query(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.functions import paths, text
@@ -30,12 +31,16 @@ def decode(raw: str = "raw"):
     return F.make_valid_utf8(F.col(raw).cast("string"))
 
 
-def _relative(root: str):
-    prefix = os.path.abspath(root).rstrip("/")
-    # the listing reports file:/a/b, file:///a/b or another scheme's URL
-    return F.regexp_replace(
-        F.regexp_replace(F.col("file"), r"^[a-z0-9+]+:/+", "/"), "^" + _quote(prefix) + "/", ""
-    )
+def root_path(root: str) -> str:
+    """Path of a directory without its scheme and authority; a bare path is made absolute."""
+    found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", root)
+    return (root[found.end() :] if found else os.path.abspath(root)).rstrip("/")
+
+
+def relative_path(file: Column, root: str) -> Column:
+    """Path of a listed file below ``root``; the listing may name it with any scheme and authority."""
+    bare = F.regexp_replace(file, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return F.regexp_replace(bare, "^" + _quote(root_path(root)) + "/", "")
 
 
 def _quote(literal: str) -> str:
@@ -63,7 +68,7 @@ def from_directory(
         F.lit(None).cast("binary").alias("raw"),
     )
     return small.unionByName(large).select(
-        F.lit(pack_id).alias("pack_id"), _relative(root).alias("path"), "size_bytes", "raw"
+        F.lit(pack_id).alias("pack_id"), relative_path(F.col("file"), root).alias("path"), "size_bytes", "raw"
     )
 
 

@@ -268,3 +268,14 @@ def test_facts_of_a_stream_equal_the_batch(corpus, spark, tmp_path):
     stored = {tuple(r) for r in spark.read.parquet(out).select("path", "tokens", "redactions").collect()}
     assert stored == {tuple(r) for r in pack.facts(files, spec).select("path", "tokens", "redactions").collect()}
     assert len(stored) == 3
+
+
+@pytest.mark.parametrize(
+    "root, file",
+    [
+        ("s3a://bucket/code", "s3a://bucket/code/src/a.ts"), ("hdfs://nn:8020/code/", "hdfs://nn:8020/code/src/a.ts"), ("/code", "file:/code/src/a.ts"),
+        ("file:///code", "file:///code/src/a.ts"), ("file:/a b/c+d", "file:/a b/c+d/src/a.ts"), ("s3a://bucket/", "s3a://bucket/src/a.ts"),
+    ],
+)
+def test_paths_below_any_root(evaluate, root, file):
+    assert evaluate(lambda f: sources.relative_path(f, root), file) == "src/a.ts"
