@@ -282,13 +282,12 @@ def a4(spark, sf_dir):
 @query(
     "u4_merged_dependencies",
     with_views(
-        "SELECT pack_id, dep, count(*) AS manifests FROM (SELECT pack_id, unnest(json_keys(content, '$.dependencies')) AS dep FROM files WHERE path = 'package.json') GROUP BY ALL",
-        v.FILES,
+        "SELECT pack_id, dependency AS dep, count(DISTINCT path) AS manifests FROM declared GROUP BY ALL",
+        v.MANIFESTS,
     ),
 )
 def u4(spark, sf_dir):
-    manifests = tables.files(spark, sf_dir).filter("path = 'package.json'")
-    deps = manifests.select("pack_id", F.explode(stack.dependency_names(F.col("content"))).alias("dep"))
+    deps = v.manifests(spark, sf_dir).select("pack_id", F.explode(stack.dependency_names(F.col("content"))).alias("dep"))
     return deps.groupBy("pack_id", "dep").agg(F.count(F.lit(1)).alias("manifests"))
 
 

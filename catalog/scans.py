@@ -125,9 +125,16 @@ def s6(spark, sf_dir):
     )
 
 
-@query("s7_decode_text", "SELECT page_id, md5(html) AS digest, length(html) AS n FROM pages")
+@query(
+    "s7_decode_text",
+    """SELECT page_id, md5(t) AS digest, length(t) AS n
+       FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN chr(65533) || html ELSE html END AS t FROM pages)""",
+)
 def s7(spark, sf_dir):
-    raw = tables.table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("raw"))
+    """A byte that is no UTF-8 becomes the replacement character."""
+    encoded = F.encode("html", "UTF-8")
+    damaged = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(b"\xff"), encoded)).otherwise(encoded)
+    raw = tables.table(spark, sf_dir, "pages").select("page_id", damaged.alias("raw"))
     return raw.select(
         "page_id", F.md5(corpus.decode()).alias("digest"), F.length(corpus.decode()).cast("bigint").alias("n")
     )
@@ -136,14 +143,12 @@ def s7(spark, sf_dir):
 @query(
     "s8_manifest_read",
     with_views(
-        "SELECT pack_id, path, unnest(json_keys(content, '$.dependencies')) AS dependency FROM files "
-        "WHERE path = 'package.json' OR path LIKE '%/package.json'",
-        v.FILES,
+        "SELECT DISTINCT pack_id, path, dependency FROM declared",
+        v.MANIFESTS,
     ),
 )
 def s8(spark, sf_dir):
-    manifests = tables.files(spark, sf_dir).filter(F.rlike("path", F.lit("(^|/)package\\.json$")))
-    return manifests.select(
+    return v.manifests(spark, sf_dir).select(
         "pack_id", "path", F.explode(stack.dependency_names(F.col("content"))).alias("dependency")
     )
 
@@ -301,9 +306,11 @@ def pack_prunes_excluded(spark, sf_dir):
 @query(
     "f7_binary_flag",
     with_views(
-        "SELECT pack_id, path, coalesce(doc_id % 13 = 0 OR doc_id % 17 = 0, false) AS is_binary, "
-        "NOT coalesce(doc_id % 13 = 0 OR doc_id % 17 = 0, false) AND size_bytes > 10240 AS is_oversized FROM files",
+        "SELECT pack_id, path, is_binary, NOT is_binary AND size_bytes > 10240 AS is_oversized FROM flagged",
         v.FILES,
+        # two odd bytes make a short text binary, but not a long one
+        """flagged AS (SELECT *, coalesce(CASE WHEN doc_id % 13 = 0 THEN true WHEN doc_id % 17 = 0 THEN strlen(content) + 2 < 20
+                       ELSE doc_id % 19 = 0 END, false) AS is_binary FROM files)""",
     ),
 )
 def f7(spark, sf_dir):
@@ -311,6 +318,7 @@ def f7(spark, sf_dir):
     damaged = (
         F.when(F.col("doc_id") % 13 == 0, F.concat(raw, F.lit(b"\x00tail")))
         .when(F.col("doc_id") % 17 == 0, F.concat(F.lit(b"\xff\xfe"), raw))
+        .when(F.col("doc_id") % 19 == 0, F.concat(F.lit(b"\xff" * 300), raw))
         .otherwise(raw)
     )
     files = tables.files(spark, sf_dir).withColumn("raw", damaged)

@@ -132,6 +132,17 @@ MIXED = f"""mixed AS (
   UNION ALL
   SELECT s.source, v.p, v.c FROM (SELECT DISTINCT source FROM documents) s, (VALUES {_RULE_VALUES}) v(p, c))"""
 
+# A manifest per document: both maps, one map, none, text that is no JSON.
+MANIFESTS = """manifests AS (
+  SELECT source AS pack_id, lang || '/m' || doc_id || '/package.json' AS path, CASE doc_id % 5
+    WHEN 0 THEN '{"dependencies":{"react":"1","lib' || doc_id % 11 || '":"2"}}'
+    WHEN 1 THEN '{"devDependencies":{"vitest":"1"},"dependencies":{"koa":"2","vitest":"3"}}'
+    WHEN 2 THEN '{"dependencies":{"react"' WHEN 3 THEN '{"name":"n' || doc_id || '"}' ELSE '' END AS content FROM documents),
+declared AS (
+  SELECT pack_id, path, unnest(json_keys(content, '$.dependencies')) AS dependency FROM manifests WHERE json_valid(content)
+  UNION ALL
+  SELECT pack_id, path, unnest(json_keys(content, '$.devDependencies')) FROM manifests WHERE json_valid(content))"""
+
 DEFAULT_EXCLUDED_SQL = r"""(regexp_matches({0}, '^(node_modules|\.git|dist|build|coverage|\.next|\.nuxt|\.venv|__pycache__)/.')
   OR {0} IN ('package-lock.json','yarn.lock','pnpm-lock.yaml','bun.lockb','Cargo.lock','poetry.lock','uv.lock','composer.lock',
     'Gemfile.lock','context.md','codebase.md','digest.txt','context.xml','codebase.xml')
@@ -180,6 +191,19 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("size_bytes", F.octet_length("content").cast("bigint"))
 
 
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    content = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"dependencies":{"react":"1","lib'), number(11), F.lit('":"2"}}')))
+        .when(F.col("doc_id") % 5 == 1, F.lit('{"devDependencies":{"vitest":"1"},"dependencies":{"koa":"2","vitest":"3"}}'))
+        .when(F.col("doc_id") % 5 == 2, F.lit('{"dependencies":{"react"'))
+        .when(F.col("doc_id") % 5 == 3, F.concat(F.lit('{"name":"n'), F.col("doc_id").cast("string"), F.lit('"}')))
+        .otherwise(F.lit(""))
+    )
+    path = F.concat("lang", F.lit("/m"), F.col("doc_id").cast("string"), F.lit("/package.json"))
+    return tables.documents(spark, sf_dir, "doc_id", "lang", "source").select(F.col("source").alias("pack_id"), path.alias("path"), content.alias("content"))
+
+
 def flagged(spark: SparkSession, sf_dir: str, max_bytes: int = fixed.DEFAULT_MAX_FILE_BYTES) -> DataFrame:
     return scan.add_flags(tables.files(spark, sf_dir), max_bytes)
 

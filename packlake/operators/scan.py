@@ -14,6 +14,9 @@ from packlake.session import materialize
 from packlake.spec import PackSpec
 
 
+SNIFFED = 512  # leading bytes that decide whether a file is text
+
+
 def clean_scan_paths(raw: list[str]) -> list[str]:
     """Normalise user scan paths; a path that leaves the root is an error."""
     out = []
@@ -152,15 +155,16 @@ def kept(selected: DataFrame) -> DataFrame:
 def add_flags(files: DataFrame, max_bytes: int = fixed.DEFAULT_MAX_FILE_BYTES) -> DataFrame:
     """is_binary, is_oversized, and null text for both.
 
-    ``files`` has either ``raw`` bytes or decoded ``content``.  Bytes that hold
-    a NUL or are not UTF-8 are binary; binary wins over oversized.
+    ``files`` has either ``raw`` bytes or decoded ``content``.  Bytes are binary
+    if they hold a NUL, or if over a tenth of the first ``SNIFFED`` are control
+    bytes or no UTF-8; other bytes are decoded leniently.  Binary wins over
+    oversized.
     """
     if "raw" in files.columns:
-        as_text = F.col("raw").cast("string")
-        binary = F.coalesce(
-            F.contains(F.col("raw"), F.lit(b"\x00")) | ~F.is_valid_utf8(as_text), F.lit(False)
-        )
-        body = as_text
+        head = F.substring("raw", 1, SNIFFED)
+        odd = F.regexp_count(F.make_valid_utf8(head.cast("string")), F.lit("[\\x01-\\x06\\x0F-\\x1F\\x{FFFD}]"))
+        binary = F.coalesce(F.contains(F.col("raw"), F.lit(b"\x00")) | (odd * 10 > F.octet_length(head)), F.lit(False))
+        body = F.make_valid_utf8(F.col("raw").cast("string"))
     else:
         binary = F.coalesce(F.contains(F.col("content"), F.lit("\u0000")), F.lit(False))
         body = F.col("content")
