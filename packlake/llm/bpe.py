@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 LEAF_CHARS = 8192
 # White space as the splitting pattern understands it (Unicode White_Space).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BORDER = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 
