@@ -59,9 +59,10 @@ def scan_phase(spark):
 
 
 def compress(spark):
-    """Signature skeletons and their token counts over all files, read as Python."""
-    skeleton = shape.signatures(F.lit("a.py"), F.col("content"))
-    return files(spark).select("pack_id", "path", tokens.count_tokens(skeleton).alias("tokens"))
+    """Signature skeletons and their token counts over all files shaped like source code."""
+    sources = tables.source_like(spark, SF_DIR).unionByName(tables.brace_source_like(spark, SF_DIR))
+    skeleton = shape.signatures(F.col("path"), F.col("content"))
+    return sources.select("pack_id", "path", tokens.count_tokens(skeleton).alias("tokens"))
 
 
 def store_save(spark):

@@ -388,6 +388,33 @@ def p16(spark, sf_dir):
     )
 
 
+# Which lines stay is known from how the file was made.
+BRACE_SKELETON = """brace_lines AS (
+  SELECT pack_id, path, i, i % 6 IN (0, 1, 3) AS kept,
+    CASE i % 6 WHEN 0 THEN concat('import ', substr(line, 1, 20)) WHEN 1 THEN concat('export function f', i, '(a) { /* … */ }')
+      WHEN 3 THEN concat('  method', i, '(x: string): number { /* … */ }') ELSE '  // …' END AS shown
+  FROM lines WHERE regexp_matches(path, '\\.(ts|go)$') AND i % 6 <> 2),
+brace_runs AS (SELECT *, lag(kept, 1, true) OVER (PARTITION BY pack_id, path ORDER BY i) AS after_kept FROM brace_lines)"""
+
+
+@query(
+    "p16_brace_signatures",
+    with_views(
+        "SELECT pack_id, path, string_agg(shown, chr(10) ORDER BY i) AS content, count(*) FILTER (WHERE NOT kept) AS runs "
+        "FROM brace_runs WHERE kept OR after_kept GROUP BY pack_id, path",
+        v.FILES,
+        v.LINES,
+        BRACE_SKELETON,
+    ),
+)
+def p16_braces(spark, sf_dir):
+    skeleton = tables.brace_source_like(spark, sf_dir).select(
+        "pack_id", "path", shape.signatures(F.col("path"), F.col("content")).alias("content")
+    )
+    marks = F.filter(text.lines(F.col("content")), lambda line: line == F.lit(fixed.ELIDED_OTHER))
+    return skeleton.withColumn("runs", F.size(marks).cast("bigint"))
+
+
 @query(
     "w3_elided_runs",
     with_views(

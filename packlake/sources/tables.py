@@ -144,6 +144,26 @@ def source_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def brace_source_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in a language with braces: the lines of ``.ts`` and ``.go`` files recast by line number."""
+    number = lambda i: i.cast("string")
+    shaped = F.transform(
+        text.lines(F.col("content")),
+        lambda line, i: F.when(i % 6 == 0, F.concat(F.lit("import "), F.substring(line, 1, 20)))
+        .when(i % 6 == 1, F.concat(F.lit("export function f"), number(i), F.lit("(a) {")))
+        .when(i % 6 == 2, F.lit(""))
+        .when(i % 6 == 3, F.concat(F.lit("  method"), number(i), F.lit("(x: string): number {")))
+        .when(i % 6 == 4, F.concat(F.lit("    return "), F.substring(line, 1, 10), F.lit(";")))
+        .otherwise(F.concat(F.lit("    // "), line)),
+    )
+    return (
+        files(spark, sf_dir)
+        .filter(F.rlike("path", F.lit("\\.(ts|go)$")))
+        .withColumn("content", F.array_join(shaped, "\n"))
+        .withColumn("size_bytes", F.octet_length("content").cast("bigint"))
+    )
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as HTML files, one pack per host."""
     raw = table(spark, sf_dir, "pages").select("page_id", "url", "html")
