@@ -122,3 +122,81 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken
 FROM placed
 """
+
+
+SQL["op3_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reached AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents
+  UNION
+  SELECT links.v, reached.other FROM reached JOIN links ON links.u = reached.id),
+groups AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
+FROM documents d JOIN groups g ON g.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+SQL["op5_winnowing"] = r"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS place, count(*) OVER () AS n
+  FROM documents),
+changed AS (
+  SELECT a.place, a.doc_id, a.t, substr(a.t, 1, length(a.t) - length(a.t) // 2) || substr(b.t, 1, length(a.t) // 2) AS e, b.t AS next
+  FROM ordered a JOIN ordered b ON b.place = a.place % a.n + 1),
+texts AS (SELECT t AS x FROM changed UNION SELECT e FROM changed UNION SELECT next FROM changed),
+hashed AS (
+  SELECT x, list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]{1,8}'), lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT) AS h FROM texts),
+grams AS (
+  SELECT x, CASE WHEN len(h) = 0 THEN []::BIGINT[]
+    WHEN len(h) < 4 THEN [list_reduce(list_prepend(0::BIGINT, h), lambda a, v: (a * 1000003 + v) % 2147483647)]
+    ELSE list_transform(range(1, len(h) - 2), lambda i:
+      (((h[i] * 1000003 + h[i + 1]) % 2147483647 * 1000003 + h[i + 2]) % 2147483647 * 1000003 + h[i + 3]) % 2147483647) END AS g
+  FROM hashed),
+entries AS (SELECT x, list_transform(g, lambda v, i: v * 4294967296 + 4294967296 - i) AS k FROM grams),
+windows AS (
+  SELECT x, CASE WHEN len(k) = 0 THEN []::BIGINT[] WHEN len(k) < 8 THEN [list_min(k)]
+    ELSE list_transform(range(1, len(k) - 6), lambda i: list_min(k[i:i + 7])) END AS m
+  FROM entries),
+picked AS (SELECT x, list_filter(m, lambda v, i: i = 1 OR v <> m[i - 1]) AS p FROM windows),
+prints AS (
+  SELECT x, array_to_string(list_transform(p, lambda v: concat(4294967295 - v % 4294967296, ':', lower(to_hex(v // 4294967296)))), ',') AS f,
+         list_distinct(list_transform(p, lambda v: v // 4294967296)) AS s
+  FROM picked)
+SELECT c.doc_id, length(c.t)::BIGINT AS n_chars, sha256(c.e) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+       CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0::DOUBLE
+         ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END AS near_edited,
+       CASE WHEN len(a.s) + len(d.s) = 0 THEN 1.0::DOUBLE
+         ELSE len(list_intersect(a.s, d.s))::DOUBLE / (len(a.s) + len(d.s) - len(list_intersect(a.s, d.s))) END AS near_next
+FROM changed c JOIN prints a ON a.x = c.t JOIN prints b ON b.x = c.e JOIN prints d ON d.x = c.next
+"""
+
+SQL["op7_line_dedup"] = r"""
+WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+counted AS (SELECT *, list_transform(ls, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS ws FROM texts),
+lines AS (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM counted),
+-- the shortest passages of 50 words that begin, and that end, at each line
+spans AS (
+  SELECT doc_id, ls, i AS s, list_filter(range(i, len(ls) + 1), lambda j: list_sum(ws[i:j]) >= 50)[1] AS e FROM lines
+  UNION ALL
+  SELECT doc_id, ls, list_filter(range(1, i + 1), lambda j: list_sum(ws[j:i]) >= 50)[-1], i FROM lines),
+runs AS (SELECT DISTINCT doc_id, s, e, array_to_string(ls[s:e], chr(10)) AS run FROM spans WHERE s IS NOT NULL AND e IS NOT NULL),
+copies AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM copies),
+cut AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted, string_agg(l.ls[l.i], chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted,
+       CASE WHEN c.doc_id IS NULL THEN d.text ELSE coalesce(c.kept, '') END AS text
+FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id
+"""
