@@ -121,9 +121,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ep
         F.coalesce("source", F.lit("")).alias("_src"),
     )
     joined = keyed.join(bounded(counted), ["_id", "_no_id", "_tie", "_src"])
-    # equal rows share their copies: each of them stands for its part, the first for the remainder
-    whole = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
+    # rows of one id, source and text share their copies; those that differ elsewhere get their part, rounded up
     single = joined.filter("_rows = 1").select("_row", F.col("_copies").cast("int").alias("_n"))
-    equal = joined.filter("_rows > 1").select("_row", "_copies", "_rows", whole.alias("_whole")).groupBy("_row").agg(F.first("_copies").cast("int").alias("_n"))
+    part = F.ceil(F.first("_copies") * F.count(F.lit(1)) / F.first("_rows")).cast("int")
+    equal = joined.filter("_rows > 1").groupBy("_row").agg(part.alias("_n"))
     repeated = single.unionByName(equal).filter("_n > 0")
     return repeated.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("_row.*")

@@ -245,9 +245,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, all other documents, and rows without an id."""
-    gone = materialize(components_of(docs).filter("doc_id <> component_id").select("doc_id").distinct())
+    """The rows of ``docs`` that stay: one of each group, all documents without words, and rows without an id.
+
+    Of rows that share an id and have words the one with the smallest digest of
+    its text stays.
+    """
+    found = materialize(components_of(docs))
+    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    often = materialize(found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"))
     columns = [F.col(c) for c in docs.columns]
     keyed = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    kept = keyed.join(bounded(gone), "doc_id", "left_anti").select("_row")
-    return kept.select("_row.*")
+    kept = keyed.join(bounded(gone), "doc_id", "left_anti")
+    once = kept.join(bounded(often), "doc_id", "left_anti").select("_row")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("_row.text", F.lit("")).cast("binary"))))
+    first = kept.join(bounded(often), "doc_id", "left_semi").withColumn("_place", place).filter("_place = 1").select("_row")
+    return once.unionByName(first).select("_row.*")

@@ -147,6 +147,8 @@ def test_near_duplicates_odd_rows(clashing):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 8, 9]
     assert neardup.near_duplicates(docs.filter("false")).count() == 0
+    again = clashing([(1, "a b"), (1, "a b"), (2, ""), (2, ""), (3, "c d"), (4, "c d"), (None, "a b")])
+    assert sorted(r.doc_id or 0 for r in neardup.kept_documents(again).collect()) == [0, 1, 2, 2, 3]
 
 
 def plain_targets(sizes, weights=(5, 2, 1)):
