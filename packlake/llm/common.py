@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows: texts are long, and a Python worker holds a batch whole."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -59,7 +59,7 @@ class _WordHashes(dict):
     """64-bit hashes of the words met so far; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

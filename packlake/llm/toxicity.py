@@ -173,7 +173,7 @@ class Known(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = self.lexicon.weight(word)
         return value
