@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
+    return common.small_batches(docs).select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
