@@ -94,48 +94,51 @@ def likeness(one: Column, other: Column) -> Column:
     return _let(hashes(one), lambda a: _let(hashes(other), lambda b: share(a, b)))
 
 
-def _blocks(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The (doc_id, tie) rows with their block (seg, sub), and (doc_id, tie, seg, sub) of what a block borrows."""
+def _blocks(ids: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
+    """How to add a row's block (seg, sub), and the rows (doc_id, tie, to_seg, to_sub) that blocks borrow.
+
+    A block is a function of the id alone, so that no row meets a table to find
+    its own; only one row of each block is looked up, to be lent.
+    """
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / SEGMENTS for k in range(1, SEGMENTS)], 0.002)))
     bounds = F.array(*[F.lit(int(c)).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     segment = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
-    placed = materialize(ids.withColumn("seg", segment))
-    spans = {r.seg: r for r in placed.groupBy("seg").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
-    numbers = sorted(spans)  # SEGMENTS + 1 at most
-    width = {k: max(1.0, (float(r.high) - float(r.low) + 1) * BLOCK / r.n) if r.low is not None else 1.0 for k, r in spans.items()}
-    low = {k: float(r.low) if r.low is not None else 0.0 for k, r in spans.items()}
+    spans = {r.seg: r for r in ids.groupBy(segment.alias("seg")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
+    numbers = sorted(spans) or [0]  # SEGMENTS + 1 at most
+    width = {k: max(1.0, (float(r.high) - float(r.low) + 1) * BLOCK / r.n) if r.low is not None else 1.0 for k, r in spans.items()} or {0: 1.0}
+    low = {k: float(r.low) if r.low is not None else 0.0 for k, r in spans.items()} or {0: 0.0}
     pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for k in numbers for x in (k, values[k])]), F.col("seg"))
-    sub = F.coalesce(F.floor((F.col("doc_id").cast("double") - pick(low)) / pick(width)), F.lit(0)).cast("bigint")
-    rows = materialize(placed.withColumn("sub", sub)) if numbers else placed.withColumn("sub", F.lit(0).cast("bigint"))
-    if not numbers:
-        return rows, rows.select("doc_id", "tie", F.col("seg").alias("to_seg"), F.col("sub").alias("to_sub"))
-    heads = rows.groupBy("seg", "sub").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")).alias("head"))
-    in_segment = Window.partitionBy("seg").orderBy("sub")
+
+    def place(rows: DataFrame) -> DataFrame:
+        sub = F.coalesce(F.floor((F.col("doc_id").cast("double") - pick(low)) / pick(width)), F.lit(0)).cast("bigint")
+        return rows.withColumn("seg", segment).withColumn("sub", sub)
+
+    named = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")
+    heads = materialize(place(ids).groupBy("seg", "sub").agg(F.min(named).alias("head")))
+    last = {r.seg: r["last"] for r in heads.groupBy("seg").agg(F.max("sub").alias("last")).collect()} or {0: 0}
     before = {k: numbers[i - 1] for i, k in enumerate(numbers)}  # the segment before, around the end
-    last = {r.seg: r["last"] for r in rows.groupBy("seg").agg(F.max("sub").alias("last")).collect()}
-    previous = F.lag("sub").over(in_segment)
+    previous = F.lag("sub").over(Window.partitionBy("seg").orderBy("sub"))
     borrowed = heads.select(
         F.col("head.doc_id").alias("doc_id"),
         F.col("head.tie").alias("tie"),
         F.when(previous.isNull(), pick(before)).otherwise(F.col("seg")).alias("to_seg"),
         F.when(previous.isNull(), pick({k: last[before[k]] for k in numbers})).otherwise(previous).alias("to_sub"),
     )
-    return rows, materialize(borrowed)
+    return place, materialize(borrowed)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, picked, next_text, next_picked) per row; the next document by ascending id, around the end."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("tie"))
-    rows, borrowed = _blocks(materialize(base.select("doc_id", "tie")))
-    own = rows.distinct()
-    lent = borrowed.withColumn("_lent", F.lit(True)).select("doc_id", "tie", F.struct(F.col("to_seg").alias("seg"), F.col("to_sub").alias("sub"), F.lit(1).alias("lent")).alias("to"))
-    own = own.select("doc_id", "tie", F.struct(F.col("seg").cast("int").alias("seg"), "sub", F.lit(0).alias("lent")).alias("to"))
-    places = materialize(
-        own.unionByName(lent).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("tie").alias("_tie")).agg(F.collect_set("to").alias("to"))
-    )
-    met = base.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_tie": F.col("tie")}).join(bounded(places), ["_id", "_none", "_tie"])
-    spread = met.select("doc_id", "tie", "text", chosen(F.col("text")).alias("picked"), F.explode("to").alias("to")).select("doc_id", "tie", "text", "picked", "to.*")
+    place, borrowed = _blocks(materialize(base.select("doc_id", "tie")))
+    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_tie": F.col("tie")}
+    lent = borrowed.withColumns(key).drop("doc_id", "tie")
+    met = place(base.withColumns(key)).join(bounded(lent), list(key), "left")
+    own = F.struct("seg", "sub", F.lit(0).alias("lent"))
+    other = F.struct(F.col("to_seg").alias("seg"), F.col("to_sub").alias("sub"), F.lit(1).alias("lent"))
+    to = F.when(F.col("to_seg").isNull(), F.array(own)).otherwise(F.array(own, other))
+    spread = met.select("doc_id", "tie", "text", chosen(F.col("text")).alias("picked"), F.explode(to).alias("to")).select("doc_id", "tie", "text", "picked", "to.*")
     order = Window.partitionBy("seg", "sub").orderBy("lent", F.col("doc_id").asc_nulls_first(), "tie")
     paired = spread.withColumns({"next_text": F.lead("text").over(order), "next_picked": F.lead("picked").over(order)})
     return paired.filter("lent = 0").select("doc_id", "text", "picked", "next_text", "next_picked")
