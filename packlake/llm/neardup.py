@@ -17,11 +17,13 @@ Candidates of a band bucket are not paired off:
    classes of different components are compared.  The classes of all larger ones
    meet in an exact prefix join instead: shingles are ordered by how many of
    these classes hold them, rarest first, and two sets that are similar enough
-   must share one of their first ``n - ceil(0.85 n) + 1`` shingles.
+   must share one of their first ``n - ceil(t n) + 1`` shingles, for a threshold t.
 
 So no bucket is cut or skipped, and pairs inside a component are never listed.
-A pair at the threshold agrees in some band with probability 1 - 2e-8, and
-passes the estimate with 1 - 2e-8; pairs above it do so more surely.
+The threshold is a parameter: 0.85 in op3, 0.80 in the stage of the pipeline.  A
+pair at 0.85 agrees in some band with probability 1 - 2e-8, one at 0.80 with
+1 - 3e-6; they pass the estimate with 1 - 1e-9 and 1 - 1e-8; pairs above the
+threshold do both more surely.
 
 Defined cases: texts without words have the empty set and stay alone; fewer
 than five words are one shingle; rows of one doc_id count as one document; rows
@@ -49,8 +51,9 @@ REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 COLLISION = 0.1695 * 2.0**-MANTISSA  # chance that unequal minima share a register
-LEAST = (85, 100)  # intersection to union
-ESTIMATE = 0.60
+LEAST = (85, 100)  # intersection to union, op3
+STAGE_LEAST = (80, 100)  # the same in the pipeline
+MARGIN = 0.25  # an estimate may lie this far below the threshold
 SMALL_BUCKET = 40
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -146,15 +149,15 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(bounded(ids), "id", "left_semi").mapInPandas(work, "id bigint, own array<bigint>")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) of class ids whose full sets are similar enough."""
     side = lambda name: classes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("regs").alias(f"r_{name}"))
     equal = F.size(F.filter(F.zip_with("r_u", "r_v", lambda a, b: a == b), lambda x: x))
     estimate = (equal / F.lit(float(REGISTERS)) - COLLISION) / (1 - COLLISION)
-    a, b = LEAST
+    a, b = least
     sizes = (F.least("n_u", "n_v") * b >= F.greatest("n_u", "n_v") * a)  # a larger difference rules the pair out
     likely = materialize(
-        bounded(pairs).join(side("u"), "u").join(side("v"), "v").filter(sizes).filter(estimate >= ESTIMATE).select("u", "v", "n_u", "n_v").distinct()
+        bounded(pairs).join(side("u"), "u").join(side("v"), "v").filter(sizes).filter(estimate >= a / b - MARGIN).select("u", "v", "n_u", "n_v").distinct()
     )
     ids = materialize(likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct())
     sets = materialize(_sets(docs, ids))
@@ -174,7 +177,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(buckets, "key")
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Pairs (u, v) of a bucket's classes that lie in different components and can still be similar.
 
     ``place`` is the shared shingle's place in the order of each set's shingles.
@@ -184,18 +187,18 @@ def _across(rows: DataFrame) -> DataFrame:
     one, other = (
         rows.select("key", F.col("id").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}")) for x in "uv"
     )
-    a, b = LEAST
+    a, b = least
     bound = F.least(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")) + 1
     needed = bound * (a + b) >= (F.col("n_u") + F.col("n_v")) * a
     return one.join(other, "key").filter((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & needed).select("u", "v").distinct()
 
 
-def _prefixes(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame, ids: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(key, id, n, place, component): the rarest shingles of each class, as many as the prefix bound needs."""
     sets = materialize(_sets(docs, ids.select("id")).dropDuplicates(["id"]))
     each = sets.select("id", F.size("own").alias("n"), F.explode("own").alias("key"))
     held = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    a, b = LEAST
+    a, b = least
     prefix = F.col("n") - F.ceil(F.col("n") * a / F.lit(b) - 1e-9) + 1
     own = Window.partitionBy("id")
     ranked = (
@@ -206,8 +209,8 @@ def _prefixes(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return ranked.filter(F.col("place") <= prefix).select("key", "id", "n", "place").join(bounded(ids), "id")
 
 
-def components_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row with an id."""
+def components_of(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row with an id; sets of a similarity of at least ``least`` are linked."""
     facts = materialize(sketches(docs))
     known = facts.filter("n > 0")
     first = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("id")))
@@ -220,14 +223,14 @@ def components_of(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("value")
     rows = materialize(banded.join(shared, "value").select(F.col("value").alias("key"), "id"))
     lead = rows.groupBy("key").agg(F.min("id").alias("u"))
-    links = _verified(docs, classes, materialize(rows.join(lead, "key").select("u", F.col("id").alias("v")).filter("u <> v").distinct()))
+    links = _verified(docs, classes, materialize(rows.join(lead, "key").select("u", F.col("id").alias("v")).filter("u <> v").distinct()), least)
     labels = materialize(components(links)).withColumnsRenamed({"node": "id"})
     labelled = rows.join(bounded(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = materialize(_mixed(labelled))
     large = materialize(mixed.filter(F.col("rows") > SMALL_BUCKET).select("id", "component").distinct())
     little = mixed.filter(F.col("rows") <= SMALL_BUCKET).join(classes.select("id", "n"), "id").withColumn("place", F.lit(1))
-    pairs = _across(little).unionByName(_across(_mixed(_prefixes(docs, large))))
-    links = links.unionByName(_verified(docs, classes, materialize(pairs.distinct())))
+    pairs = _across(little, least).unionByName(_across(_mixed(_prefixes(docs, large, least)), least))
+    links = links.unionByName(_verified(docs, classes, materialize(pairs.distinct()), least))
     found = materialize(components(links.unionByName(same)))
     return (
         facts.select("doc_id", F.col("n").alias("n_shingles"))
@@ -244,13 +247,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.unionByName(nameless)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, all documents without words, and rows without an id.
 
     Of rows that share an id and have words the one with the smallest digest of
     its text stays.
     """
-    found = materialize(components_of(docs))
+    found = materialize(components_of(docs, least))
     gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
     often = materialize(found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"))
     columns = [F.col(c) for c in docs.columns]

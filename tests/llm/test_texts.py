@@ -137,6 +137,26 @@ def test_near_duplicates_of_a_crowd(documents, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(rows)).collect()} == expected
 
 
+@pytest.mark.parametrize("small", [neardup.SMALL_BUCKET, 2])
+def test_near_duplicate_stage_links_from_80(documents, monkeypatch, small):
+    """Of pairs between 0.80 and 0.85 the stage keeps one text, op3 both; a crowd meets in the prefix join."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
+    rng = random.Random(12)
+    shared, rows, lone = [f"s{k}" for k in range(60)], [], set()
+    for d in range(0, 80, 2):
+        # k changed words, far apart, change 5 k of 296 shingles: 0.84 for 5, 0.82 for 6, 0.78 for 7
+        base, k = shared + [f"a{d}x{rng.randrange(10**6)}" for _ in range(240)], rng.choice([5, 6, 7])
+        other = [f"b{d}" if 70 <= i and i % 20 == 10 and (i - 70) // 20 < k else w for i, w in enumerate(base)]
+        rows += [(d, " ".join(base)), (d + 1, " ".join(other))]
+        lone |= {d + 1} if k == 7 else set()
+    sets = plain_sets(rows)
+    alike = [len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in range(0, 80, 2)]
+    assert all(x < 0.85 for x in alike) and {d + 1 for d, x in zip(range(0, 80, 2), alike) if x < 0.8} == lone and 5 < len(lone) < 35
+    docs = documents(rows)
+    assert sorted(r.doc_id for r in neardup.kept_documents(docs).collect()) == sorted({d for d, _ in rows if d % 2 == 0} | lone)
+    assert neardup.near_duplicates(docs).filter("kept").count() == len(rows)
+
+
 def test_near_duplicates_odd_rows(clashing):
     docs = clashing(odd_rows())
     got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect() if r.doc_id != 6 and r.doc_id != 7)
