@@ -1,9 +1,11 @@
 """License scans by ordered signature rules (op9), in DataFrame functions only.
 
-A text that holds none of a few keywords is done after one regex.  The words of
-the others are written out with single blanks, and each rule whose own keyword
-is among them is matched.  Rules are ordered by priority; a detection goes if
-another one contains it, or overlaps it with a better priority.
+A text that holds none of a few phrases is done after one regex.  Every phrasing
+and notice names the one it cannot do without, and the regex is made of these.
+The words of the other texts are written out with single blanks, and each rule
+whose own keyword begins one of them is matched.  Rules are ordered by priority;
+a detection goes if another one contains it, or overlaps it with a better
+priority.
 
 The rules come from a table of licenses and a table of phrasings: every license
 name in every phrasing, several hundred rules in all.  A few base phrases are
@@ -27,12 +29,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GATE = rf"(?i)licen[cs]|spdx|copyright|copyleft|public{GAP}domain|all{GAP}rights|cc{GAP}by|cc0|gpl|unlicense|creativecommons"
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Label, keyword, name as it stands in normalised words.
+# Label, keyword that begins a word of every match, name as it stands in normalised words.
 LICENSES = [
     ("0bsd", "0bsd", "0bsd"),
     ("afl-3", "academic", "academic free(?: license)?(?: version)? 3"),
@@ -42,7 +43,8 @@ LICENSES = [
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
     ("artistic-2", "artistic", "artistic(?: license)?(?: version)? 2(?: 0)?"),
     ("beerware", "beerware", "beerware"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", "freebsd"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsl-1", "boost", "boost(?: software)?(?: license)?(?: version)?(?: 1(?: 0)?)?"),
@@ -104,27 +106,27 @@ LICENSES = [
     ("zpl-2.1", "zope", "zope public license(?: version)?(?: 2(?: 1)?)?"),
 ]
 
-# Priority (smaller is better), score, phrasing.
+# Priority (smaller is better), score, words that every match holds, phrasing.
 PHRASINGS = [
-    (1, 1.0, "spdx license identifier {name}"),
-    (2, 0.95, "licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
-    (2, 0.95, "(?:released|distributed|published|provided|available) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
-    (3, 0.9, "(?:opensource org|choosealicense com) licen[cs]es {name}"),
-    (4, 0.85, "under (?:the )?(?:terms of (?:the )?)?{name} licen[cs]e"),
-    (5, 0.7, "{name} licen[cs]es?"),
+    (1, 1.0, "licen[cs]", "spdx license identifier {name}"),
+    (2, 0.95, "licen[cs]", "licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
+    (2, 0.95, "(?:released|distributed|published|provided|available) under", "(?:released|distributed|published|provided|available) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?"),
+    (3, 0.9, "licen[cs]", "(?:opensource org|choosealicense com) licen[cs]es {name}"),
+    (4, 0.85, "licen[cs]", "under (?:the )?(?:terms of (?:the )?)?{name} licen[cs]e"),
+    (5, 0.7, "licen[cs]", "{name} licen[cs]es?"),
 ]
 
-# Notices that name no license of the table: label, keyword, priority, score, words.
+# Notices that name no license of the table: label, keyword, priority, score, words that every match holds, words.
 NOTICES = [
-    ("all-rights-reserved", "reserved", 6, 0.6, "all rights reserved"),
-    ("public-domain", "domain", 4, 0.8, "(?:released into|dedicated to|placed in|in) the public domain"),
-    ("proprietary", "proprietary", 5, 0.7, "proprietary (?:and confidential|licen[cs]e|software)"),
-    ("copyright", "copyright", 7, 0.4, "copyright(?: c)? (?:19|20)[0-9]{2}"),
-    ("gpl-3", "general", 1, 0.95, "licen[cs]ed under the (?:gnu )?general public license version 3"),
-    ("gpl-2", "general", 1, 0.95, "licen[cs]ed under the (?:gnu )?general public license version 2"),
-    ("mit", "permission", 1, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission", 1, 1.0, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution", 1, 1.0, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("all-rights-reserved", "reserved", 6, 0.6, "all rights", "all rights reserved"),
+    ("public-domain", "domain", 4, 0.8, "public domain", "(?:released into|dedicated to|placed in|in) the public domain"),
+    ("proprietary", "proprietary", 5, 0.7, "proprietary", "proprietary (?:and confidential|licen[cs]e|software)"),
+    ("copyright", "copyright", 7, 0.4, "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}"),
+    ("gpl-3", "general", 1, 0.95, "licen[cs]", "licen[cs]ed under the (?:gnu )?general public license version 3"),
+    ("gpl-2", "general", 1, 0.95, "licen[cs]", "licen[cs]ed under the (?:gnu )?general public license version 2"),
+    ("mit", "permission", 1, 1.0, "permission (?:is|to)", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", "permission", 1, 1.0, "permission (?:is|to)", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", 1, 1.0, "redistribution and", "redistribution and use in source and binary forms with or without modification are permitted"),
 ]
 
 
@@ -132,13 +134,22 @@ def rules() -> list[dict]:
     """Every license in every phrasing, then the notices; the regex stands between blanks."""
     out = [
         {"label": label, "keyword": keyword, "priority": priority, "score": score, "regex": phrase.replace("{name}", name)}
-        for priority, score, phrase in PHRASINGS
+        for priority, score, _, phrase in PHRASINGS
         for label, keyword, name in LICENSES
     ]
-    out += [dict(zip(("label", "keyword", "priority", "score", "regex"), row)) for row in NOTICES]
+    out += [
+        {"label": label, "keyword": keyword, "priority": priority, "score": score, "regex": words} for label, keyword, priority, score, _, words in NOTICES
+    ]
     return [r | {"regex": f"(?<= ){r['regex']}(?= )"} for r in out]
 
 
+def _gate() -> str:
+    """A regex for raw texts: what every phrasing, notice and base phrase cannot do without."""
+    needed = dict.fromkeys([p[2] for p in PHRASINGS] + [n[4] for n in NOTICES] + [b for b in BASE if "license" not in b])
+    return "(?i)" + "|".join(words.replace(" ", GAP) for words in needed)
+
+
+GATE = _gate()
 RULE_TYPE = "array<struct<label:string,keyword:string,priority:int,score:double,regex:string>>"
 
 
@@ -216,7 +227,7 @@ def scan(docs: DataFrame) -> DataFrame:
     met = gated.withColumn("words", F.when(F.size("words") > 0, F.col("words")))
 
     def detections(normal: Column) -> Column:
-        likely = F.filter(table, lambda r: F.contains(normal, F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+        likely = F.filter(table, lambda r: F.contains(normal, F.concat(F.lit(" "), r["keyword"])))
         return _let(F.flatten(F.transform(likely, lambda r: _occurrences(normal, r))), _suppressed)
 
     found = met.select(

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from itertools import combinations
+from re import _constants, _parser
 
 import public_tokenizers
 import pytest
@@ -362,3 +363,47 @@ def test_licenses(clashing):
     assert [str(x) for x in got] == [str(x) for x in sorted((d or 0, *plain_scan(t)) for d, t in rows)]
     assert licenses.scan(clashing(rows).filter("false")).count() == 0
     assert len(licenses.rules()) > 300
+
+
+def spellings(regex):
+    """Every text that a rule's regex stands for."""
+
+    def of(parsed):
+        out = [""]
+        for op, arg in parsed:
+            if op is _constants.LITERAL:
+                more = [chr(arg)]
+            elif op is _constants.IN:
+                more = [chr(c) for kind, x in arg for c in ([x] if kind is _constants.LITERAL else range(x[0], x[1] + 1))]
+            elif op is _constants.MAX_REPEAT:
+                more = [y for n in range(arg[0], arg[1] + 1) for y in ([""] if not n else of(list(arg[2]) * n))]
+            elif op is _constants.BRANCH:
+                more = [y for branch in arg[1] for y in of(branch)]
+            elif op is _constants.SUBPATTERN:
+                more = of(arg[3])
+            else:
+                assert op in (_constants.ASSERT, _constants.ASSERT_NOT)
+                continue
+            out = [a + b for a in out for b in more]
+        return out
+
+    return of(_parser.parse(regex))
+
+
+def test_licenses_each_rule_alone(documents):
+    """Nothing that a rule matches is kept from it: neither by the gate nor by its keyword."""
+    texts = ["Licensed under AGPLv3", "FreeBSD license", "Licensed under GPL2", "mpl2 license", "Released\nunder Apache 2.0", "Distributed under the BSD 3-Clause", "Proprietary and confidential"]
+    gate = re.compile(licenses.GATE)
+    for rule in licenses.rules():
+        every = sorted({" ".join(x.split()) for x in spellings(rule["regex"]) if re.search(rule["regex"], f" {x} ")}, key=lambda x: (len(x), x))
+        assert every
+        for text in every:
+            assert gate.search(text.upper().replace(" ", "-\n")), text
+            assert f" {rule['keyword']}" in f" {text}", (rule, text)
+        texts += [every[0], every[-1].title(), every[len(every) // 2].upper()]
+    for phrase in licenses.BASE:
+        assert gate.search(phrase.replace(" ", " - "))
+    rows = list(enumerate(texts))
+    got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.scan(documents(rows)).collect())
+    assert [str(x) for x in got] == [str((d, *plain_scan(t))) for d, t in rows]
+    assert all(r[-2] and r[-1] > 0 for r in got)
