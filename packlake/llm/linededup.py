@@ -17,8 +17,12 @@ repeated run is the union of its shortest passages: those that begin at each of
 its lines and those that end at each of them.  So only these are looked up, and
 the doubling ends at the longest of them.
 
-A line is deleted if it lies in a run of at least ``MIN_WORDS`` words that
-occurs earlier, in the order of (doc_id, line).  Occurrences may lie in one
+Shorter runs are passages too where they are common: in the pipeline, those of
+at least ``COMMON_WORDS`` words whose interval holds ``COMMON_TIMES`` suffixes
+or more.  op7 has the first rule only, as its SQL twin.
+
+A line is deleted if it lies in a passage that occurs earlier, in the order of
+(doc_id, line).  Occurrences may lie in one
 document and may overlap.  Lines are compared exactly, by 128-bit hashes.
 
 Defined cases: a null text stays null, an empty one empty; rows without an id
@@ -41,6 +45,7 @@ from packlake.operators.spread import running
 from packlake.session import materialize
 
 MIN_WORDS = 50
+COMMON_WORDS, COMMON_TIMES = 5, 20  # shorter runs, in the pipeline
 DOC = ["d", "tie"]
 
 
@@ -77,19 +82,19 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.filter("text IS NOT NULL AND text <> ''").select(*_keyed(docs), "text").mapInPandas(work, schema)
 
 
-def _ranked(suffixes: DataFrame, names: list[str]) -> DataFrame:
-    """Suffixes that share ``names`` with another, with their rank in the order of ``names``."""
-    groups = suffixes.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+def _ranked(suffixes: DataFrame, names: list[str], times: int) -> DataFrame:
+    """Suffixes whose ``names`` at least ``times`` suffixes have, with their rank in the order of ``names``."""
+    groups = suffixes.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= times)
     ranks = running(groups, [], [F.col(c) for c in names], {"rank": "_n"})
     return suffixes.join(ranks.drop("_n"), names).drop(*names)
 
 
-def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(d, tie, start, lines): shortest passages that occur earlier."""
+def repeated_runs(docs: DataFrame, least: int = MIN_WORDS, times: int = 2) -> DataFrame:
+    """(d, tie, start, lines): shortest passages of ``least`` words that occur earlier, and at least ``times`` times in all."""
     lines = materialize(_lines(docs, least))
-    twice = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("h1", "h2")
+    twice = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= times).select("h1", "h2")
     repeated = materialize(lines.join(twice, ["h1", "h2"]).dropDuplicates([*DOC, "pos"]))
-    first = materialize(_ranked(repeated, ["h1", "h2"]))
+    first = materialize(_ranked(repeated, ["h1", "h2"], times))
     windows = (
         first.filter("begins > 0").select(*DOC, F.col("pos").alias("start"), F.col("begins").alias("lines"))
         .unionByName(first.filter("ends > 0").select(*DOC, (F.col("pos") - F.col("ends") + 1).alias("start"), F.col("ends").alias("lines")))
@@ -104,7 +109,7 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     ranks = level.withColumn("level", F.lit(0))
     for k in range(highest):
         behind = level.select(*DOC, (F.col("pos") - 2**k).alias("pos"), F.col("rank").alias("behind"))
-        level = materialize(_ranked(level.withColumnRenamed("rank", "before").join(behind, [*DOC, "pos"]), ["before", "behind"]))
+        level = materialize(_ranked(level.withColumnRenamed("rank", "before").join(behind, [*DOC, "pos"]), ["before", "behind"], times))
         ranks = ranks.unionByName(level.withColumn("level", F.lit(k + 1)))
     span = F.pow(F.lit(2.0), F.col("level")).cast("bigint")
     at = lambda name, rank: ranks.withColumnsRenamed({"pos": name, "rank": rank})
@@ -116,14 +121,16 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     )
     named = materialize(named)
     interval = ["lines", "rank_1", "rank_2"]
-    earliest = named.groupBy(*interval).agg(F.min(F.struct(*DOC, "start")).alias("earliest"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    earliest = named.groupBy(*interval).agg(F.min(F.struct(*DOC, "start")).alias("earliest"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= times)
     return named.join(earliest, interval).filter(F.struct(*DOC, "start") != F.col("earliest")).select(*DOC, "start", "lines")
 
 
-def _cut(docs: DataFrame, least: int) -> DataFrame:
+def _cut(docs: DataFrame, least: int, common: tuple[int, int] | None = None) -> DataFrame:
     """(_row, n_lines, n_deleted, text): each row as it was, and its text without the copies."""
     runs = repeated_runs(docs, least)
-    # a document's runs are at most two for each of its lines
+    if common:
+        runs = runs.unionByName(repeated_runs(docs, *common))
+    # a document's runs are at most two a rule for each of its lines
     gone = materialize(runs.groupBy(*DOC).agg(F.collect_list(F.struct("start", "lines")).alias("runs")))
 
     @F.pandas_udf("struct<n_deleted:bigint,text:string>")
@@ -156,9 +163,9 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return _cut(docs, least).select("_row.doc_id", "n_lines", "n_deleted", "text")
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = MIN_WORDS, common: tuple[int, int] | None = (COMMON_WORDS, COMMON_TIMES)) -> DataFrame:
     """Rows with the columns of ``docs`` (and new ``text`` and ``n_chars``); rows that lost their last word are gone."""
-    cut = _cut(docs, least).filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = _cut(docs, least, common).filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     columns = {c: F.col(f"_row.{c}") for c in docs.columns}
     columns["text"] = F.col("text")
     if "n_chars" in columns:

@@ -67,6 +67,20 @@ def test_line_dedup(documents):
     assert got == {d: plain_lines(rows)[d, t] if t else t for d, t in rows}
 
 
+def test_line_dedup_stage_drops_common_short_lines(documents):
+    """A short line that stands in many texts stays in the first only; rarer and very short ones stay, and op7 keeps them all."""
+    rng = random.Random(6)
+    common, pair, rare, little = "read more about this on our site today", ["all of this is free", "for you and yours"], "this line is not very common at all", "see also"
+    rows = []
+    for d in range(linededup.COMMON_TIMES + 5):
+        own = [text_of(rng, 12), common, text_of(rng, 12), *pair, text_of(rng, 12), little, text_of(rng, 12)]
+        rows.append((d, "\n".join(own + [rare] * (d < linededup.COMMON_TIMES - 1))))
+    gone = {common, *pair}
+    expected = {d: t if d == 0 else "\n".join(x for x in t.split("\n") if x not in gone) for d, t in rows}
+    assert {r.doc_id: r.text for r in linededup.deduplicated(documents(rows)).collect()} == expected
+    assert all(r.n_deleted == 0 for r in linededup.deletions(documents(rows)).collect())
+
+
 def test_line_dedup_odd_rows(clashing):
     rng = random.Random(6)
     line = text_of(rng, 55)
