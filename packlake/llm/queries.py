@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import ann, bpe, htmltext, licenses, linededup, mixing, neardup, quality, toxicity, winnow
+from packlake.llm import ann, bpe, htmltext, licenses, linededup, mixing, neardup, quality, repair, sharding, spelling, toxicity, winnow
 from packlake.llm.common import held_out, table
+from packlake.llm.twins import CRC_TABLE, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +87,22 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(conversations, repair.damaged(conversations))
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 SQL["op1_mixing"] = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, source IS NULL AS no_source, coalesce(source, '') AS src, coalesce(text, '') AS t,
@@ -200,3 +217,95 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)
        CASE WHEN c.doc_id IS NULL THEN d.text ELSE coalesce(c.kept, '') END AS text
 FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id
 """
+
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+source AS (
+  SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, conv_id IS NULL AS no_conv, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS chance
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv, no_conv, turn, CASE chance WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE chance WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE chance WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM source),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY no_conv, conv ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS tail FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY no_conv, conv, role, text ORDER BY place) > 1 THEN 'duplicate'
+                 WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS initial,
+         lag(left(role, 1)) OVER (PARTITION BY no_conv, conv ORDER BY place) || left(role, 1) AS pair
+  FROM placed),
+facts AS (
+  SELECT no_conv, conv, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM marked GROUP BY no_conv, conv),
+-- cheapest edits that leave nothing, s, ...u, ...a; 'far' is out of reach
+paths AS (
+  SELECT no_conv, conv, 0::BIGINT AS place, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS e, {{'c': 1000000::BIGINT, 'a': '', 'o': ''}} AS s,
+         {{'c': 2::BIGINT, 'a': 'I', 'o': 'u'}} AS u, {{'c': 4::BIGINT, 'a': 'II', 'o': 'ua'}} AS p
+  FROM facts
+  UNION ALL
+  SELECT no_conv, conv, place, e, s, u1, list_min([p0, {{'c': u1.c + 2, 'a': u1.a || 'I', 'o': u1.o || 'a'}}]) FROM (
+    SELECT *, list_min([u0, {{'c': open.c + 2, 'a': open.a || 'I', 'o': open.o || 'u'}}]) AS u1 FROM (
+      SELECT *, list_min([e, s, p0]) AS open FROM (
+        SELECT no_conv, conv, place, {{'c': e.c + 3, 'a': e.a || 'D', 'o': e.o || '-'}} AS e,
+               list_min([{{'c': s.c + 3, 'a': s.a || 'D', 'o': s.o || '-'}}, {{'c': e.c + CASE WHEN stays AND initial = 's' THEN more ELSE 1000000 END, 'a': e.a || 'K', 'o': e.o || 's'}}]) AS s,
+               list_min([{{'c': u.c + 3, 'a': u.a || 'D', 'o': u.o || '-'}}, {{'c': before.c + CASE WHEN stays AND initial = 'u' THEN more ELSE 1000000 END, 'a': before.a || 'K', 'o': before.o || 'u'}},
+                         {{'c': before.c + CASE WHEN stays THEN 2 + more ELSE 1000000 END, 'a': before.a || 'R', 'o': before.o || 'u'}}]) AS u0,
+               list_min([{{'c': p.c + 3, 'a': p.a || 'D', 'o': p.o || '-'}}, {{'c': u.c + CASE WHEN stays AND initial = 'a' THEN more ELSE 1000000 END, 'a': u.a || 'K', 'o': u.o || 'a'}},
+                         {{'c': u.c + CASE WHEN stays THEN 2 + more ELSE 1000000 END, 'a': u.a || 'R', 'o': u.o || 'a'}}]) AS p0
+        FROM (
+          SELECT w.*, m.initial, m.fault NOT IN ('blank', 'duplicate') AS stays, CASE m.fault WHEN 'truncated' THEN 1 ELSE 0 END AS more, m.place AS new_place, list_min([w.e, w.s, w.p]) AS before
+          FROM paths w JOIN marked m ON m.no_conv = w.no_conv AND m.conv = w.conv AND m.place = w.place + 1) AS met(no_conv, conv, old_place, e, s, u, p, initial, stays, more, place, before))))),
+best AS (
+  SELECT w.no_conv, w.conv, list_min([w.e, w.p]) AS way FROM paths w JOIN facts f ON f.no_conv = w.no_conv AND f.conv = w.conv AND f.n = w.place),
+edits AS (
+  SELECT no_conv, conv, i, substr(way.a, i, 1) AS edit, substr(way.o, i, 1) AS role_to, length(replace(substr(way.a, 1, i), 'I', '')) AS place
+  FROM (SELECT *, unnest(range(1, length(way.a) + 1)) AS i FROM best)),
+texts AS (
+  SELECT x.no_conv, x.conv, string_agg(CASE WHEN edit = 'K' THEN m.role WHEN role_to = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE m.text END, chr(10) ORDER BY i) AS repaired
+  FROM edits x LEFT JOIN marked m ON m.no_conv = x.no_conv AND m.conv = x.conv AND m.place = x.place AND edit <> 'I'
+  WHERE edit <> 'D' GROUP BY x.no_conv, x.conv)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(way.c, 0)::BIGINT AS cost, coalesce(way.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv, no_conv FROM source) d
+LEFT JOIN facts f ON f.no_conv = d.no_conv AND f.conv = d.conv
+LEFT JOIN best b ON b.no_conv = d.no_conv AND b.conv = d.conv
+LEFT JOIN texts t ON t.no_conv = d.no_conv AND t.conv = d.conv
+"""
+
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+hashed AS (SELECT run, n, {crc32("concat(id, ':', run)")} AS h FROM counted, crc_table),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+-- every word with one code point left out
+less AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+counts AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+best AS (SELECT word, other, n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, c.n_near, CASE WHEN b.n >= 2 * w.n THEN b.other END AS form, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN counts c ON c.word = w.word LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, word AS place, 0 AS step FROM forms
+  UNION ALL
+  SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON f.word = c.place WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(place, step) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, r.root, f.n, coalesce(f.n_near, 0)::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
