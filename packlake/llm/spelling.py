@@ -19,7 +19,9 @@ comparing words with words:
   the first pivot, or else left of the second.  So the first pivot is probed
   with everything up to its end, the second with everything from its start, and
   with each of the three possible lengths.  The key is a 64-bit hash of these.
-* Candidates are verified by their edit distance.
+* Candidates are verified by their edit distance.  Before that, numbers made with
+  the keys are compared: beyond the edit's side, two words agree in their last
+  two code points or in all but these (first two, for edits on the left).
 
 Keys that very many words share are split into parts of ``PART`` probing words.
 Words over ``INLINE`` code points travel as hashes until they are verified, since
@@ -43,7 +45,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packlake.session import materialize
@@ -55,7 +57,7 @@ KEPT_WORDS = 100_000  # words a task remembers before it hands its counts on
 PREFIX, INLINE, PART, ROWS = 3, 64, 1024, 10_000
 MODULUS, BASE = 2**61 - 1, 1_000_003
 COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
-KEYS = pa.schema([("wid", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("last", pa.int32()), ("kind", pa.int32()), ("key", pa.int64())])
+KEYS = pa.schema([("wid", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("last", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("far", pa.int32()), ("near", pa.int32()), ("nearer", pa.int32())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -122,8 +124,15 @@ def pivots(places: list[int], weights: list[int]) -> tuple[int, int]:
     return pair[1], pair[2]
 
 
-def word_keys(word: str, order: dict[str, tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
-    """The last rank of the word's prefix, and its keys: kind 0 to be probed with, kind 1 to be found by."""
+def word_keys(word: str, order: dict[str, tuple[int, int]]) -> tuple[int, list[tuple[int, int, int, int, int | None]]]:
+    """The last rank of the word's prefix, and its keys (kind, key, far, near, nearer).
+
+    Kind 0 is probed with, kind 1 is found by.  ``far`` stands for the two code
+    points at the end the edit may be at, ``near`` for all others of the shorter
+    word.  A found word may turn out the longer one, so it brings ``near`` for
+    a partner of its length or more and ``nearer`` for a shorter one; a probe has
+    None there unless it looks for a longer word.
+    """
     length = len(word)
     grams = [order[word[i : i + 2]] for i in range(length - 1)]
     last = sorted(rank for rank, _ in grams)[PREFIX - 1]
@@ -134,13 +143,16 @@ def word_keys(word: str, order: dict[str, tuple[int, int]]) -> tuple[int, list[t
         heads[i + 1] = (heads[i] * BASE + ord(c) + 1) % MODULUS
     for i in range(length - 1, -1, -1):
         tails[i] = (tails[i + 1] * BASE + ord(word[i]) + 1) % MODULUS
+    low = 2**31 - 1
+    fars = (tails[length - 2] & low, heads[2] & low)
+    nears = ((heads[length - 2] & low, heads[length - 3] & low), (tails[2] & low, tails[3] & low))
 
     def key(side: int, at: int, size: int) -> int:
         rest = heads[at + 2] if side == 0 else tails[at]
         return ((rest * BASE + size) * 2 + side) % MODULUS
 
-    keys = [(0, key(side, at, length + more)) for side, at in ((0, first), (1, second)) for more in (-1, 0, 1)]
-    return last, keys + [(1, key(side, at, length)) for at in places for side in (0, 1)]
+    probes = [(0, key(side, at, length + more), fars[side], nears[side][more < 0], more if more > 0 else None) for side, at in ((0, first), (1, second)) for more in (-1, 0, 1)]
+    return last, probes + [(1, key(side, at, length), fars[side], *nears[side]) for at in places for side in (0, 1)]
 
 
 def _keyed(words: DataFrame, order: dict[str, tuple[int, int]], inline: bool) -> DataFrame:
@@ -149,21 +161,14 @@ def _keyed(words: DataFrame, order: dict[str, tuple[int, int]], inline: bool) ->
         for batch in batches:
             for wid, word, n in zip(*[batch.column(c).to_pylist() for c in ("wid", "word", "n")]):
                 last, keys = word_keys(word, order)
-                for kind, key in keys:
-                    out.append((wid, word if inline else None, n, last, kind, key))
+                for key in keys:
+                    out.append((wid, word if inline else None, n, last, *key))
                     if len(out) >= ROWS:
                         yield _batch(out, KEYS)
                         out = []
         yield _batch(out, KEYS)
 
-    return words.mapInArrow(rows, "wid bigint, word string, n bigint, last int, kind int, key bigint")
-
-
-def _near(a: Column, b: Column) -> Column:
-    """Exactly one edit.  Two cheap tests go first: all but one edit's surroundings must agree at one end."""
-    least = F.least(F.char_length(a), F.char_length(b)) - 2
-    back = (F.right(a, F.lit(2)) == F.right(b, F.lit(2))) | (F.left(a, least) == F.left(b, least))
-    return back & (F.levenshtein(a, b, 1) == 1)
+    return words.mapInArrow(rows, "wid bigint, word string, n bigint, last int, kind int, key bigint, far int, near int, nearer int")
 
 
 def _links(words: DataFrame, order: dict[str, tuple[int, int]], inline: bool) -> DataFrame:
@@ -172,20 +177,23 @@ def _links(words: DataFrame, order: dict[str, tuple[int, int]], inline: bool) ->
     probes, index = keyed.filter("kind = 0"), keyed.filter("kind = 1")
     parts = F.ceil(F.count(F.lit(1)) / PART).cast("int")
     crowded = materialize(probes.groupBy("key").agg(parts.alias("parts")).filter("parts > 1"))
+    carried = ("wid", "word", "n", "last", "far", "near", "nearer")
     probe = probes.join(crowded, "key", "left").select(
         "key",
         F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("wid", F.col("parts"))).cast("int").alias("part"),
-        *[F.col(c).alias(f"a_{c}") for c in ("wid", "word", "n", "last")],
+        *[F.col(c).alias(f"a_{c}") for c in carried],
     )
     found = index.join(crowded, "key", "left").select(
         "key",
         F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
-        *[F.col(c).alias(f"b_{c}") for c in ("wid", "word", "n", "last")],
+        *[F.col(c).alias(f"b_{c}") for c in carried],
     )
     # a prefix that ends first probes the other; of two that end alike each probes the other
     met = (probe["key"] == found["key"]) & (probe["part"] == found["part"]) & (F.col("a_last") <= F.col("b_last"))
+    met &= (F.col("a_far") == F.col("b_far")) | (F.col("a_near") == F.when(F.col("a_nearer").isNull(), F.col("b_near")).otherwise(F.col("b_nearer")))
+    verified = F.levenshtein("a_word", "b_word", 1) == 1
     if inline:
-        hits = probe.join(found, met & _near(F.col("a_word"), F.col("b_word")))
+        hits = probe.join(found, met & verified)
     else:
         text = words.select("wid", "word")
         hits = (
@@ -194,7 +202,7 @@ def _links(words: DataFrame, order: dict[str, tuple[int, int]], inline: bool) ->
             .distinct()
             .join(text.select(F.col("wid").alias("a_wid"), F.col("word").alias("a_word")), "a_wid")
             .join(text.select(F.col("wid").alias("b_wid"), F.col("word").alias("b_word")), "b_wid")
-            .filter(_near(F.col("a_word"), F.col("b_word")))
+            .filter(verified)
         )
     one, other = F.struct(F.col("a_word").alias("w"), F.col("a_n").alias("n")), F.struct(F.col("b_word").alias("w"), F.col("b_n").alias("n"))
     pair = hits.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
