@@ -505,7 +505,7 @@ def p19(spark, sf_dir):
     ),
 )
 def p20(spark, sf_dir):
-    plan = v.plan(spark, sf_dir, PackSpec(collation=v.BINARY, max_file_kb=10))
+    plan = v.plan(spark, sf_dir, PackSpec(collation=v.BINARY))
     return pack.hogs(plan).select("pack_id", F.col("entry").alias("path"), "percent", "band")
 
 

@@ -9,6 +9,7 @@ from packlake.functions import text
 from packlake.operators import history, ignore, scan, stack
 from packlake.plans import pack, store
 from packlake.sources import corpus, tables
+from packlake.session import materialize
 from packlake.spec import PackSpec
 
 
@@ -199,7 +200,7 @@ def f2(spark, sf_dir):
 
 def _rejected(spark, sf_dir, excludes=None):
     mixed = v.mixed(spark, sf_dir)
-    return ignore.ignored_paths(mixed, ignore.rule_sets(ignore.rule_lines(mixed)), excludes)
+    return ignore.ignored_paths(mixed, materialize(ignore.rule_sets(ignore.rule_lines(mixed))), excludes)
 
 
 @query(

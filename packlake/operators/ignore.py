@@ -4,9 +4,16 @@ Two rule dialects exist.  *Globs* (built-in excludes, includes) test a whole
 path.  *Ignore rules* (rule files, user excludes) are ordered, may be negated,
 apply to directories as well, and cascade from the pack root downwards.
 
-Rule files are rows of the corpus.  Their translated patterns are gathered into
-one array per (pack, directory) and joined to the paths below that directory;
-the verdict itself is a row-local expression.
+Rule files are rows of the corpus.  The rules of one directory become a single
+regex, an alternation from the last rule to the first whose match ends at a
+letter that tells ignored from rescued (:func:`tagged`).  Rows are sorted by rule
+set before they are tested, so a set is compiled once per task.
+
+Directories are decided before files.  For every distinct (pack, directory) and
+every rule set above it, the way down from the set's directory is tested until an
+ignored directory is met; that closes the set for all that lies below.  A file is
+tested only against sets that are open in its directory and lie deeper than the
+deepest closed one; without such sets its directory has decided.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from pyspark.sql import types as T
 from packlake import fixed
 from packlake.functions import paths, text
 from packlake.operators.spread import join_per_pack
+from packlake.session import materialize
 
 # ---------------------------------------------------------------- translation
 
@@ -93,10 +101,10 @@ def glob_regex(glob: str) -> str:
     return rf"\A{_path_regex(glob.removeprefix('./'), braces=True)}\z"
 
 
-def rule_regex(pattern: str) -> tuple[str, bool] | None:
-    """Regex and polarity of one ignore-file line; None for blanks and comments.
+def rule_body(pattern: str) -> tuple[str, bool] | None:
+    """Regex of one ignore-file line for a whole path, and its polarity; None for blanks and comments.
 
-    The regex ignores case and is tested against ``dir/`` for directories and
+    It is tested without regard to case, against ``dir/`` for directories and
     ``dir/file`` for files.  A pattern without an inner slash matches at any depth.
     """
     line = pattern.strip()
@@ -111,22 +119,23 @@ def rule_regex(pattern: str) -> tuple[str, bool] | None:
     line = line.rstrip("/") if directory_only else line
     if not line:
         return None
-    anchored = "/" in line
-    line = line.removeprefix("/")
-    body = _path_regex(line, braces=False)
-    start = r"(?iu)\A" if anchored else r"(?iu)\A(?:.*/)?"
-    return rf"{start}{body}{'/' if directory_only else '/?'}\z", negated
+    start = "" if "/" in line else "(?:.*/)?"
+    return f"{start}{_path_regex(line.removeprefix('/'), braces=False)}{'/' if directory_only else '/?'}", negated
+
+
+def rule_regex(pattern: str) -> tuple[str, bool] | None:
+    """Anchored regex and polarity of one ignore-file line; None for blanks and comments."""
+    rule = rule_body(pattern)
+    return rule and (rf"(?iu)\A{rule[0]}\z", rule[1])
 
 
-RULE = T.StructType([T.StructField("regex", T.StringType()), T.StructField("negated", T.BooleanType())])
+RULE = T.StructType([T.StructField("body", T.StringType()), T.StructField("negated", T.BooleanType())])
 
 
 @F.pandas_udf(RULE)
-def rule_regex_udf(pattern: pd.Series) -> pd.DataFrame:
-    """Vectorised :func:`rule_regex` for the (few) lines of rule files."""
-    return pd.DataFrame(
-        [rule_regex(p) or (None, None) for p in pattern], columns=["regex", "negated"]
-    )
+def rule_body_udf(pattern: pd.Series) -> pd.DataFrame:
+    """Vectorised :func:`rule_body` for the (few) lines of rule files."""
+    return pd.DataFrame([rule_body(p) or (None, None) for p in pattern], columns=["body", "negated"])
 
 
 # ---------------------------------------------------------------------- globs
@@ -175,42 +184,39 @@ def rule_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def rule_sets(lines: DataFrame) -> DataFrame:
-    """One ordered array of translated rules per (pack, base).
+IGNORED, RESCUED = "I", "N"
+SIGNS = "\x01" + IGNORED + RESCUED
 
-    A rule array is as long as the rule files of one directory.
-    """
-    translated = lines.withColumn("rule", rule_regex_udf("pattern")).filter("rule.regex IS NOT NULL")
-    return (
-        translated.groupBy("pack_id", "base", "depth")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("source", "line_no", "rule.regex", "rule.negated"))
-            ).alias("ordered")
-        )
-        .select(
-            "pack_id",
-            "base",
-            "depth",
-            F.transform("ordered", lambda r: F.struct(r["regex"], r["negated"])).alias("rules"),
-        )
-    )
 
+def _alternative(body, negated):
+    """A rule's part of a tagged regex: its match ends before the letter of its polarity."""
+    ignored = F.concat(F.lit("(?:"), body, F.lit(rf")\x01(?={IGNORED}{RESCUED}\z)"))
+    rescued = F.concat(F.lit("(?:"), body, F.lit(rf")\x01{IGNORED}(?={RESCUED}\z)"))
+    return F.when(negated, rescued).otherwise(ignored)
 
-# ------------------------------------------------------------------- verdicts
 
-IGNORED, RESCUED = 1, -1
+def tagged(rules: Column) -> Column:
+    """One regex for an ordered array of (body, negated), the last rule tried first."""
+    alternatives = F.transform(F.reverse(rules), lambda r: _alternative(r["body"], r["negated"]))
+    return F.concat(F.lit(r"(?iu)\A(?:"), F.array_join(alternatives, "|"), F.lit(")(.)"))
 
 
-def _last_match(subject: Column, rules: Column) -> Column:
-    """Verdict of the last matching rule of an array column, 0 when none matches."""
-    return F.aggregate(
-        rules,
-        F.lit(0),
-        lambda acc, r: F.when(
-            F.rlike(subject, r["regex"]), F.when(r["negated"], RESCUED).otherwise(IGNORED)
-        ).otherwise(acc),
-    )
+def _tag(subject: Column, regex: Column) -> Column:
+    """``IGNORED`` or ``RESCUED`` by the last rule that matches, empty when none does.
+
+    The extracting function keeps the last regex compiled, unlike a plain match.
+    """
+    return F.coalesce(F.call_function("regexp_extract", F.concat(subject, F.lit(SIGNS)), regex, F.lit(1)), F.lit(""))
+
+
+def rule_sets(lines: DataFrame) -> DataFrame:
+    """(pack_id, base, depth, regex): one tagged regex per (pack, base), as long as the rule files of one directory."""
+    translated = lines.withColumn("rule", rule_body_udf("pattern")).filter("rule.body IS NOT NULL")
+    ordered = F.sort_array(F.collect_list(F.struct("source", "line_no", "rule.body", "rule.negated")))
+    return translated.groupBy("pack_id", "base", "depth").agg(ordered.alias("rules")).select("pack_id", "base", "depth", tagged(F.col("rules")).alias("regex"))
+
+
+# ------------------------------------------------------------------- verdicts
 
 
 def _last_match_fixed(subject: Column, rules: list[tuple[str, bool]]) -> Column:
@@ -219,7 +225,7 @@ def _last_match_fixed(subject: Column, rules: list[tuple[str, bool]]) -> Column:
     for regex, negated in reversed(rules):
         test, value = F.rlike(subject, F.lit(regex)), F.lit(RESCUED if negated else IGNORED)
         out = F.when(test, value) if out is None else out.when(test, value)
-    return F.lit(0) if out is None else out.otherwise(F.lit(0))
+    return F.lit("") if out is None else out.otherwise(F.lit(""))
 
 
 def _level_verdict(subject: Column, decide) -> Column:
@@ -238,43 +244,85 @@ def ignored_by_rules(path: Column, patterns: list[str]) -> Column:
     return _level_verdict(path, lambda p: _last_match_fixed(p, compiled)) == IGNORED
 
 
+def _decide(excludes: list[str]):
+    """A test of a path below ``base``: its tag by the set's regex, or at the root by ``excludes``, which come last."""
+    compiled = [r for r in map(rule_body, excludes) if r]
+    rules = F.array(*[F.struct(F.lit(body).alias("body"), F.lit(negated).alias("negated")) for body, negated in compiled])
+
+    def decide(subject: Column) -> Column:
+        from_files = _tag(subject, F.col("regex"))
+        if not compiled:
+            return from_files
+        extra = _tag(subject, tagged(rules))
+        return F.when((F.col("base") == F.lit("")) & (extra != ""), extra).otherwise(from_files)
+
+    return decide, bool(compiled)
+
+
+def _below(path: Column) -> Column:
+    """``path`` as seen from ``base``."""
+    return F.when(F.col("base") == F.lit(""), path).when(path == F.col("base"), F.lit("")).otherwise(F.substring(path, F.char_length("base") + 2, F.char_length(path)))
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, spread_by: str, everywhere: bool) -> DataFrame:
+    """Rows (pack_id, base) with the regex of their set; the root stays without one if ``everywhere``."""
+    met = join_per_pack(rows, sets.select("pack_id", "base", "regex"), ["pack_id", "base"], "left" if everywhere else "inner", spread_by)
+    if everywhere:
+        met = met.filter(F.col("regex").isNotNull() | (F.col("base") == F.lit("")))
+    return met.sortWithinPartitions("pack_id", "base")
+
+
+def directories(files: DataFrame, sets: DataFrame, excludes: list[str] | None = None) -> DataFrame:
+    """(pack_id, dir, closed, open) per directory that holds files and has a rule set at or above it.
+
+    ``closed`` is the depth of the deepest set that ignores the directory or one
+    above it (null if none does), ``open`` lists the deeper sets (depth, base).
+    """
+    decide, extra = _decide(excludes or [])
+    own = files.select("pack_id", paths.dirname(F.col("path")).alias("dir")).distinct()
+    bases = F.array_distinct(F.concat(F.array(F.lit("")), paths.ancestors(F.col("dir")), F.array("dir")))
+    ruled = _with_sets(own.select("pack_id", "dir", F.explode(bases).alias("base")), sets, "dir", extra)
+    rest = _below(F.col("dir"))
+    way = F.when(rest == "", F.array().cast("array<string>")).otherwise(F.concat(paths.ancestors(rest), F.array(rest)))
+    depth = paths.depth(F.col("base"))
+    judged = ruled.select("pack_id", "dir", "base", depth.alias("depth"), F.exists(way, lambda d: decide(F.concat(d, F.lit("/"))) == IGNORED).alias("shut"))
+    at = judged.groupBy("pack_id", "dir").agg(
+        F.max(F.when(F.col("shut"), F.col("depth"))).alias("closed"),
+        F.collect_list(F.when(~F.col("shut"), F.struct("depth", "base"))).alias("open"),
+    )
+    deeper = F.filter("open", lambda o: F.col("closed").isNull() | (o["depth"] > F.col("closed")))
+    return at.select("pack_id", "dir", "closed", deeper.alias("open"))
+
+
+def open_levels(files: DataFrame, state: DataFrame) -> DataFrame:
+    """(pack_id, path, closed, depth, base): the sets a file is still to be tested against.
+
+    A file whose directory has decided has one row without a base.
+    """
+    named = files.select("pack_id", "path", paths.dirname(F.col("path")).alias("dir"))
+    met = named.join(state, ["pack_id", "dir"]).filter(F.col("closed").isNotNull() | (F.size("open") > 0))
+    return met.select("pack_id", "path", "closed", F.explode_outer("open").alias("level")).select("pack_id", "path", "closed", "level.depth", "level.base")
+
+
 def ignored_paths(files: DataFrame, sets: DataFrame, excludes: list[str] | None = None) -> DataFrame:
     """Distinct (pack_id, path) rejected by the rule cascade.
 
     Levels fold from the root down: the deepest level with an opinion wins.
     ``excludes`` are root-level rules after those of the rule files.
     """
-    compiled = [r for r in map(rule_regex, excludes or []) if r]
-    levels = files.select(
-        "pack_id",
-        "path",
-        F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.col("path")))).alias("base"),
-    )
-    how = "left" if compiled else "inner"
-    ruled = join_per_pack(levels, sets.select("pack_id", "base", "rules"), ["pack_id", "base"], how)
-    at_root = F.col("base") == F.lit("")
-    if compiled:
-        ruled = ruled.filter(F.col("rules").isNotNull() | at_root)
-    rest = F.when(at_root, F.col("path")).otherwise(F.expr("substr(path, length(base) + 2)"))
-
-    def decide(subject: Column) -> Column:
-        from_files = F.coalesce(_last_match(subject, F.col("rules")), F.lit(0))
-        if not compiled:
-            return from_files
-        extra = _last_match_fixed(subject, compiled)
-        return F.when(at_root & (extra != 0), extra).otherwise(from_files)
-
+    decide, extra = _decide(excludes or [])
+    # written: both branches below read it, and its size tells the planner whether it can be broadcast
+    levels = open_levels(files, materialize(directories(files, sets, excludes)))
+    decided = levels.filter(F.col("base").isNull()).select("pack_id", "path", F.lit(-1).alias("depth"), F.lit(IGNORED).alias("tag"))
+    tested = _with_sets(levels.filter(F.col("base").isNotNull()), sets, "path", extra).select("pack_id", "path", "closed", "depth", decide(_below(F.col("path"))).alias("tag"))
+    # a set without an opinion leaves the file to the closed one above it
+    fallen = F.when(F.col("tag") != "", F.col("tag")).when(F.col("closed").isNotNull(), IGNORED)
     return (
-        ruled.withColumn("rest", rest)
-        .select(
-            "pack_id",
-            "path",
-            paths.depth(F.col("base")).alias("depth"),
-            _level_verdict(F.col("rest"), decide).alias("verdict"),
-        )
-        .filter(F.col("verdict") != 0)
+        tested.select("pack_id", "path", F.when(F.col("tag") != "", F.col("depth")).otherwise(-1).alias("depth"), fallen.alias("tag"))
+        .filter(F.col("tag").isNotNull())
         .groupBy("pack_id", "path")
-        .agg(F.max_by("verdict", "depth").alias("verdict"))
-        .filter(F.col("verdict") == IGNORED)
+        .agg(F.max_by("tag", "depth").alias("tag"))
+        .filter(F.col("tag") == IGNORED)
         .select("pack_id", "path")
+        .unionByName(decided.select("pack_id", "path"))
     )

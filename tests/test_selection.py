@@ -182,3 +182,42 @@ def test_snapshot_diff(corpus):
     new = corpus({"b": "2", "c": "4", "d": "5"})
     got = {r.path: r.status for r in history.snapshot_diff(old, new).collect()}
     assert got == {"a": "deleted", "b": "same", "c": "modified", "d": "added"}
+
+
+def test_files_below_ignored_directories_are_not_tested(corpus):
+    """A closed directory decides for its files, unless a deeper rule file may rescue them."""
+    files = corpus(
+        {
+            ".gitignore": "made/\n*.log\n",
+            "made/a/b/x.py": "",
+            "made/a/keep/.gitignore": "!y.py\n",
+            "made/a/keep/y.py": "",
+            "made/a/keep/z.py": "",
+            "src/x.py": "",
+            "src/sub/.gitignore": "gen/\n!z.log\n",
+            "src/sub/gen/x.py": "",
+            "src/sub/gen/z.log": "",
+            "src/sub/z.log": "",
+            ("other", "made/x.py"): "",
+        }
+    )
+    sets = ignore.rule_sets(ignore.rule_lines(files))
+    state = ignore.directories(files, sets)
+    levels = {(r.path, r.base) for r in ignore.open_levels(files, state).collect()}
+    assert ("made/a/b/x.py", None) in levels and ("src/sub/gen/x.py", None) in levels
+    assert {b for p, b in levels if p == "made/a/keep/y.py"} == {"made/a/keep"}
+    assert {b for p, b in levels if p == "src/sub/z.log"} == {"", "src/sub"}
+    assert not any(p == "made/x.py" for p, _ in levels)
+    found = {r.path for r in ignore.ignored_paths(files, sets).collect()}
+    # rule files are files too: the one below build has no rule for itself, so its directory decides
+    assert found == {"made/a/b/x.py", "made/a/keep/.gitignore", "made/a/keep/z.py", "src/sub/gen/x.py", "src/sub/gen/z.log"}
+
+
+def test_tagged_regex_takes_the_last_match(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["*.py", "!a.py", "A.PY", "# no", "!x/", "\x01IN", "[z-a]"]
+    rules = [r for r in map(ignore.rule_body, lines) if r]
+    regex = ignore.tagged(F.array(*[F.struct(F.lit(b).alias("body"), F.lit(n).alias("negated")) for b, n in rules]))
+    for path, tag in {"a.py": "I", "b.py": "I", "x/": "N", "q/x/": "N", "x": "", "IN": "", "\x01IN": "I", "a.py\x01IN": ""}.items():
+        assert spark.range(1).select(ignore._tag(F.lit(path), regex).alias("t")).first().t == tag, path
