@@ -8,16 +8,21 @@ largest norm of all; a query has 0 there.
 A query visits leaves best-bin-first: a priority queue of tree nodes by the
 distance to their centres.  How many leaves are visited is calibrated: sampled
 queries are compared with all vectors, in blocks, and visits are widened until
-the calibrated share of their true neighbours lies in visited leaves.
+the calibrated share of their true neighbours lies in visited leaves.  A query
+goes on beyond that until its leaves hold ``k + 1`` ids.
 
 Equal vectors are one entry that lists its ``k + 1`` smallest ids: more can
 never be among the nearest, since ties go to smaller ids.  Equal queries are
-searched once.  Leaves are cut into parts of about ``PART`` entries and of about
-``PART`` queries, so that neither a crowded leaf nor a popular one meets in one
-task.
+searched once.  Neighbouring leaves form bundles of about ``PART`` entries.  A
+query meets a bundle once, with the leaves it visits there, and takes one list
+of hits from it.  A leaf of more entries is a bundle cut into parts, and so are
+the queries of a bundle, so that neither a crowded leaf nor a popular one meets
+in one task.
 
-Scores add up products from the first component to the last in double
-precision, so equal vectors get equal scores.
+Inside a task, matrix products find the entries that can be among the best of
+a query, with a margin over their rounding error; for these alone the products
+are added up from the first component to the last in double precision.  So
+scores do not depend on the blocks, and equal vectors get equal scores.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components,
 or have another length than most, take no part, nor do rows without an id; rows
@@ -39,98 +44,86 @@ from pyspark.sql.window import Window
 from packlake.llm.common import bounded
 from packlake.session import materialize
 
-BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 200, 4096
-SAMPLE, CALIBRATION, RECALL = 20_000, 64, 0.97
+BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 64, 4096
+SAMPLE, CALIBRATION, RECALL = 20_000, 64, 0.95
 PART, QUERY_BLOCK = 4096, 256
 
 
-class Tree:
-    """Centres of a hierarchical k-means tree; leaves are numbered from 0."""
-
-    def __init__(self, points: np.ndarray, leaves: int):
-        self.centres: list[np.ndarray | None] = []
-        self.below: list[list[int]] = []
-        self.leaf: list[int] = []
-        self.n_leaves = 0
-        rng = np.random.default_rng(7)
-        # leaves are split, the fullest first, until there are enough of them
-        root = self._node()
-        queue = [(-len(points), root, points)]
-        open_leaves = 1
-        done = []
-        while queue:
-            size, node, own = heapq.heappop(queue)
-            if open_leaves >= leaves or -size < 2 * BRANCHES:
-                done.append(node)
-                continue
-            parts = self._split(own, rng)
-            if len(parts) < 2:
-                done.append(node)
-                continue
-            self.centres[node] = np.array([c for c, _ in parts])
-            for _, part in parts:
-                child = self._node()
-                self.below[node].append(child)
-                heapq.heappush(queue, (-len(part), child, part))
-            open_leaves += len(parts) - 1
-        for node in done:
-            self.leaf[node] = self.n_leaves
-            self.n_leaves += 1
-
-    def _node(self) -> int:
-        self.centres.append(None)
-        self.below.append([])
-        self.leaf.append(-1)
-        return len(self.leaf) - 1
-
-    @staticmethod
-    def _split(points: np.ndarray, rng) -> list[tuple[np.ndarray, np.ndarray]]:
-        centres = points[rng.choice(len(points), BRANCHES, replace=False)]
-        for _ in range(10):
-            near = _squared(points, centres).argmin(axis=1)
-            moved = np.array([points[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
-            if np.allclose(moved, centres):
-                break
-            centres = moved
+def grow(points: np.ndarray, leaves: int) -> dict:
+    """A hierarchical k-means tree as plain arrays: per node its children's centres, children and leaf number.
+
+    Leaves are split, the fullest first, until there are enough of them, and
+    numbered in the order of a walk through the tree, so that neighbouring
+    numbers lie close together.
+    """
+    tree: dict = {"centres": [None], "below": [[]], "leaf": [-1], "n_leaves": 0}
+    rng = np.random.default_rng(7)
+    queue, count = [(-len(points), 0, points)], 1
+    while queue:
+        size, node, own = heapq.heappop(queue)
+        parts = _split_points(own, rng) if count < leaves and -size >= 2 * BRANCHES else []
+        if len(parts) < 2:
+            continue
+        tree["centres"][node] = np.array([c for c, _ in parts])
+        for _, part in parts:
+            child = len(tree["leaf"])
+            for name, empty in (("centres", None), ("below", []), ("leaf", -1)):
+                tree[name].append(empty)
+            tree["below"][node].append(child)
+            heapq.heappush(queue, (-len(part), child, part))
+        count += len(parts) - 1
+    walk = [0]
+    while walk:
+        node = walk.pop()
+        walk += reversed(tree["below"][node])
+        if not tree["below"][node]:
+            tree["leaf"][node] = tree["n_leaves"]
+            tree["n_leaves"] += 1
+    return tree
+
+
+def _split_points(points: np.ndarray, rng) -> list[tuple[np.ndarray, np.ndarray]]:
+    centres = points[rng.choice(len(points), BRANCHES, replace=False)]
+    for _ in range(10):
         near = _squared(points, centres).argmin(axis=1)
-        return [(centres[k], points[near == k]) for k in range(len(centres)) if (near == k).any()]
-
-    def descend(self, points: np.ndarray) -> np.ndarray:
-        """Leaf of each point: the nearest centre on every level."""
-        out = np.zeros(len(points), dtype=np.int64)
-        todo = [(0, np.arange(len(points)))]
-        while todo:
-            node, rows = todo.pop()
-            if self.centres[node] is None:
-                out[rows] = self.leaf[node]
-                continue
-            near = _squared(points[rows], self.centres[node]).argmin(axis=1)
-            todo += [(child, rows[near == k]) for k, child in enumerate(self.below[node]) if (near == k).any()]
-        return out
-
-    def visits(self, point: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
-            if self.centres[node] is None:
-                out.append(self.leaf[node])
-            else:
-                for distance, child in zip(_squared(point[None, :], self.centres[node])[0], self.below[node]):
-                    heapq.heappush(queue, (float(distance), child))
-        return out
+        moved = np.array([points[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    near = _squared(points, centres).argmin(axis=1)
+    return [(centres[k], points[near == k]) for k in range(len(centres)) if (near == k).any()]
+
+
+def descend(tree: dict, points: np.ndarray) -> np.ndarray:
+    """Leaf of each point: the nearest centre on every level."""
+    out = np.zeros(len(points), dtype=np.int64)
+    todo = [(0, np.arange(len(points)))]
+    while todo:
+        node, rows = todo.pop()
+        if tree["centres"][node] is None:
+            out[rows] = tree["leaf"][node]
+            continue
+        near = _squared(points[rows], tree["centres"][node]).argmin(axis=1)
+        todo += [(child, rows[near == k]) for k, child in enumerate(tree["below"][node]) if (near == k).any()]
+    return out
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :], 0)
+def visits(tree: dict, point: np.ndarray, most: int, ids: list[int] | None = None, least: int = 0) -> list[int]:
+    """The first ``most`` leaves, best bin first, and more until they hold ``least`` of the ``ids`` per leaf."""
+    queue, out, held = [(0.0, 0)], [], 0
+    while queue and (len(out) < most or held < least):
+        _, node = heapq.heappop(queue)
+        if tree["centres"][node] is None:
+            out.append(tree["leaf"][node])
+            held += ids[tree["leaf"][node]] if ids else 0
+        else:
+            for distance, child in zip(_squared(point[None, :], tree["centres"][node])[0], tree["below"][node]):
+                heapq.heappush(queue, (float(distance), child))
+    return out
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products, added up in the order of the components."""
-    out = np.zeros((len(queries), len(vectors)))
-    for d in range(queries.shape[1]):
-        out += queries[:, d][:, None] * vectors[:, d][None, :]
-    return out
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :], 0)
 
 
 def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
@@ -141,27 +134,54 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def _ordered_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of rows with rows, added up in the order of the components."""
+    out = np.zeros(len(queries))
+    for d in range(queries.shape[1]):
+        out += queries[:, d] * vectors[:, d]
+    return out
+
+
 def _nearest(queries: pd.DataFrame, entries: pd.DataFrame, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """Per query its ``k`` best ids among the entries, ties to smaller ids."""
+    """Per query its ``k`` best ids among the entries of its leaves, ties to smaller ids."""
+    entries = entries.sort_values("leaf", kind="stable")
     vectors = _matrix(entries["v"])
     lists = [np.asarray(x) for x in entries["ids"]]
     first = np.array([x[0] for x in lists])
+    leaf, starts = np.unique(entries["leaf"].to_numpy(), return_index=True)
+    spans = dict(zip(leaf.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(entries)])))
+    longest = np.sqrt((vectors * vectors).sum(axis=1)).max()
     for start in range(0, len(queries), QUERY_BLOCK):
         block = queries.iloc[start : start + QUERY_BLOCK]
-        scores = _scores(_matrix(block["v"]), vectors)
-        for qid, row in zip(block["qid"], scores):
-            if len(row) > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
-                kept = np.nonzero(row >= least)[0]
-            else:
-                kept = np.arange(len(row))
-            kept = kept[np.lexsort((first[kept], -row[kept]))]
+        points = _matrix(block["v"])
+        about = np.full((len(block), len(vectors)), -np.inf)
+        asking: dict[int, list[int]] = {}
+        for at, leaves in enumerate(block["leaves"]):
+            for x in leaves:
+                asking.setdefault(int(x), []).append(at)
+        for x, rows in asking.items():
+            if x in spans:
+                low, high = spans[x]
+                about[rows, low:high] = points[rows] @ vectors[low:high].T
+        # twice the bound on the rounding error of either way to add up
+        margin = 8 * points.shape[1] * np.finfo(float).eps * np.sqrt((points * points).sum(axis=1)) * longest
+        if len(vectors) > k:
+            least = np.partition(about, len(vectors) - k, axis=1)[:, len(vectors) - k]
+        else:
+            least = np.full(len(block), -np.inf)
+        rows, columns = np.nonzero((about >= (least - margin)[:, None]) & (about > -np.inf))
+        exact = _ordered_scores(points[rows], vectors[columns])
+        ends = np.searchsorted(rows, np.arange(len(block) + 1))
+        for at, qid in enumerate(block["qid"]):
+            kept, scores = columns[ends[at] : ends[at + 1]], exact[ends[at] : ends[at + 1]]
+            order = np.lexsort((first[kept], -scores))
+            kept, scores = kept[order], scores[order]
             pairs: list[tuple[float, int]] = []
-            at = 0
-            while at < len(kept) and len(pairs) < k:  # equal scores are taken together, then by id
-                tied = kept[at : at + np.searchsorted(-row[kept[at:]], -row[kept[at]], side="right")]
-                pairs += sorted((-row[kept[at]], int(i)) for e in tied for i in lists[e])
-                at += len(tied)
+            place = 0
+            while place < len(kept) and len(pairs) < k:  # equal scores are taken together, then by id
+                tied = kept[place : place + np.searchsorted(-scores[place:], -scores[place], side="right")]
+                pairs += sorted((-scores[place], int(i)) for e in tied for i in lists[e])
+                place += len(tied)
             yield int(qid), [i for _, i in pairs[:k]], [-s for s, _ in pairs[:k]]
 
 
@@ -186,10 +206,24 @@ def _smallest_ids(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_place", place).filter(F.col("_place") <= k).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
+def _bundles(placed: DataFrame, n_leaves: int) -> tuple[list[int], list[int]]:
+    """Bundle of each leaf, and ids in each leaf; one row per leaf, ``MOST_LEAVES`` at most, comes to the driver."""
+    sizes, ids = [0] * n_leaves, [0] * n_leaves
+    for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.size("ids")).alias("ids")).collect():
+        sizes[r.leaf], ids[r.leaf] = r.entries, r.ids
+    bundle, at, held = [], 0, 0
+    for size in sizes:
+        if held and held + size > PART:
+            at, held = at + 1, 0
+        bundle.append(at)
+        held += size
+    return bundle, ids
+
+
 def _split(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a part number inside their leaf, and the leaf's number of parts."""
-    parts = materialize(rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
-    numbered = rows.join(bounded(parts), "leaf").withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).drop("parts")
+    """Rows with a part number inside their bundle, and the bundle's number of parts."""
+    parts = materialize(rows.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+    numbered = rows.join(bounded(parts), "bundle").withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).drop("parts")
     return numbered, parts
 
 
@@ -206,36 +240,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     # the tree's sample: bounded by SAMPLE
     sample = _matrix(pd.Series([r.v for r in entries.select("v", "ids").orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(SAMPLE).collect()]))
     distinct = entries.count()
-    tree = Tree(_lifted(sample, norm), min(MOST_LEAVES, max(1, distinct // LEAF_ROWS)))
-    shared = spark.sparkContext.broadcast(tree)
+    tree = grow(_lifted(sample, norm), min(MOST_LEAVES, max(1, distinct // LEAF_ROWS)))
+    shared = spark.sparkContext.broadcast(tree)  # plain arrays, MOST_LEAVES centres at most per level
 
     @F.pandas_udf("bigint")
     def leaf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
-            yield pd.Series(shared.value.descend(_lifted(_matrix(column), norm)) if len(column) else [], dtype="int64")
+            yield pd.Series(descend(shared.value, _lifted(_matrix(column), norm)) if len(column) else [], dtype="int64")
 
     placed = materialize(entries.withColumn("leaf", leaf("v")))
+    bundle, ids = _bundles(placed, tree["n_leaves"])
     asked = valid.filter(is_query)
     searches = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("qid")))
     most = _calibrated(searches, placed, tree, k + 1, recall)
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("array<struct<bundle:bigint,leaves:array<bigint>>>")
     def leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
-            lifted = [np.append(np.asarray(x, dtype=np.float64), 0.0) for x in column]
-            yield pd.Series([shared.value.visits(x, most) for x in lifted])
-
-    rows, row_parts = _split(placed, "v")
-    visits = materialize(searches.select("qid", "v", F.explode(leaves("v")).alias("leaf")))
-    queries, query_parts = _split(visits.withColumnRenamed("qid", "_q"), "_q")
-    queries = queries.join(bounded(row_parts), "leaf").select("leaf", F.col("part").alias("query_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("_q").alias("qid"), "v")
-    rows = rows.join(bounded(query_parts), "leaf").select("leaf", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("query_part"), "v", "ids")
+            out = []
+            for x in column:
+                own: dict[int, list[int]] = {}
+                for found in visits(shared.value, np.append(np.asarray(x, dtype=np.float64), 0.0), most, ids, k + 1):
+                    own.setdefault(bundle[found], []).append(found)
+                out.append([{"bundle": b, "leaves": own[b]} for b in sorted(own)])
+            yield pd.Series(out)
+
+    numbers = F.array(*[F.lit(b) for b in bundle])
+    rows, row_parts = _split(placed.withColumn("bundle", F.element_at(numbers, (F.col("leaf") + 1).cast("int")).cast("bigint")), "v")
+    visited = materialize(searches.select("qid", "v", F.explode(leaves("v")).alias("to")).select(F.col("qid").alias("_q"), "v", "to.bundle", "to.leaves"))
+    queries, query_parts = _split(visited, "_q")
+    queries = queries.join(bounded(row_parts), "bundle").select("bundle", F.col("part").alias("query_part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("_q").alias("qid"), "v", "leaves")
+    rows = rows.join(bounded(query_parts), "bundle").select("bundle", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("query_part"), "leaf", "v", "ids")
 
     def near(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         found = list(_nearest(queries, entries, k + 1)) if len(queries) and len(entries) else []
         return pd.DataFrame(found, columns=["qid", "ids", "scores"])
 
-    keys = ["leaf", "part", "query_part"]
+    keys = ["bundle", "part", "query_part"]
     found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(near, FOUND)
     return _ranked(asked, searches, found, k)
 
@@ -251,16 +292,18 @@ def _ranked(asked: DataFrame, searches: DataFrame, found: DataFrame, k: int) ->
     return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
 
-def _calibrated(searches: DataFrame, placed: DataFrame, tree: Tree, k: int, recall: float) -> int:
+def _calibrated(searches: DataFrame, placed: DataFrame, tree: dict, k: int, recall: float) -> int:
     """Leaves to visit so that the true neighbours of sampled queries are found in the wanted share."""
     sampled = searches.orderBy(F.xxhash64("qid"), "qid").limit(CALIBRATION).toPandas()
-    if tree.n_leaves == 1 or sampled.empty:
-        return tree.n_leaves
+    if tree["n_leaves"] == 1 or sampled.empty:
+        return tree["n_leaves"]
 
     def truth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Best entries of each batch of vectors for the sampled queries, with their leaves."""
         for batch in batches:
-            scores = _scores(_matrix(sampled["v"]), _matrix(batch["v"]))
+            if not len(batch):
+                continue
+            scores = _matrix(sampled["v"]) @ _matrix(batch["v"]).T
             top = min(k, len(batch))
             for qid, row in zip(sampled["qid"], scores):
                 best = np.argsort(-row, kind="stable")[:top]
@@ -271,6 +314,6 @@ def _calibrated(searches: DataFrame, placed: DataFrame, tree: Tree, k: int, reca
     place = {}
     for qid, v in zip(sampled["qid"], sampled["v"]):
         point = np.append(np.asarray(v, dtype=np.float64), 0.0)
-        place[qid] = {leaf: at for at, leaf in enumerate(tree.visits(point, tree.n_leaves), 1)}
+        place[qid] = {leaf: at for at, leaf in enumerate(visits(tree, point, tree["n_leaves"]), 1)}
     needed = np.sort([place[q][leaf] for q, leaf in zip(best["qid"], best["leaf"])])
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)])

@@ -158,6 +158,21 @@ def test_nearest(spark):
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
 
 
+def test_neighbours_do_not_depend_on_blocks(spark, monkeypatch):
+    """Small bundles and blocks give the same hits as one; a far query still finds enough."""
+    pick = np.random.default_rng(4)
+    points = np.vstack([c + 0.1 * pick.normal(size=(60, 8)) for c in pick.normal(size=(12, 8))] + [[[50.0] * 8]])
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(points)], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(ann, "LEAF_ROWS", 16)
+    ask = (F.col("vec_id") % 20 == 0) | (F.col("vec_id") == len(points) - 1)
+    whole = sorted(map(tuple, ann.search(df, ask).collect()))
+    monkeypatch.setattr(ann, "PART", 40)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, ann.search(df, ask).collect())) == whole
+    queries = {r[0] for r in whole}
+    assert len(whole) == 20 * len(queries) and len(points) - 1 in queries
+
+
 def test_pipeline(spark, clashing, tmp_path):
     """Each stage on small tables with odd rows; every stage but the last returns the columns of documents."""
     rng = random.Random(4)
