@@ -216,8 +216,7 @@ def w4(spark, sf_dir):
     with_views("SELECT pack_id, string_agg(line, chr(10) ORDER BY string_split(node, '/')) || chr(10) AS tree FROM tree GROUP BY 1", *BASE),
 )
 def k6(spark, sf_dir):
-    rows = render.tree_sections(_plan(spark, sf_dir))
-    return render.volumes(rows).select("pack_id", F.concat("document", F.lit("\n")).alias("tree"))
+    return render.tree_volumes(_plan(spark, sf_dir)).select("pack_id", F.concat("document", F.lit("\n")).alias("tree"))
 
 
 @query("k7_header", with_views("SELECT pack_id, header FROM header", *BASE))
@@ -240,7 +239,7 @@ def k9(spark, sf_dir):
 def k8(spark, sf_dir):
     """Written as text files per pack below the shared folder, and read back."""
     folder = f"{checkpoint_dir(spark)}/k8_text_sink-{uuid.uuid4().hex}"
-    render.write_text(render.sections(_plan(spark, sf_dir, "plain")), folder)
+    render.write_text(_plan(spark, sf_dir, "plain"), folder)
     lines = spark.read.schema("value string, pack_id string").option("lineSep", "\n").text(folder)
     return lines.groupBy("pack_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -256,12 +255,12 @@ def k8(spark, sf_dir):
     ),
 )
 def a10(spark, sf_dir):
-    return render.volumes(render.sections(_plan(spark, sf_dir, "plain")), VOLUME)
+    return render.volumes(_plan(spark, sf_dir, "plain"), VOLUME)
 
 
 @query("a11_pack_line_count", with_views("SELECT * FROM counts", *BASE, MARKDOWN, DOC_LINES, COUNTS))
 def a11(spark, sf_dir):
-    return store.line_counts(render.sections(_plan(spark, sf_dir)))
+    return store.line_counts(_plan(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------- queries
@@ -269,7 +268,7 @@ def a11(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """Numbered lines, written once as a store would."""
-    return materialize(store.number_lines(render.sections(_plan(spark, sf_dir))))
+    return materialize(store.number_lines(_plan(spark, sf_dir)))
 
 
 @query("k10_pack_lines", with_views("SELECT pack_id, line_no, text FROM pack_lines", *BASE, MARKDOWN, DOC_LINES))
@@ -309,7 +308,7 @@ def o13(spark, sf_dir):
     ),
 )
 def q1(spark, sf_dir):
-    return store.page_headers(store.line_counts(render.sections(_plan(spark, sf_dir))), 301, 200)
+    return store.page_headers(store.line_counts(_plan(spark, sf_dir)), 301, 200)
 
 
 PATTERN = "en th|^## "
@@ -425,5 +424,5 @@ def o12(spark, sf_dir):
 )
 def q3(spark, sf_dir):
     plan = _plan(spark, sf_dir)
-    rows = store.summary(plan, store.line_counts(render.sections(plan)))
+    rows = store.summary(plan, store.line_counts(plan))
     return rows.withColumn("top_files", F.array_join("top_files", "\n")).drop("suspicious_names")

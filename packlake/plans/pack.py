@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlake import fixed
@@ -57,12 +57,35 @@ def counted(files: DataFrame, spec: PackSpec) -> DataFrame:
     )
 
 
+def body_facts(spec: PackSpec) -> dict[str, Column]:
+    """What a document needs to know of a finished body to place it: its lines, its bytes as written, its fence.
+
+    Numbers before lines add their width to every line and change nothing else.
+    """
+    content = F.col("content")
+    lines = text.line_count(content)
+    written = {"xml": text.xml_escape, "json": text.json_string}.get(spec.format, lambda body: body)(content)
+    size = F.octet_length(written).cast("bigint") - (2 if spec.format == "json" else 0)
+    if spec.line_numbers:
+        # in JSON a line feed is written as two letters and separates lines just the same
+        size = size + lines * (F.length(lines.cast("string")) + 2)
+    found = {
+        "body_lines": F.lit(1).cast("bigint") if spec.format == "json" else lines,
+        "body_bytes": size,
+        "fence": text.fence_for(content) if spec.format == "markdown" else F.lit(None).cast("string"),
+    }
+    return {name: F.when(F.col("has_content"), fact) for name, fact in found.items()}
+
+
+BODY_FACTS = ["body_lines", "body_bytes", "fence"]
+
+
 def facts(files: DataFrame, spec: PackSpec) -> DataFrame:
     """Narrow facts of every file; row-local, so the text is never shuffled."""
     keep = ["pack_id", "path", "size_bytes", "is_binary", "is_oversized", "has_content", "redactions", "tokens"]
     flagged = scan.add_flags(files, spec.max_file_bytes)
     techs = stack.file_technologies(F.col("path"), F.col("content"))
-    return counted(flagged.withColumn("techs", techs), spec).select(*keep, "techs")
+    return counted(flagged.withColumn("techs", techs), spec).withColumns(body_facts(spec)).select(*keep, "techs", *BODY_FACTS)
 
 
 def _with_bpe(files: DataFrame, narrow: DataFrame, spec: PackSpec, ranks: DataFrame) -> DataFrame:
@@ -95,10 +118,11 @@ class Pack:
     @property
     def files(self) -> DataFrame:
         """Packed files with their final text; null text where none is inlined."""
-        shown = self.stats.select(
-            "pack_id", "path", "size_bytes", "tokens", "has_content", "is_binary", "is_oversized", "is_omitted",
-            *(["churn"] if "churn" in self.stats.columns else []),
-        )
+        return self.with_text(self.stats)
+
+    def with_text(self, stats: DataFrame) -> DataFrame:
+        """Rows of ``stats``, or of a table made from it by adding columns, with their final text; one join."""
+        shown = stats.drop("techs", "redactions", "tokens_before", "is_candidate", "is_selected", "is_suspicious")
         # only text that can be inlined is moved: excluded, binary and oversized files stay behind
         flagged = scan.add_flags(self.source.filter(scan.reachable(self.spec)), self.spec.max_file_bytes)
         body = flagged.filter(scan.has_content()).select("pack_id", "path", "content")

@@ -4,10 +4,19 @@ A document is a set of rows ``(pack_id, section, rank, key, entry, text)``.
 Sorted by those columns and joined with line feeds the texts form the document;
 ``(pack_id, section, entry)`` names a row.  A document is never put together in
 one value unless a size bound allows it: see :func:`volumes`.
+
+Where a section stands is known before any file is rendered.  A renderer makes
+the same rows from the narrow facts of files, with empty bodies; lines and bytes
+of a section are those of this frame plus the body's own, which the scan has
+counted (:func:`measures`).  Offsets are running sums of that table.  They reach
+the files as columns of their facts, so that text meets facts and offsets in one
+join and is rendered once (:func:`located`).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +26,13 @@ from packlake.operators import tree
 from packlake.operators.order import path_key
 from packlake.operators.spread import join_per_pack, running
 from packlake.plans.pack import Pack, header, task_text
+from packlake.session import materialize
 from packlake.spec import resolve_persona
 
 SEPARATOR = "=" * 48
+PART_BYTES = 128 * 1024 * 1024
 SECTION_KEY = ["pack_id", "section", "entry"]
+OFFSETS = ["line_offset", "byte_offset"]
 SECTION_ORDER = ["section", "rank", "key", "entry"]
 
 # section numbers, in document order
@@ -43,16 +55,23 @@ def _log_bodies(log: DataFrame) -> DataFrame:
 
 
 class _Builder:
-    """Collects section rows with one uniform schema."""
+    """Collects section rows with one uniform schema.
 
-    def __init__(self, plan: Pack):
+    ``files`` has the facts of the packed files and ``shown``, their finished body
+    or null; ``carry`` names columns of it that file sections keep.
+    """
+
+    def __init__(self, plan: Pack, files: DataFrame | None = None, carry: list[str] | None = None):
         self.plan = plan
+        self.files = files
+        self.carry = carry or []
         self.spec = plan.spec
         self.collation = plan.spec.collation
         self.packs = header(plan.totals, plan.spec).select(
             "pack_id", "header", "total_files", "total_tokens", "redactions", "tech_stack"
         )
         self.rows: list[DataFrame] = []
+        self.file_rows: list[DataFrame] = []
 
     def add(
         self,
@@ -64,7 +83,8 @@ class _Builder:
         rank: Column | None = None,
     ) -> None:
         first = F.array(path_key("_none", self.collation))
-        self.rows.append(
+        kept = self.carry if section == FILES else []
+        (self.file_rows if section == FILES else self.rows).append(
             source.withColumn("_none", F.lit("")).select(
                 "pack_id",
                 F.lit(section).alias("section"),
@@ -72,6 +92,7 @@ class _Builder:
                 (first if key is None else key).alias("key"),
                 (F.lit("") if entry is None else entry).alias("entry"),
                 body.alias("text"),
+                *kept,
             )
         )
 
@@ -103,15 +124,14 @@ class _Builder:
             self.per_pack(TASK, body_of(F.lit(task)))
 
     def union(self) -> DataFrame:
-        out = self.rows[0]
-        for rows in self.rows[1:]:
-            out = out.unionByName(rows)
-        return out
+        return reduce(DataFrame.unionByName, self.rows + self.file_rows)
 
 
-def _body(spec) -> Column:
+def _bodies(files: DataFrame, spec) -> DataFrame:
+    """``shown``: the finished body of files with text."""
     content = F.col("content")
-    return text.add_line_numbers(content) if spec.line_numbers else content
+    body = text.add_line_numbers(content) if spec.line_numbers else content
+    return files.withColumn("shown", F.when(F.col("has_content"), body)).drop("content")
 
 
 def _note(spec) -> Column:
@@ -124,9 +144,9 @@ def _lines(*parts: Column | str) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def markdown(plan: Pack) -> DataFrame:
+def markdown(b: _Builder) -> None:
     """Markdown sections (K1)."""
-    b = _Builder(plan)
+    plan = b.plan
     slug = text.heading_slug(F.col("path"))
     b.per_pack(TOP, "```")
     b.tree()
@@ -134,20 +154,18 @@ def markdown(plan: Pack) -> DataFrame:
     toc = F.concat(F.lit("- ["), F.col("path"), F.lit("](#"), slug, F.lit(")"))
     b.per_file(TOC, plan.stats.filter("has_content"), toc)
     b.per_pack(META, _lines("", "```", F.col("header"), "```", ""))
-    # the fence depends on the finished body, so the body is a column of its own
-    files = plan.files.withColumn("_body", F.when(F.col("has_content"), _body(plan.spec)))
     title = F.concat(F.lit("## "), F.col("path"), F.lit(" {#"), slug, F.lit("}"))
-    fence = text.fence_for(F.col("_body"))
+    fence = F.col("fence")
     block = _lines(
         title,
         "",
         F.concat(fence, F.coalesce(text.fence_language(F.col("path")), F.lit(""))),
-        F.col("_body"),
+        F.col("shown"),
         fence,
         "",
     )
     b.per_file(
-        FILES, files, F.when(F.col("has_content"), block).otherwise(_lines(title, "", _note(plan.spec), ""))
+        FILES, b.files, F.when(F.col("has_content"), block).otherwise(_lines(title, "", _note(plan.spec), ""))
     )
     b.log(lambda body: _lines("## Recent Commits", "", "```", body, "```", ""))
     b.diff(
@@ -165,12 +183,11 @@ def markdown(plan: Pack) -> DataFrame:
             "## User Task / Instructions", "", text.fence_for(body), body, text.fence_for(body), ""
         )
     )
-    return b.union()
 
 
-def xml(plan: Pack) -> DataFrame:
+def xml(b: _Builder) -> None:
     """XML sections (K2): frame parts in CDATA, file text entity-escaped."""
-    b = _Builder(plan)
+    plan = b.plan
 
     def cdata(tag: str):
         return lambda body: _lines(f"<{tag}><![CDATA[", body, f"]]></{tag}>")
@@ -182,10 +199,10 @@ def xml(plan: Pack) -> DataFrame:
     if task and task.strip():
         parts.append(cdata("task")(F.lit(task)))
     b.per_pack(AFTER_TREE, _lines(*parts))
-    shown = F.when(F.col("has_content"), _body(plan.spec)).otherwise(_note(plan.spec))
+    shown = F.coalesce("shown", _note(plan.spec))
     b.per_file(
         FILES,
-        plan.files,
+        b.files,
         F.concat(
             F.lit('<file path="'),
             text.xml_escape(F.col("path")),
@@ -197,12 +214,10 @@ def xml(plan: Pack) -> DataFrame:
     b.log(cdata("gitLog"))
     b.diff(cdata("gitDiff"))
     b.per_pack(END, f"</{fixed.BRAND}>")
-    return b.union()
 
 
-def plain(plan: Pack) -> DataFrame:
+def plain(b: _Builder) -> None:
     """Separator-delimited sections (K3)."""
-    b = _Builder(plan)
 
     def block(title: Column | str, *body: Column | str) -> Column:
         return _lines(SEPARATOR, title, SEPARATOR, *body)
@@ -216,20 +231,19 @@ def plain(plan: Pack) -> DataFrame:
     )
     b.tree()
     b.per_pack(AFTER_TREE, "")
-    shown = F.when(F.col("has_content"), _body(plan.spec)).otherwise(_note(plan.spec))
-    b.per_file(FILES, plan.files, block(F.concat(F.lit("File: "), F.col("path")), shown, ""))
+    shown = F.coalesce("shown", _note(b.spec))
+    b.per_file(FILES, b.files, block(F.concat(F.lit("File: "), F.col("path")), shown, ""))
     b.log(lambda body: block("RECENT COMMITS", body, ""))
     b.diff(lambda body: block("GIT DIFF (uncommitted changes)", body, ""))
     b.task(lambda body: block("USER TASK / INSTRUCTIONS", body, ""))
-    return b.union()
 
 
-def json_records(plan: Pack) -> DataFrame:
+def json_records(b: _Builder) -> None:
     """One JSON record per metadata, tree line, file, log, diff and task (K4).
 
     :func:`json_documents` has the nested form.
     """
-    spec, b = plan.spec, _Builder(plan)
+    spec = b.spec
     b.per_pack(
         TOP,
         F.to_json(
@@ -249,7 +263,7 @@ def json_records(plan: Pack) -> DataFrame:
     b.tree(F.to_json(F.struct(F.lit("tree").alias("type"), F.col("line"))))
     b.per_file(
         FILES,
-        plan.files,
+        b.files,
         F.to_json(
             F.struct(
                 F.lit("file").alias("type"),
@@ -258,7 +272,7 @@ def json_records(plan: Pack) -> DataFrame:
                 F.col("is_binary").alias("binary"),
                 F.col("is_oversized").alias("oversized"),
                 F.col("is_omitted").alias("omitted"),
-                F.when(F.col("has_content"), _body(spec)).alias("content"),
+                F.col("shown").alias("content"),
             ),
             {"ignoreNullFields": "false"},
         ),
@@ -270,15 +284,80 @@ def json_records(plan: Pack) -> DataFrame:
     b.log(record("gitLog"))
     b.diff(record("gitDiff"))
     b.task(record("task"))
-    return b.union()
 
 
 RENDERERS = {"markdown": markdown, "xml": xml, "plain": plain, "json": json_records}
 
 
+def _rendered(plan: Pack, render, stats: DataFrame | None = None, carry: list[str] | None = None) -> _Builder:
+    """A builder filled with the document's texts; ``carry`` columns of ``stats`` stay on file sections."""
+    b = _Builder(plan, _bodies(plan.with_text(plan.stats if stats is None else stats), plan.spec), carry)
+    render(b)
+    return b
+
+
 def sections(plan: Pack) -> DataFrame:
     """Section rows in the format of the plan's spec."""
-    return RENDERERS[plan.spec.format](plan)
+    return _rendered(plan, RENDERERS[plan.spec.format]).union()
+
+
+def measures(plan: Pack, render=None) -> DataFrame:
+    """(pack_id, section, rank, key, entry, n_lines, n_bytes) of every section, from facts alone."""
+    has = F.col("has_content")
+    own = [F.when(has, F.col(c)).alias(c) for c in ("body_lines", "body_bytes")]
+    framed = plan.stats.select(*[c for c in plan.stats.columns if c not in ("body_lines", "body_bytes")], *own)
+    b = _Builder(plan, framed.withColumn("shown", F.when(has, F.lit(""))), ["body_lines", "body_bytes"])
+    (render or RENDERERS[plan.spec.format])(b)
+    none = F.lit(0).cast("bigint")
+    small = reduce(DataFrame.unionByName, b.rows).withColumns({"body_lines": none + 1, "body_bytes": none})
+    frames = reduce(DataFrame.unionByName, b.file_rows, small)
+    return frames.select(
+        "pack_id",
+        *SECTION_ORDER,
+        (text.line_count(F.col("text")) + F.coalesce("body_lines", none + 1) - 1).alias("n_lines"),
+        (F.octet_length("text") + F.coalesce("body_bytes", none)).alias("n_bytes"),
+    )
+
+
+def _offsets(narrow: DataFrame, separator: str) -> DataFrame:
+    """Written ``narrow`` with the lines and bytes before each section of its pack."""
+    sized = narrow.withColumn("n_bytes", F.col("n_bytes") + len(separator))
+    order = [F.col(c).asc() for c in SECTION_ORDER]
+    return materialize(running(sized, ["pack_id"], order, {"line_offset": "n_lines", "byte_offset": "n_bytes"}))
+
+
+def located(plan: Pack, render=None, separator: str = "\n", places: DataFrame | None = None) -> DataFrame:
+    """Section rows with ``line_offset`` and ``byte_offset``: what stands before them in their pack.
+
+    ``places`` are offsets made before, with further columns to carry along.
+    """
+    render = render or RENDERERS[plan.spec.format]
+    placed = _offsets(measures(plan, render), separator) if places is None else places
+    known = {*SECTION_KEY, *SECTION_ORDER, "n_lines", "n_bytes"}
+    carry = [c for c in placed.columns if c not in known]
+    of_files = placed.filter(F.col("section") == FILES).select("pack_id", F.col("entry").alias("path"), *carry)
+    b = _rendered(plan, render, plan.stats.join(of_files, ["pack_id", "path"]), carry)
+    others = placed.filter(F.col("section") != FILES).select(*SECTION_KEY, *carry)
+    frame = reduce(DataFrame.unionByName, b.rows).join(others, SECTION_KEY)
+    return reduce(DataFrame.unionByName, b.file_rows, frame)
+
+
+def ordered(plan: Pack) -> DataFrame:
+    """Section rows of all packs in document order, within and across partitions (K8).
+
+    Partitions are cut by the offsets, so nothing is rendered to find their
+    bounds; there are at least as many as the session has shuffle partitions.
+    """
+    placed = _offsets(measures(plan), "\n")
+    sizes = placed.groupBy("pack_id").agg(F.sum("n_bytes").alias("size"))
+    starts = materialize(running(sizes, [], [F.col("pack_id")], {"start": "size"}))
+    total = starts.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(plan.totals.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES + 1)
+    at = F.col("start") + F.col("byte_offset")
+    part = F.least(F.floor(at * parts / max(1, total)), F.lit(parts - 1)).cast("int")
+    cut = join_per_pack(placed, starts.drop("size"), ["pack_id"], spread_by="entry").withColumn("part", part).drop("start")
+    rows = located(plan, places=materialize(cut))
+    return rows.repartitionById(parts, "part").sortWithinPartitions("pack_id", "byte_offset").drop("part")
 
 
 def tree_only(plan: Pack) -> DataFrame:
@@ -287,53 +366,48 @@ def tree_only(plan: Pack) -> DataFrame:
 
 
 def tree_sections(plan: Pack) -> DataFrame:
-    """The tree as section rows, for :func:`volumes` or :func:`write_text` (K6)."""
+    """The tree as section rows (K6)."""
     b = _Builder(plan)
     b.tree()
     return b.union()
 
 
-def _placed(rows: DataFrame, measure: Column) -> DataFrame:
-    """Add ``offset``: the sum of ``measure`` over the sections before this one.
-
-    Only keys and measures are ordered and written; the text then meets its
-    offset on the row's own key, which spreads a large pack over all tasks.
-    """
-    narrow = rows.select("pack_id", *SECTION_ORDER, measure.cast("bigint").alias("measure"))
-    order = [F.col(c).asc() for c in SECTION_ORDER]
-    offsets = running(narrow, ["pack_id"], order, {"offset": "measure"})
-    return rows.join(offsets.select(*SECTION_KEY, "offset"), SECTION_KEY)
+def with_lines(plan: Pack) -> DataFrame:
+    """Section rows with ``first_line``: where each starts inside its pack."""
+    return located(plan).withColumn("first_line", F.col("line_offset") + 1).drop(*OFFSETS)
 
 
-def with_lines(rows: DataFrame) -> DataFrame:
-    """Add ``first_line``: where each section starts inside its pack."""
-    placed = _placed(rows, text.line_count(F.col("text")))
-    return placed.withColumn("first_line", F.col("offset") + 1).drop("offset")
+def _volumes(rows: DataFrame, max_bytes: int, separator: str) -> DataFrame:
+    ordered = F.sort_array(F.collect_list(F.struct("byte_offset", "text")))
+    return rows.groupBy("pack_id", F.floor(F.col("byte_offset") / max_bytes).alias("volume")).agg(
+        F.array_join(F.transform(ordered, lambda s: s["text"]), separator).alias("document")
+    )
 
 
-def volumes(rows: DataFrame, max_bytes: int = 64 * 1024 * 1024, separator: str = "\n") -> DataFrame:
+def volumes(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Documents as values, cut into volumes of about ``max_bytes`` (A10, K8).
 
     Sections are packed by their running byte offset, so a volume never exceeds
     the limit by more than one section; a pack below the limit is one volume.
-    Joining a pack's volumes with the separator gives the whole document.
+    Joining a pack's volumes with line feeds gives the whole document.
     """
-    placed = _placed(rows, F.octet_length("text") + len(separator)).withColumn(
-        "volume", F.floor(F.col("offset") / max_bytes)
-    )
-    ordered = F.sort_array(F.collect_list(F.struct(*SECTION_ORDER, "text")))
-    return placed.groupBy("pack_id", "volume").agg(
-        F.array_join(F.transform(ordered, lambda s: s["text"]), separator).alias("document")
-    )
+    return _volumes(located(plan), max_bytes, "\n")
+
 
+def tree_volumes(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Only the tree, in volumes (K6); its lines are short, so they are measured as they are."""
+    rows = tree_sections(plan)
+    narrow = rows.select("pack_id", *SECTION_ORDER, F.lit(1).alias("n_lines"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return _volumes(rows.join(_offsets(narrow, "\n").select(*SECTION_KEY, *OFFSETS), SECTION_KEY), max_bytes, "\n")
 
-def json_sections(plan: Pack) -> DataFrame:
+
+def json_sections(b: _Builder) -> None:
     """The nested JSON document of every pack as section rows (K4); their texts follow each other without separators.
 
     A list's first element has no comma before it, so the first tree line and
     the first file of each pack are looked up in narrow tables.
     """
-    spec, b = plan.spec, _Builder(plan)
+    plan, spec = b.plan, b.spec
     string = text.json_string
 
     def field(name: str, value: Column, depth: int) -> Column:
@@ -365,7 +439,7 @@ def json_sections(plan: Pack) -> DataFrame:
 
     b.per_pack(META, '",\n  "files": [\n')
     first = F.min_by("path", F.struct(_rank(plan.stats, spec.sort), path_key("path", spec.collation)))
-    files = join_per_pack(plan.files, plan.stats.groupBy("pack_id").agg(first.alias("_first")), ["pack_id"])
+    files = join_per_pack(b.files, plan.stats.groupBy("pack_id").agg(first.alias("_first")), ["pack_id"])
     entry = fields(
         6,
         path=string(F.col("path")),
@@ -373,7 +447,7 @@ def json_sections(plan: Pack) -> DataFrame:
         binary=F.col("is_binary").cast("string"),
         oversized=F.col("is_oversized").cast("string"),
         omitted=F.col("is_omitted").cast("string"),
-        content=string(F.when(F.col("has_content"), _body(spec))),
+        content=string(F.col("shown")),
     )
     comma = F.when(F.col("path") == F.col("_first"), F.lit("")).otherwise(F.lit(",\n"))
     b.per_file(FILES, files, F.concat(comma, F.lit("    {\n"), entry, F.lit("\n    }")))
@@ -384,7 +458,6 @@ def json_sections(plan: Pack) -> DataFrame:
     ends = b.packs.join(log, "pack_id", "left").join(diffs.filter(~text.is_blank(F.col("diff"))), "pack_id", "left")
     closing = fields(2, task=string(F.lit(task_text(spec)).cast("string")), gitDiff=string(F.col("diff")), gitLog=string(F.col("body")))
     b.add(ends, END, F.concat(F.lit("\n  ],\n"), closing, F.lit("\n}")))
-    return b.union()
 
 
 def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
@@ -393,17 +466,12 @@ def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     A pack's volumes follow each other without a separator; a pack below the
     size is one volume.
     """
-    return volumes(json_sections(plan), max_bytes, separator="")
+    return _volumes(located(plan, json_sections, ""), max_bytes, "")
 
 
-def write_text(rows: DataFrame, path: str) -> None:
-    """Write section text as files per pack, in document order (K8).
+def write_text(plan: Pack, path: str) -> None:
+    """Write the documents as text files per pack, in document order (K8).
 
-    A range sort by pack and key splits large packs over many part files, whose
-    names sort in document order.
+    Large packs are split over many part files, whose names sort in document order.
     """
-    ordered = rows.repartitionByRange("pack_id", *SECTION_ORDER).sortWithinPartitions(
-        "pack_id", *SECTION_ORDER
-    )
-    ordered.select("pack_id", F.col("text").alias("value")).write.partitionBy("pack_id").text(path)
-
+    ordered(plan).select("pack_id", F.col("text").alias("value")).write.partitionBy("pack_id").text(path)

@@ -17,31 +17,29 @@ from packlake.plans import render
 from packlake.plans.pack import Pack
 
 
-def number_lines(rows: DataFrame) -> DataFrame:
-    """Section rows to (pack_id, line_no, text); numbers run through the pack."""
-    placed = render.with_lines(rows)
-    return placed.select(
-        "pack_id", "first_line", F.posexplode(text.lines(F.col("text"))).alias("_i", "text")
-    ).select("pack_id", (F.col("first_line") + F.col("_i")).cast("bigint").alias("line_no"), "text")
-
-
-def line_counts(rows: DataFrame) -> DataFrame:
-    """Lines per pack (A11); combined map-side."""
-    return rows.groupBy("pack_id").agg(
-        F.sum(text.line_count(F.col("text"))).cast("bigint").alias("line_count")
-    )
+def _lines(placed: DataFrame) -> DataFrame:
+    numbered = placed.select("pack_id", "line_offset", F.posexplode(text.lines(F.col("text"))).alias("_i", "text"))
+    return numbered.select("pack_id", (F.col("line_offset") + F.col("_i") + 1).cast("bigint").alias("line_no"), "text")
+
+
+def number_lines(plan: Pack) -> DataFrame:
+    """(pack_id, line_no, text) of every document; numbers run through the pack."""
+    return _lines(render.located(plan))
+
+
+def line_counts(plan: Pack) -> DataFrame:
+    """Lines per pack (A11), from facts alone; combined map-side."""
+    return render.measures(plan).groupBy("pack_id").agg(F.sum("n_lines").cast("bigint").alias("line_count"))
 
 
 def save(plan: Pack, path: str) -> None:
-    """Write ``packs`` and ``pack_lines`` below ``path``."""
-    rows = render.sections(plan)
-    lines = number_lines(rows)
-    lines.repartitionByRange("pack_id", "line_no").sortWithinPartitions(
-        "pack_id", "line_no"
-    ).write.parquet(f"{path}/pack_lines")
-    stored = plan.totals.sparkSession.read.parquet(f"{path}/pack_lines")
-    counts = stored.groupBy("pack_id").agg(F.max("line_no").alias("line_count"))
-    plan.totals.join(counts, "pack_id").write.parquet(f"{path}/packs")
+    """Write ``packs`` and ``pack_lines`` below ``path``.
+
+    Sections are moved and sorted whole; a section's lines follow each other, so
+    the exploded rows are sorted too.
+    """
+    _lines(render.ordered(plan)).write.parquet(f"{path}/pack_lines")
+    plan.totals.join(line_counts(plan), "pack_id").write.parquet(f"{path}/packs")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

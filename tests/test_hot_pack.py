@@ -33,13 +33,13 @@ def test_budget_of_one_pack_equals_the_loop(hot):
 
 
 def test_lines_of_one_pack_are_numbered_without_gaps(hot):
-    rows = render.sections(pack.pack(hot, PackSpec()))
-    lines = [(r.line_no, r.text) for r in store.number_lines(rows).orderBy("line_no").collect()]
+    plan = pack.pack(hot, PackSpec())
+    lines = [(r.line_no, r.text) for r in store.number_lines(plan).orderBy("line_no").collect()]
     assert [n for n, _ in lines] == list(range(1, len(lines) + 1))
-    parts = render.volumes(rows, 4096).orderBy("volume").collect()
+    parts = render.volumes(plan, 4096).orderBy("volume").collect()
     assert len(parts) > 10
     assert "\n".join(r.document for r in parts).split("\n") == [t for _, t in lines]
-    assert store.line_counts(rows).first().line_count == len(lines)
+    assert store.line_counts(plan).first().line_count == len(lines)
 
 
 def test_tree_of_one_pack_nests(hot):

@@ -18,7 +18,7 @@ FAT = (
 
 
 def document(plan, **kw):
-    rows = render.volumes(render.sections(plan), **kw).orderBy("pack_id", "volume").collect()
+    rows = render.volumes(plan, **kw).orderBy("pack_id", "volume").collect()
     return "\n".join(r.document for r in rows)
 
 
@@ -178,7 +178,7 @@ def test_store_read_and_grep(corpus, spark, tmp_path):
 def test_written_text_is_in_document_order(corpus, spark, tmp_path):
     plan = pack.pack(corpus({f"f{i:02}.txt": f"text {i}" for i in range(30)}), PackSpec())
     out = tmp_path / "text"
-    render.write_text(render.sections(plan), str(out))
+    render.write_text(plan, str(out))
     parts = sorted((out / "pack_id=p").glob("part-*"))
     assert "".join(p.read_text() for p in parts).rstrip("\n") == document(plan).rstrip("\n")
 
