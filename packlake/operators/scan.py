@@ -158,12 +158,15 @@ def add_flags(files: DataFrame, max_bytes: int = fixed.DEFAULT_MAX_FILE_BYTES) -
     ``files`` has either ``raw`` bytes or decoded ``content``.  Bytes are binary
     if they hold a NUL, or if over a tenth of the first ``SNIFFED`` are control
     bytes or no UTF-8; other bytes are decoded leniently.  Binary wins over
-    oversized.
+    oversized.  A source that leaves large bodies out may bring the first bytes of
+    every file as ``head``; for files without ``raw`` these decide.
     """
     if "raw" in files.columns:
-        head = F.substring("raw", 1, SNIFFED)
+        start = F.coalesce("head", "raw") if "head" in files.columns else F.col("raw")
+        head = F.substring(start, 1, SNIFFED)
         odd = F.regexp_count(F.make_valid_utf8(head.cast("string")), F.lit("[\\x01-\\x06\\x0F-\\x1F\\x{FFFD}]"))
-        binary = F.coalesce(F.contains(F.col("raw"), F.lit(b"\x00")) | (odd * 10 > F.octet_length(head)), F.lit(False))
+        # a broken last letter of a cut head is one odd sign in ``SNIFFED`` bytes
+        binary = F.coalesce(F.contains(F.coalesce("raw", start), F.lit(b"\x00")) | (odd * 10 > F.octet_length(head)), F.lit(False))
         body = F.make_valid_utf8(F.col("raw").cast("string"))
     else:
         binary = F.coalesce(F.contains(F.col("content"), F.lit("\u0000")), F.lit(False))
@@ -173,7 +176,7 @@ def add_flags(files: DataFrame, max_bytes: int = fixed.DEFAULT_MAX_FILE_BYTES) -
         .withColumn("is_oversized", ~F.col("is_binary") & (F.col("size_bytes") > max_bytes))
         .withColumn("content", F.when(~F.col("is_binary") & ~F.col("is_oversized"), body))
         .withColumn("is_omitted", F.lit(False))
-        .drop("raw")
+        .drop("raw", "head")
     )
 
 
