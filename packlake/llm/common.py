@@ -35,8 +35,9 @@ def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, y, text) of at most ``per_class`` training rows of either label.
 
-    Rows are taken in the order of a hash of their id, so the sample is the same
-    at every run.  Held-out rows, null labels and null ids never enter it.
+    Ids are taken in the order of a hash, so the sample is the same at every run,
+    and of rows that repeat an id one, by a hash of its text.  Held-out rows, null
+    labels and null ids never enter it.
     """
     known = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -46,7 +47,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # the limits above bound what is broadcast
     wanted = F.broadcast(parts[0].unionByName(parts[1]))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))  # each map task sends one row an id
+    return rows.groupBy("doc_id", "y").agg(one.alias("row")).select("doc_id", "y", "row.text")
 
 
 def label_counts(labels: DataFrame, label: str) -> tuple[int, int]:

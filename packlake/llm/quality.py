@@ -7,9 +7,10 @@ logistic curve over that difference, the plain compressed size and the length,
 fitted on labelled rows that no dictionary has seen, turns it into a
 probability.
 
-Only the fit uses a bounded sample (``per_class`` rows of either label, of each
-at most ``pieces`` pieces of ``piece_bytes``, and whole texts for the curve).
-Scoring compresses every whole text.
+Only the fit uses a bounded sample: ``per_class`` rows of either label.  The curve
+sees their whole texts.  A dictionary is trained on all of a text of up to
+``pieces`` pieces of ``piece_chars``, and on that many pieces spread evenly from the
+beginning to the end of a longer one.  Scoring compresses every whole text.
 
 Defined cases: a null text is scored as an empty one; an empty text gets the
 score of the features 0; with labels of one side only, every score is the share
@@ -46,12 +47,16 @@ def _features(text: str, compressors: list) -> tuple[float, ...]:
     return (difference, difference * abs(difference), ratio, ratio * ratio, length, difference * length, ratio * length)
 
 
-def _dictionary(texts: list[str], size: int, pieces: int, piece_bytes: int) -> bytes:
-    samples = [
-        raw[k : k + piece_bytes]
-        for raw in (t.encode("utf-8", "replace") for t in texts)
-        for k in range(0, min(len(raw), pieces * piece_bytes), piece_bytes)
-    ]
+def spread_pieces(text: Column, pieces: int, piece_chars: int) -> Column:
+    """All of a text in pieces, or ``pieces`` of a longer one, from its first character to its last."""
+    n = F.char_length(text)
+    every = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(piece_chars))
+    apart = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.floor(k * (n - piece_chars) / max(1, pieces - 1)).cast("int"))
+    return F.transform(F.when(n <= pieces * piece_chars, every).otherwise(apart), lambda start: F.substring(text, start + 1, F.lit(piece_chars)))
+
+
+def _dictionary(pieces: list[str], size: int) -> bytes:
+    samples = [raw for raw in (p.encode("utf-8", "replace") for p in pieces) if raw]
     total = sum(map(len, samples))
     for wanted in (size, total // 4, total // 16):  # the trainer wants much more text than dictionary
         try:
@@ -67,19 +72,19 @@ def fit(
     per_class: int = 4000,
     dictionary_bytes: int = 112_640,
     pieces: int = 3,
-    piece_bytes: int = 2048,
+    piece_chars: int = 2048,
 ) -> dict:
     """The two dictionaries and the curve, from a bounded sample of training labels."""
     n0, n1 = label_counts(labels, "quality")
     prior = n1 / (n0 + n1) if n0 + n1 else 0.5
     sample = labelled_sample(docs, labels, "quality", per_class).withColumn("for_curve", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 1)
-    # at most per_class texts of either side come to the driver, cut to the pieces the trainer reads
-    cut = F.substring("text", 1, pieces * piece_bytes)
-    rows = sample.filter(~F.col("for_curve")).select("doc_id", "y", cut.alias("text")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, r.text))
+    # at most per_class rows of either side come to the driver, as the pieces the trainer reads
+    cut = spread_pieces(F.col("text"), pieces, piece_chars)
+    rows = sample.filter(~F.col("for_curve")).select("doc_id", "y", cut.alias("pieces")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.y, r.pieces))
     if not (any(r.y == 0 for r in rows) and any(r.y == 1 for r in rows)):
         return {"constant": prior}
-    made = tuple(_dictionary([r.text for r in rows if r.y == y], dictionary_bytes, pieces, piece_bytes) for y in (0, 1))
+    made = tuple(_dictionary([p for r in rows if r.y == y for p in r.pieces], dictionary_bytes) for y in (0, 1))
 
     @F.pandas_udf("array<double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

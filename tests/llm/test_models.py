@@ -43,6 +43,61 @@ def test_toxicity(spark):
     assert np.mean([(r.score >= 0.5) == r.y for r in rows]) > 0.9
 
 
+def test_pieces_cover_a_text(spark):
+    def cut(text):
+        return spark.createDataFrame([(text,)], "t string").select(quality.spread_pieces(F.col("t"), 3, 10).alias("p")).first().p
+
+    assert cut("") == [""] and cut("é" * 25) == ["é" * 10, "é" * 10, "é" * 5]
+    long = "".join(chr(97 + k % 26) for k in range(1000))
+    assert cut(long) == [long[:10], long[495:505], long[-10:]]
+
+
+def plain_score(text, model):
+    """The score by a plain loop over the definition of its features."""
+    import zstandard
+
+    raw = text.encode()
+    if not raw:
+        x = np.zeros(7)
+    else:
+        sizes = []
+        for dictionary in (*model["dictionaries"], None):
+            extra = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+            sizes.append(len(zstandard.ZstdCompressor(level=3, **extra).compress(raw)))
+        bad, good, plain = sizes
+        d, r, n = (bad - good) / max(bad, good), plain / len(raw), np.log(1 + len(raw))
+        x = np.array([d, d * abs(d), r, r * r, n, d * n, r * n])
+    curve = model["curve"]
+    z = sum((x[k] - curve["mean"][k]) / curve["spread"][k] * curve["beta"][k] for k in range(7)) + curve["beta"][7]
+    return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+
+def test_quality_learns_behind_a_long_beginning(spark, documents):
+    """Labels that only the ends of texts bear out; one id is repeated very often."""
+    pick = random.Random(8)
+    good, bad = ("river stone garden window letter morning candle bridge".split(), "zxq vvk qqj wkz jjx kqv xzw pqk".split())
+    same = "".join(pick.choice("abcdefghij ") for _ in range(10_000))
+    rows = [(d, same + " ".join(pick.choice(good if d % 2 else bad) for _ in range(1500))) for d in range(200)]
+    rows += [(3, rows[0][1][-3000:])] * 300
+    labels = spark.createDataFrame([(d, d % 2) for d in range(200)], "doc_id bigint, quality int")
+    model = quality.fit(documents(rows), labels, per_class=60)
+    asked = documents([(1000, rows[1][1][10_000:]), (1001, rows[0][1][10_000:]), (1002, ""), (1003, "é" * 500)])
+    scores = {r.doc_id: (r.text, r.s) for r in asked.select("doc_id", "text", quality.score(F.col("text"), model).alias("s")).collect()}
+    assert scores[1000][1] > scores[1001][1] + 0.3
+    for text, found in scores.values():
+        assert abs(found - plain_score(text, model)) < 1e-9
+
+
+def test_sample_is_bounded_in_rows(spark, documents):
+    from packlake.llm.common import held_out, labelled_sample
+
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id bigint, quality int")
+    taught = {r.doc_id for r in labels.filter(~held_out(F.col("doc_id"))).collect()}
+    docs = documents([(d, f"text {k}") for d in range(40) for k in range(50 if d % 10 == 3 else 1)])
+    got = labelled_sample(docs, labels, "quality", 1000).collect()
+    assert {r.doc_id for r in got} == taught and len(got) == len(taught)
+
+
 @pytest.mark.parametrize("which", [quality, toxicity])
 def test_classifiers_odd_rows(spark, clashing, which):
     label = {quality: "quality", toxicity: "toxic"}[which]
