@@ -10,11 +10,8 @@ from packlake.plans import pack, render, store
 from packlake.sources import corpus as sources
 from packlake.spec import PackSpec
 
-FAT = (
-    "export function fat(): string {\n"
-    + "".join(f"  const v{i} = {i} + {i};\n" for i in range(200))
-    + "  return 1;\n}\n"
-)
+WORDY = "export class Ledger {\n" + "".join(f"  entry{k}(cents: number) {{\n    this.rows.push([{k}, cents]);\n    return this;\n  }}\n" for k in range(12)) + "}\n"
+WORDY = WORDY.replace("return this;", "return this;\n" + "    this.check(1, 2, 3, 4, 5, 6, 7, 8);\n" * 20)
 
 
 def document(plan, **kw):
@@ -23,12 +20,16 @@ def document(plan, **kw):
 
 
 def test_shaping_runs_before_the_budget(corpus):
-    files = corpus({"fat.ts": FAT, "small.ts": "export const tiny = 1;\n"})
-    assert pack.pack(files, PackSpec()).totals.first().total_tokens > 500
-    packed = pack.pack(files, PackSpec(compress=True, max_tokens=500))
-    assert packed.omitted.count() == 0
-    assert packed.totals.first().total_tokens <= 500
-    assert "export function fat" in document(packed) and "v199" not in document(packed)
+    """A file whose bodies alone are over the budget stays, as its skeleton is not."""
+    files = corpus({"books/ledger.ts": WORDY, "books/index.ts": 'export { Ledger } from "./ledger";\n'})
+    whole = pack.pack(files, PackSpec()).totals.first().total_tokens
+    skeleton = pack.pack(files, PackSpec(compress=True)).totals.first().total_tokens
+    limit = (whole + skeleton) // 2
+    packed = pack.pack(files, PackSpec(compress=True, max_tokens=limit))
+    assert skeleton < limit < whole and packed.omitted.count() == 0
+    assert packed.totals.first().total_tokens == skeleton
+    assert "export class Ledger" in document(packed) and "this.check" not in document(packed)
+    assert pack.pack(files, PackSpec(max_tokens=limit)).omitted.count() == 1
 
 
 def test_budget_drops_the_heaviest_but_never_the_manifest(corpus):
