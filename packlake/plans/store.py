@@ -2,7 +2,8 @@
 
 A stored pack is two tables: ``packs`` (one row per pack) and ``pack_lines``
 (pack_id, line_no, text), sorted by both so that reading a page prunes to a few
-row groups.
+row groups.  A third, ``pack_grams``, is written on demand and lets a search skip
+blocks of lines (:mod:`packlake.plans.grams`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from packlake import fixed
 from packlake.functions import text
 from packlake.operators.spread import running, top_rows
-from packlake.plans import render
+from packlake.plans import grams, render
 from packlake.plans.pack import Pack
 
 
@@ -32,14 +33,18 @@ def line_counts(plan: Pack) -> DataFrame:
     return render.measures(plan).groupBy("pack_id").agg(F.sum("n_lines").cast("bigint").alias("line_count"))
 
 
-def save(plan: Pack, path: str) -> None:
-    """Write ``packs`` and ``pack_lines`` below ``path``.
+def save(plan: Pack, path: str, indexed: bool = False) -> None:
+    """Write ``packs`` and ``pack_lines`` below ``path`` (K10), and ``pack_grams`` if ``indexed``.
 
     Sections are moved and sorted whole; a section's lines follow each other, so
-    the exploded rows are sorted too.
+    the exploded rows are sorted too.  The index is made from the written lines,
+    so nothing is rendered for it.
     """
     _lines(render.ordered(plan)).write.parquet(f"{path}/pack_lines")
     plan.totals.join(line_counts(plan), "pack_id").write.parquet(f"{path}/packs")
+    if indexed:
+        written = plan.totals.sparkSession.read.parquet(f"{path}/pack_lines")
+        grams.build(written).write.parquet(f"{path}/pack_grams")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +52,11 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/packs"), spark.read.parquet(f"{path}/pack_lines")
 
 
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """The trigram index of a store that was saved with one."""
+    return spark.read.parquet(f"{path}/pack_grams")
+
+
 def find(packs: DataFrame, pack_id: str) -> DataFrame:
     """The row of one pack; an unknown id is an error naming some known ones."""
     found = packs.filter(F.col("pack_id") == pack_id)
@@ -108,15 +118,19 @@ def grep(
     ignore_case: bool = False,
     context: int = 0,
     limit: int | None = fixed.MAX_GREP_MATCHES,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """First ``limit`` matches per pack, or all for None, with context lines.
 
     Rows are (pack_id, match_no, line_no, is_match, text).  Context windows that
-    overlap repeat their lines, once per match.
+    overlap repeat their lines, once per match.  ``index`` is the trigram index of
+    these lines; it saves reading blocks without a match and changes no row.
     """
     if not 0 <= context <= fixed.MAX_GREP_CONTEXT or (limit is not None and limit < 1):
         raise ValueError(f"context is from 0 to {fixed.MAX_GREP_CONTEXT} and limit is positive")
     test = line_predicate(lines.sparkSession, pattern, ignore_case)
+    if index is not None:
+        lines = grams.narrowed(lines, index, pattern, context)
     found = lines.filter(test).select("pack_id", "line_no")  # ranks are found on keys alone, text comes after
     if limit is None:
         hits = running(found, ["pack_id"], [F.col("line_no").asc()], {}, number="match_no")
