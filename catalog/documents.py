@@ -159,39 +159,44 @@ def k4(spark, sf_dir):
 @query(
     "k4_json_documents",
     with_views(
-        f"""SELECT h.pack_id, h.pack_id AS root, h.total_files, h.total_tokens, h.redactions, 'Koa,React' AS stack, 'architect' AS persona,
-             '{fixed.BRAND}' AS generator, t.tree, f.files, {TASK_SQL} AS task, l.body AS log
-           FROM header h JOIN (SELECT pack_id, string_agg(line, chr(10) ORDER BY string_split(node, '/')) AS tree FROM tree GROUP BY 1) t USING (pack_id)
-           JOIN (SELECT pack_id, string_agg(concat_ws(':', path, tokens, is_oversized, is_omitted, CASE WHEN shown THEN body END), ',' ORDER BY path) AS files
-                 FROM final GROUP BY 1) f USING (pack_id) LEFT JOIN log l USING (pack_id)""",
+        f"""SELECT pack_id, 'metadata' AS kind, pack_id AS root, total_files, total_tokens, redactions, 'Koa,React' AS stack, 'architect' AS persona,
+             '{fixed.BRAND}' AS generator, NULL::VARCHAR AS line, NULL::VARCHAR AS path, NULL::BIGINT AS tokens, NULL::BOOLEAN AS oversized,
+             NULL::BOOLEAN AS omitted, NULL::VARCHAR AS content, NULL::VARCHAR AS task, NULL::VARCHAR AS log FROM header
+           UNION ALL BY NAME SELECT pack_id, 'tree' AS kind, line FROM tree
+           UNION ALL BY NAME SELECT pack_id, 'file' AS kind, path, tokens::BIGINT AS tokens, is_oversized AS oversized, is_omitted AS omitted,
+             CASE WHEN shown THEN body END AS content FROM final
+           UNION ALL BY NAME SELECT pack_id, 'closing' AS kind, {TASK_SQL} AS task, body AS log FROM header LEFT JOIN log USING (pack_id)""",
         *BASE,
     ),
 )
 def k4_documents(spark, sf_dir):
-    schema = (
-        "metadata STRUCT<root: STRING, totalFiles: BIGINT, totalTokens: BIGINT, techStack: ARRAY<STRING>, persona: STRING, redactedSecrets: BIGINT, "
-        "generator: STRING>, tree STRING, files ARRAY<STRUCT<path: STRING, tokens: BIGINT, oversized: BOOLEAN, omitted: BOOLEAN, content: STRING>>, "
-        "task STRING, gitLog STRING"
-    )
-    pieces = render.json_documents(_plan(spark, sf_dir, "json"), VOLUME)
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("volume", "document"))), lambda p: p["document"])
-    docs = pieces.groupBy("pack_id").agg(F.array_join(in_order, "").alias("document"))
-    listed = F.transform(
-        "d.files", lambda f: F.concat_ws(":", f["path"], f["tokens"].cast("string"), f["oversized"].cast("string"), f["omitted"].cast("string"), f["content"])
-    )
-    return docs.select("pack_id", F.from_json("document", schema).alias("d")).select(
+    """Every value of the nested documents, read back from their volumes; no pack is gathered."""
+    rows = render.json_rows(render.json_documents(_plan(spark, sf_dir, "json"), VOLUME))
+    shapes = {
+        "metadata": "root STRING, totalFiles BIGINT, totalTokens BIGINT, techStack ARRAY<STRING>, persona STRING, redactedSecrets BIGINT, generator STRING",
+        "file": "path STRING, tokens BIGINT, oversized BOOLEAN, omitted BOOLEAN, content STRING",
+        "closing": "task STRING, gitLog STRING",
+    }
+    kind = F.col("kind")
+    parsed = rows.withColumns({f"_{k}": F.from_json(F.when(kind == k, F.col("value")), shape) for k, shape in shapes.items()})
+    return parsed.select(
         "pack_id",
-        F.col("d.metadata.root").alias("root"),
-        F.col("d.metadata.totalFiles").alias("total_files"),
-        F.col("d.metadata.totalTokens").alias("total_tokens"),
-        F.col("d.metadata.redactedSecrets").alias("redactions"),
-        F.array_join("d.metadata.techStack", ",").alias("stack"),
-        F.col("d.metadata.persona").alias("persona"),
-        F.col("d.metadata.generator").alias("generator"),
-        F.col("d.tree").alias("tree"),
-        F.array_join(listed, ",").alias("files"),
-        F.col("d.task").alias("task"),
-        F.col("d.gitLog").alias("log"),
+        "kind",
+        "_metadata.root",
+        F.col("_metadata.totalFiles").alias("total_files"),
+        F.col("_metadata.totalTokens").alias("total_tokens"),
+        F.col("_metadata.redactedSecrets").alias("redactions"),
+        F.array_join("_metadata.techStack", ",").alias("stack"),
+        "_metadata.persona",
+        "_metadata.generator",
+        F.when(kind == "tree", F.col("value")).alias("line"),
+        "_file.path",
+        "_file.tokens",
+        "_file.oversized",
+        "_file.omitted",
+        "_file.content",
+        "_closing.task",
+        F.col("_closing.gitLog").alias("log"),
     )
 
 
@@ -317,22 +322,31 @@ HITS = f"""hits AS (
   FROM pack_lines WHERE regexp_matches(text, '{PATTERN}') QUALIFY match_no <= 200)"""
 
 
-@query(
-    "q2_grep",
-    with_views(
-        """SELECT h.pack_id, h.match_no, l.line_no, concat(l.line_no, CASE WHEN l.line_no = h.line_no THEN ': ' ELSE '- ' END, l.text) AS line
-           FROM hits h JOIN pack_lines l ON l.pack_id = h.pack_id AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2
-           UNION ALL SELECT pack_id, match_no, NULL, '--' FROM hits""",
-        *BASE,
-        MARKDOWN,
-        DOC_LINES,
-        HITS,
-    ),
+GREP_SQL = with_views(
+    """SELECT h.pack_id, h.match_no, l.line_no, concat(l.line_no, CASE WHEN l.line_no = h.line_no THEN ': ' ELSE '- ' END, l.text) AS line
+       FROM hits h JOIN pack_lines l ON l.pack_id = h.pack_id AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2
+       UNION ALL SELECT pack_id, match_no, NULL, '--' FROM hits""",
+    *BASE,
+    MARKDOWN,
+    DOC_LINES,
+    HITS,
 )
+
+
+@query("q2_grep", GREP_SQL)
 def q2(spark, sf_dir):
     return store.grep_text(store.grep(_lines(spark, sf_dir), PATTERN, context=2), context=2)
 
 
+@query("q2_grep_indexed", GREP_SQL)
+def q2_indexed(spark, sf_dir):
+    """The same search through a trigram index of the stored lines."""
+    folder = f"{checkpoint_dir(spark)}/q2_grep_indexed-{uuid.uuid4().hex}"
+    store.save(_plan(spark, sf_dir), folder, indexed=True)
+    _, lines = store.load(spark, folder)
+    return store.grep_text(store.grep(lines, PATTERN, context=2, index=store.load_index(spark, folder)), context=2)
+
+
 @query(
     "q2_grep_headers",
     with_views(

@@ -469,6 +469,33 @@ def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     return _volumes(located(plan, json_sections, ""), max_bytes, "")
 
 
+def json_rows(documents: DataFrame) -> DataFrame:
+    """(pack_id, kind, value): what nested JSON documents hold, read volume by volume (K4).
+
+    Kinds are ``metadata``, ``tree`` (a line each), ``file`` and ``closing``; but
+    for tree lines a value is a JSON object.  A volume is made of whole sections
+    and a line feed inside a JSON string is escaped, so line feeds tell the
+    layout and no volume needs another one: a pack is never put together.
+    """
+    doc = F.col("document")
+    top = F.regexp_extract(doc, r'(?s)\A\{\n  "metadata": (\{.*?\n  \}),\n  "tree": "', 1)
+    shape = r'(?:\A\{\n(?s:.*?)\n  "tree": "|\A(?=[\\├└]))([^\n]*?)(?:",\n  "files": \[\n|\z)'
+    string = F.concat(F.lit('["'), F.regexp_extract(doc, shape, 1), F.lit('"]'))
+    branches = F.filter(F.split(F.from_json(string, "array<string>")[0], "\n", -1), lambda line: line != "")
+    entries = F.regexp_extract_all(doc, F.lit(r"(?m)^    \{\n(?:      [^\n]*+\n){6}    \}"), F.lit(0))
+    end = F.regexp_extract(doc, r'(?s)\n  \],\n(  "task".*)\z', 1)
+
+    def one(value: Column) -> Column:
+        return F.filter(F.array(value), lambda v: v != "")
+
+    def of(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    closing = F.transform(one(end), lambda v: F.concat(F.lit("{"), v))
+    found = F.concat(of("metadata", one(top)), of("tree", branches), of("file", entries), of("closing", closing))
+    return documents.select("pack_id", F.inline(found))
+
+
 def write_text(plan: Pack, path: str) -> None:
     """Write the documents as text files per pack, in document order (K8).
 

@@ -280,3 +280,19 @@ def test_facts_of_a_stream_equal_the_batch(corpus, spark, tmp_path):
 )
 def test_paths_below_any_root(evaluate, root, file):
     assert evaluate(lambda f: sources.relative_path(f, root), file) == "src/a.ts"
+
+
+def test_nested_json_is_read_back_from_volumes_of_any_size(corpus):
+    names = ['a "b".md', "dir/c\\d.txt", "dir/├── e.md", "z.md"]
+    files = corpus({("p", n): f'{n}\n"x": {{\n    {{\n    }}\n\\ é' for n in names} | {("q", "one.md"): ""})
+    plan = pack.pack(files, PackSpec(format="json", collation="UTF8_BINARY", task='Say "hi".\n  ],\n'))
+    whole = {r.pack_id: json.loads(r.document) for r in render.json_documents(plan).collect()}
+    for size in (1, 150, 10_000):
+        found = render.json_rows(render.json_documents(plan, size)).collect()
+        for name, doc in whole.items():
+            own = [(r.kind, r.value) for r in found if r.pack_id == name]
+            assert [json.loads(v) for k, v in own if k == "metadata"] == [doc["metadata"]]
+            assert sorted(v for k, v in own if k == "tree") == sorted(doc["tree"].split("\n"))
+            files = [json.loads(v) for k, v in own if k == "file"]
+            assert sorted(files, key=lambda f: f["path"]) == sorted(doc["files"], key=lambda f: f["path"])
+            assert [json.loads(v)["task"] for k, v in own if k == "closing"] == [doc["task"]]
