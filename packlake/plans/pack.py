@@ -80,12 +80,12 @@ def body_facts(spec: PackSpec) -> dict[str, Column]:
 BODY_FACTS = ["body_lines", "body_bytes", "fence"]
 
 
-def facts(files: DataFrame, spec: PackSpec) -> DataFrame:
-    """Narrow facts of every file; row-local, so the text is never shuffled."""
+def facts(files: DataFrame, spec: PackSpec, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Narrow facts of every file, and ``carry`` columns as they are; row-local, so the text is never shuffled."""
     keep = ["pack_id", "path", "size_bytes", "is_binary", "is_oversized", "has_content", "redactions", "tokens"]
     flagged = scan.add_flags(files, spec.max_file_bytes)
     techs = stack.file_technologies(F.col("path"), F.col("content"))
-    return counted(flagged.withColumn("techs", techs), spec).withColumns(body_facts(spec)).select(*keep, "techs", *BODY_FACTS)
+    return counted(flagged.withColumn("techs", techs), spec).withColumns(body_facts(spec)).select(*keep, "techs", *BODY_FACTS, *carry)
 
 
 def _with_bpe(files: DataFrame, narrow: DataFrame, spec: PackSpec, ranks: DataFrame) -> DataFrame:
@@ -159,13 +159,15 @@ def pack(
     changed: DataFrame | None = None,
     diffs: DataFrame | None = None,
     ranks: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> Pack:
     """Plan a run over a ``files`` table (pack_id, path, size_bytes, content or raw).
 
     (pack_id, path) is unique.  ``diffs`` holds one diff text per pack; ``ranks``
-    is the rank table of the ``bpe`` token mode.
+    is the rank table of the ``bpe`` token mode.  ``known`` are :func:`facts` made
+    before; then ``files`` needs the text of rule files only, unless texts are rendered.
     """
-    if spec.token_mode == "bpe" and ranks is None:
+    if spec.token_mode == "bpe" and ranks is None and known is None:
         raise ValueError("token mode bpe needs a rank table")
     if spec.changed_only and changed is None:
         raise ValueError("changed_only needs a table of changed paths")
@@ -176,8 +178,8 @@ def pack(
     if "raw" in files.columns:
         files = files.withColumn("content", corpus.decode())
     reached = files.filter(scan.reachable(spec))  # a path test, so text of excluded files is not even read
-    narrow = facts(reached, spec)
-    if spec.token_mode == "bpe":
+    narrow = facts(reached, spec) if known is None else known
+    if spec.token_mode == "bpe" and known is None:
         narrow = _with_bpe(reached, narrow, spec, ranks)
     selection = materialize(scan.select_files(files, spec, narrow))
     stats = scan.kept(selection)
