@@ -2,7 +2,8 @@
 
 Text is cut into pieces by a native regex and counted per (file, piece), so the
 costly merging runs once per distinct piece, and only for pieces that are not a
-single token already.
+single token already.  Merged lengths can be kept in a table between runs, so that
+a piece is merged once for all corpora counted with the same ranks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.operators.spread import join_per_pack
-
+from packlake.session import materialize
 
 # The piece patterns of the two encodings; @ stands for white space.
 _WHITE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -78,10 +79,44 @@ def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
     return parts
 
 
+def ranks_id(ranks: DataFrame) -> str:
+    """Name of a rank table: its size and a hash that does not depend on the order of its rows."""
+    row = ranks.agg(
+        F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("token", "rank")), F.lit(0)), F.coalesce(F.bit_xor(F.crc32("token") * (F.col("rank") + 1)), F.lit(0))
+    ).first()
+    return "-".join(f"{v & (2**64 - 1):x}" for v in row)
+
+
+def kept_lengths(spark: SparkSession, path: str, ranks: str) -> DataFrame:
+    """(piece, merged) kept below ``path`` for a rank table; a piece that two runs added at once counts once."""
+    folder = f"{path}/ranks={ranks}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    schema = "piece string, merged bigint"
+    rows = spark.read.schema(schema).parquet(folder) if found else spark.createDataFrame([], schema)
+    return rows.groupBy("piece").agg(F.min("merged").alias("merged"))
+
+
+def _keep_lengths(unknown: DataFrame, lengths, path: str, ranks: str) -> DataFrame:
+    """Merge the pieces not met before, append them to the table, and return the table."""
+    spark = unknown.sparkSession
+    fresh = unknown.join(kept_lengths(spark, path, ranks), "piece", "left_anti")
+    fresh.withColumn("merged", lengths("piece")).write.mode("append").parquet(f"{path}/ranks={ranks}")
+    return kept_lengths(spark, path, ranks)
+
+
 def count_bpe(
-    files: DataFrame, ranks: DataFrame, encoding: str = "o200k_base", keys: tuple[str, ...] = ("pack_id", "path")
+    files: DataFrame,
+    ranks: DataFrame,
+    encoding: str = "o200k_base",
+    keys: tuple[str, ...] = ("pack_id", "path"),
+    pieces_path: str | None = None,
 ) -> DataFrame:
-    """(keys, tokens) for every row with ``content``; empty text has 0 tokens."""
+    """(keys, tokens) for every row with ``content``; empty text has 0 tokens.
+
+    ``pieces_path`` names a folder that keeps merged lengths between runs, one
+    table per rank table: pieces found there are not merged again.
+    """
     spark = files.sparkSession
     rows = ranks.collect()  # one vocabulary: it does not grow with the corpus
     table = spark.sparkContext.broadcast({bytes(r.token): r.rank for r in rows})
@@ -98,14 +133,18 @@ def count_bpe(
         .groupBy(*keys, "piece")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    if pieces_path is not None:
+        per_file = materialize(per_file)  # read by the job that keeps new pieces and by the result
     # tokens that are valid text; adaptive execution broadcasts them if they turn out small
     single = ranks.filter(F.is_valid_utf8(F.col("token").cast("string"))).select(
         F.col("token").cast("string").alias("piece"), F.lit(1).cast("bigint").alias("one")
     )
     marked = per_file.join(single, "piece", "left")
-    unknown = (
-        marked.filter("one IS NULL").select("piece").distinct().withColumn("merged", lengths("piece"))
-    )
+    unknown = marked.filter("one IS NULL").select("piece").distinct()
+    if pieces_path is None:
+        unknown = unknown.withColumn("merged", lengths("piece"))
+    else:
+        unknown = _keep_lengths(unknown, lengths, pieces_path, ranks_id(ranks))
     counted = marked.filter("one IS NOT NULL").select(*keys, F.col("n").alias("tokens")).unionByName(
         join_per_pack(marked.filter("one IS NULL"), unknown, ["piece"], "inner", spread_by=keys[-1]).select(
             *keys, (F.col("n") * F.col("merged")).alias("tokens")

@@ -88,11 +88,11 @@ def facts(files: DataFrame, spec: PackSpec, carry: tuple[str, ...] = ()) -> Data
     return counted(flagged.withColumn("techs", techs), spec).withColumns(body_facts(spec)).select(*keep, "techs", *BODY_FACTS, *carry)
 
 
-def _with_bpe(files: DataFrame, narrow: DataFrame, spec: PackSpec, ranks: DataFrame) -> DataFrame:
+def _with_bpe(files: DataFrame, narrow: DataFrame, spec: PackSpec, ranks: DataFrame, pieces_path: str | None) -> DataFrame:
     """Exact token counts of the shaped, redacted text in place of the estimate."""
     estimated = replace(spec, token_mode="pretoken")
     texts = counted(scan.add_flags(files, spec.max_file_bytes), estimated).filter("has_content")
-    exact = bpe.count_bpe(texts.select("pack_id", "path", "content"), ranks, spec.encoding)
+    exact = bpe.count_bpe(texts.select("pack_id", "path", "content"), ranks, spec.encoding, pieces_path=pieces_path)
     return (
         narrow.drop("tokens")
         .join(exact, ["pack_id", "path"], "left")
@@ -160,11 +160,13 @@ def pack(
     diffs: DataFrame | None = None,
     ranks: DataFrame | None = None,
     known: DataFrame | None = None,
+    pieces_path: str | None = None,
 ) -> Pack:
     """Plan a run over a ``files`` table (pack_id, path, size_bytes, content or raw).
 
     (pack_id, path) is unique.  ``diffs`` holds one diff text per pack; ``ranks``
-    is the rank table of the ``bpe`` token mode.  ``known`` are :func:`facts` made
+    is the rank table of the ``bpe`` token mode and ``pieces_path`` a folder that
+    keeps its merged pieces between runs.  ``known`` are :func:`facts` made
     before; then ``files`` needs the text of rule files only, unless texts are rendered.
     """
     if spec.token_mode == "bpe" and ranks is None and known is None:
@@ -180,7 +182,7 @@ def pack(
     reached = files.filter(scan.reachable(spec))  # a path test, so text of excluded files is not even read
     narrow = facts(reached, spec) if known is None else known
     if spec.token_mode == "bpe" and known is None:
-        narrow = _with_bpe(reached, narrow, spec, ranks)
+        narrow = _with_bpe(reached, narrow, spec, ranks, pieces_path)
     selection = materialize(scan.select_files(files, spec, narrow))
     stats = scan.kept(selection)
     if spec.changed_only:
