@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from packlake import fixed
 from packlake.functions import paths, text
+from packlake.operators import globs
 from packlake.operators.spread import join_per_pack
 from packlake.session import materialize
 
@@ -98,7 +99,7 @@ def _path_regex(glob: str, braces: bool) -> str:
 
 def glob_regex(glob: str) -> str:
     """Anchored regex for a glob over whole paths, dot files included."""
-    return rf"\A{_path_regex(glob.removeprefix('./'), braces=True)}\z"
+    return rf"\A{_path_regex(globs.with_ranges_listed(glob).removeprefix('./'), braces=True)}\z"
 
 
 def rule_body(pattern: str) -> tuple[str, bool] | None:
@@ -141,12 +142,17 @@ def rule_body_udf(pattern: pd.Series) -> pd.DataFrame:
 # ---------------------------------------------------------------------- globs
 
 
-def matches_any(path: Column, globs: list[str]) -> Column:
-    """One alternation over all globs; evaluated in the scan stage."""
-    if not globs:
-        return F.lit(False)
-    joined = "|".join(glob_regex(g)[2:-2] for g in globs)
-    return F.rlike(path, F.lit(rf"\A(?:{joined})\z"))
+def matches_any(path: Column, patterns: list[str]) -> Column:
+    """One alternation over all globs; evaluated in the scan stage.
+
+    Globs with groups such as ``@(a|b)`` or ``!(a)`` are followed as trees
+    (:mod:`packlake.operators.globs`), in Python, and only if there are any.
+    """
+    trees = [globs.tree(g) for g in patterns]
+    plain = [glob_regex(g)[2:-2] for g, nodes in zip(patterns, trees) if nodes is None]
+    grouped = [nodes for nodes in trees if nodes is not None]
+    hit = F.rlike(path, F.lit(rf"\A(?:{'|'.join(plain)})\z")) if plain else F.lit(False)
+    return hit | globs.matches_trees(path, grouped) if grouped else hit
 
 
 def is_default_excluded(path: Column) -> Column:
