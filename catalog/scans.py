@@ -262,6 +262,24 @@ def f5(spark, sf_dir):
     return scan.select_files(v.mixed(spark, sf_dir), INCLUDE_SPEC).filter("is_selected").select("pack_id", "path")
 
 
+GROUP_SPEC = PackSpec(includes=["node_modules/**/!(*[02468]).@(ts|go|md)", "**/+(doc_|[13579]).json", "**/doc_{10..19}*.env"])
+
+
+@query(
+    "f5_group_includes",
+    with_views(
+        rf"""SELECT pack_id, path FROM mixed WHERE (NOT {v.DEFAULT_EXCLUDED_SQL.format('path')} AND NOT {v.CASCADE_SQL})
+             OR (regexp_matches(path, '^node_modules/(.*/)?[^/]*\.(ts|go|md)$') AND NOT regexp_matches(path, '[02468]\.(ts|go|md)$'))
+             OR regexp_matches(path, '(^|/)(doc_|[13579])+\.json$') OR regexp_matches(path, '(^|/)doc_1[0-9][^/]*\.env$')""",
+        v.FILES,
+        v.MIXED,
+    ),
+)
+def f5_groups(spark, sf_dir):
+    """Includes with negated, chosen and repeated groups and a range."""
+    return scan.select_files(v.mixed(spark, sf_dir), GROUP_SPEC).filter("is_selected").select("pack_id", "path")
+
+
 @query("u1_include_union", with_views("SELECT pack_id, count(DISTINCT path) AS files FROM selected WHERE is_selected GROUP BY 1", v.FILES, v.MIXED, SELECTED))
 def u1(spark, sf_dir):
     picked = scan.select_files(v.mixed(spark, sf_dir), INCLUDE_SPEC).filter("is_selected")
