@@ -235,6 +235,67 @@ def k9(spark, sf_dir):
     return _sections(spark, sf_dir, "markdown").filter(F.col("section") >= render.LOG).drop("entry")
 
 
+DIFFS = """pieces AS (
+  SELECT pack_id, path, 0 AS part, concat('--- a/', path, chr(10), '+++ /dev/null') AS diff FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION ALL
+  SELECT pack_id, path, 1, concat('@@ -1,', len(string_split(content, chr(10))), ' +0,0 @@', chr(10), '-', replace(content, chr(10), chr(10) || '-'))
+  FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+fences AS (
+  SELECT pack_id, repeat('`', max(coalesce(list_max(list_transform(regexp_extract_all(diff, '`{3,}'), lambda x: len(x))) + 1, 3))::INT) AS fence FROM pieces GROUP BY 1)"""
+
+
+@query(
+    "k9_diff_sections",
+    with_views(
+        f"""SELECT pack_id, 'start' AS entry, concat('## Git Diff (uncommitted changes)', {N}, {N}, fence, 'diff') AS text FROM fences
+            UNION ALL SELECT pack_id, concat(path, '#', lpad(part::VARCHAR, 19, '0')), diff FROM pieces
+            UNION ALL SELECT pack_id, 'stop', concat(fence, {N}) FROM fences""",
+        v.FILES,
+        DIFFS,
+    ),
+)
+def k9_diffs(spark, sf_dir):
+    plan = v.plan(spark, sf_dir, v.SPEC, diffs=tables.diffs(spark, sf_dir))
+    return render.sections(plan).filter(F.col("section") == render.DIFF).select("pack_id", "entry", "text")
+
+
+@query(
+    "k4_json_diffs",
+    with_views(
+        """SELECT * FROM (SELECT pack_id, unnest(string_split(diff, chr(10))) AS line FROM pieces) WHERE line <> ''""",
+        v.FILES,
+        DIFFS,
+    ),
+)
+def k4_diffs(spark, sf_dir):
+    """Lines of the diff in the nested documents, read back from their volumes."""
+    plan = v.plan(spark, sf_dir, replace(v.SPEC, format="json"), diffs=tables.diffs(spark, sf_dir))
+    rows = render.json_rows(render.json_documents(plan, VOLUME))
+    return rows.filter("kind = 'diff'").select("pack_id", F.col("value").alias("line"))
+
+
+AUDIT = fixed.RECIPES["audit"][1].replace("'", "''").replace("\n", "'||chr(10)||'")
+
+
+@query(
+    "k7_header_choices",
+    with_views(
+        f"""SELECT pack_id, concat_ws({N},
+               CASE kind WHEN 0 THEN '{fixed.PERSONA_HEADERS["security"]}' WHEN 1 THEN '{fixed.PERSONA_HEADERS["refactor"]}' ELSE '{fixed.PERSONA_HEADERS["architect"]}' END,
+               'Root: ' || pack_id, concat('Total Files: ', total_files), concat('Total Tokens: ', total_tokens), 'Tech Stack: Koa, React',
+               CASE WHEN kind IN (2, 4) THEN 'Task Status: Pending (See end of file)' END, safety) AS header,
+             CASE kind WHEN 2 THEN '{AUDIT}' WHEN 4 THEN 'Look at ' || pack_id END AS task
+           FROM (SELECT *, ascii(right(pack_id, 1)) % 5 AS kind, string_split(header, {N})[-1] AS safety FROM header)""",
+        *BASE,
+    ),
+)
+def k7_choices(spark, sf_dir):
+    """Packs with a persona, a recipe or a task of their own; the others follow the spec."""
+    choices = tables.choices(spark, sf_dir)
+    plan = v.plan(spark, sf_dir, replace(v.SMALL, persona="arch"), packs=choices)
+    return pack.header(plan.totals, plan.spec, choices).select("pack_id", "header", F.col("task_body").alias("task"))
+
+
 @query(
     "k8_text_sink",
     with_views(
@@ -428,8 +489,11 @@ def o12(spark, sf_dir):
              (SELECT count(*) FROM final x WHERE x.pack_id = h.pack_id AND is_omitted) AS omitted,
              (SELECT string_agg(path, ', ' ORDER BY path) FILTER (WHERE rn <= 10) || CASE WHEN count(*) > 10 THEN ', …' ELSE '' END
               FROM (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY path) AS rn FROM final WHERE is_omitted) x WHERE x.pack_id = h.pack_id) AS omitted_names,
-             0::BIGINT AS suspicious
+             (SELECT count(*) FROM credentials x WHERE x.pack_id = h.pack_id) AS suspicious,
+             (SELECT string_agg(path, ', ' ORDER BY path) FILTER (WHERE rn <= 10) || CASE WHEN count(*) > 10 THEN ', …' ELSE '' END
+              FROM (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY path) AS rn FROM credentials) x WHERE x.pack_id = h.pack_id) AS suspicious_names
            FROM header h JOIN counts c USING (pack_id)""",
+        "credentials AS (SELECT source AS pack_id, concat('deploy/doc_', doc_id, '.pem') AS path FROM documents WHERE doc_id % 9 = 4)",
         *BASE,
         MARKDOWN,
         DOC_LINES,
@@ -437,6 +501,8 @@ def o12(spark, sf_dir):
     ),
 )
 def q3(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
+    """Files that look like credentials are reported, not packed: the documents are those of the other queries."""
+    files = tables.files(spark, sf_dir).drop("doc_id").unionByName(tables.credentials(spark, sf_dir))
+    plan = pack.pack(files, SPEC, commits=tables.commits(spark, sf_dir))
     rows = store.summary(plan, store.line_counts(plan))
-    return rows.withColumn("top_files", F.array_join("top_files", "\n")).drop("suspicious_names")
+    return rows.withColumn("top_files", F.array_join("top_files", "\n"))

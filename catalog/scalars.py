@@ -1,5 +1,7 @@
 """Row-local functions (P1-P28) over whole texts."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -520,19 +522,19 @@ def p22(spark, sf_dir):
     )
 
 
-@query(
-    "p24_shaping_savings",
-    with_views(
-        """SELECT pack_id, before AS chars_before, after AS chars_after, files AS compressed_files, floor((before - after) / before * 100 + 0.5)::BIGINT AS saved_percent
-           FROM (SELECT o.pack_id, sum(length(o.content))::BIGINT AS before, sum(length(s.content))::BIGINT AS after, count(*) AS files
-                 FROM (SELECT pack_id, path, string_agg(line, chr(10) ORDER BY i) AS content FROM src_lines GROUP BY ALL) o
-                 JOIN skeletons s USING (pack_id, path) GROUP BY 1)""",
-        v.FILES,
-        v.LINES,
-        v.SRC,
-        SKELETON,
-    ),
+SAVINGS_SQL = with_views(
+    """SELECT pack_id, before AS chars_before, after AS chars_after, files AS compressed_files, floor((before - after) / before * 100 + 0.5)::BIGINT AS saved_percent
+       FROM (SELECT o.pack_id, sum(length(o.content))::BIGINT AS before, sum(length(s.content))::BIGINT AS after, count(*) AS files
+             FROM (SELECT pack_id, path, string_agg(line, chr(10) ORDER BY i) AS content FROM src_lines GROUP BY ALL) o
+             JOIN skeletons s USING (pack_id, path) GROUP BY 1)""",
+    v.FILES,
+    v.LINES,
+    v.SRC,
+    SKELETON,
 )
+
+
+@query("p24_shaping_savings", SAVINGS_SQL)
 def p24(spark, sf_dir):
     files = scan.add_flags(tables.source_like(spark, sf_dir)).filter(scan.has_content())
     skeleton = shape.signatures(F.col("path"), F.col("content"))
@@ -545,6 +547,13 @@ def p24(spark, sf_dir):
     return rollup.shaping_savings(sizes)
 
 
+@query("a8_pack_savings", SAVINGS_SQL)
+def a8_savings(spark, sf_dir):
+    """The same out of a plan that compresses."""
+    files = tables.source_like(spark, sf_dir).select("pack_id", "path", "size_bytes", "content")
+    return pack.pack(files, replace(v.SPEC, compress=True)).savings
+
+
 @query(
     "p25_ancestors",
     with_views(

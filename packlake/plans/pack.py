@@ -20,21 +20,26 @@ from packlake.functions import paths, text, tokens
 from packlake.operators import bpe, budget, history, order, rollup, scan, stack
 from packlake.session import materialize
 from packlake.sources import corpus
-from packlake.spec import PackSpec, resolve_persona
+from packlake.spec import PackSpec
+
 
 def shaped(files: DataFrame, spec: PackSpec) -> DataFrame:
-    """Shape text of files that have any."""
-    active = spec.compress or spec.remove_comments or spec.remove_blank_lines
-    if not active:
+    """Shape text of files that have any (P17); with its lengths before and after, and whether a skeleton is shown."""
+    if not spec.shapes:
         return files
-    body = shaping.shape(
-        F.col("path"),
-        F.col("content"),
-        compress=spec.compress,
-        comments=spec.remove_comments,
-        blank_lines=spec.remove_blank_lines,
-    )
-    return files.withColumn("content", F.when(scan.has_content(), body).otherwise(F.col("content")))
+    path, content, has = F.col("path"), F.col("content"), scan.has_content()
+    skeleton = shaping.signatures(path, content) if spec.compress else F.lit(None).cast("string")
+    rest = shaping.shape(path, content, comments=spec.remove_comments, blank_lines=spec.remove_blank_lines)
+    made = files.withColumn("_skeleton", F.when(has, skeleton))
+    made = made.withColumn("_shaped", F.when(has, F.coalesce("_skeleton", rest)))
+    return made.withColumns(
+        {
+            "chars_before": F.when(has, F.char_length(content).cast("bigint")),
+            "chars_after": F.char_length("_shaped").cast("bigint"),
+            "is_compressed": F.col("_skeleton").isNotNull(),
+            "content": F.coalesce("_shaped", content),
+        }
+    ).drop("_skeleton", "_shaped")
 
 
 def counted(files: DataFrame, spec: PackSpec) -> DataFrame:
@@ -78,6 +83,7 @@ def body_facts(spec: PackSpec) -> dict[str, Column]:
 
 
 BODY_FACTS = ["body_lines", "body_bytes", "fence"]
+SHAPING_FACTS = ["chars_before", "chars_after", "is_compressed"]  # of specs that shape
 
 
 def facts(files: DataFrame, spec: PackSpec, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -85,7 +91,8 @@ def facts(files: DataFrame, spec: PackSpec, carry: tuple[str, ...] = ()) -> Data
     keep = ["pack_id", "path", "size_bytes", "is_binary", "is_oversized", "has_content", "redactions", "tokens"]
     flagged = scan.add_flags(files, spec.max_file_bytes)
     techs = stack.file_technologies(F.col("path"), F.col("content"))
-    return counted(flagged.withColumn("techs", techs), spec).withColumns(body_facts(spec)).select(*keep, "techs", *BODY_FACTS, *carry)
+    made = counted(flagged.withColumn("techs", techs), spec).withColumns(body_facts(spec))
+    return made.select(*keep, "techs", *BODY_FACTS, *(SHAPING_FACTS if spec.shapes else []), *carry)
 
 
 def _with_bpe(files: DataFrame, narrow: DataFrame, spec: PackSpec, ranks: DataFrame, pieces_path: str | None) -> DataFrame:
@@ -114,6 +121,7 @@ class Pack:
     totals: DataFrame  # one row per pack
     log: DataFrame | None = None
     diffs: DataFrame | None = None
+    packs: DataFrame | None = None
 
     @property
     def files(self) -> DataFrame:
@@ -122,11 +130,11 @@ class Pack:
 
     def with_text(self, stats: DataFrame) -> DataFrame:
         """Rows of ``stats``, or of a table made from it by adding columns, with their final text; one join."""
-        shown = stats.drop("techs", "redactions", "tokens_before", "is_candidate", "is_selected", "is_suspicious")
+        shown = stats.drop("techs", "redactions", "tokens_before", "is_candidate", "is_selected", "is_suspicious", *SHAPING_FACTS)
         # only text that can be inlined is moved: excluded, binary and oversized files stay behind
         flagged = scan.add_flags(self.source.filter(scan.reachable(self.spec)), self.spec.max_file_bytes)
         body = flagged.filter(scan.has_content()).select("pack_id", "path", "content")
-        final = shaped(body.join(shown.filter("has_content"), ["pack_id", "path"]), self.spec)
+        final = shaped(body.join(shown.filter("has_content"), ["pack_id", "path"]), self.spec).drop(*SHAPING_FACTS)
         if self.spec.redact:
             final = final.withColumn("content", secrets.redacted(F.col("content")))
         bare = shown.filter("NOT has_content").withColumn("content", F.lit(None).cast("string"))
@@ -142,6 +150,14 @@ class Pack:
         """Credential-shaped files left out."""
         return scan.suspicious(self.selection)
 
+    @property
+    def savings(self) -> DataFrame:
+        """What shaping saved per pack, files dropped for the budget included (A8, P24); no row unless the spec shapes."""
+        if not self.spec.shapes:
+            bare = self.stats.limit(0).select("pack_id", *[F.lit(None).cast("bigint").alias(c) for c in SHAPING_FACTS[:2]], F.lit(False).alias("is_compressed"))
+            return rollup.shaping_savings(bare)
+        return rollup.shaping_savings(self.stats)
+
     @property
     def prune(self) -> DataFrame:
         """Prune counts."""
@@ -161,14 +177,19 @@ def pack(
     ranks: DataFrame | None = None,
     known: DataFrame | None = None,
     pieces_path: str | None = None,
+    packs: DataFrame | None = None,
 ) -> Pack:
     """Plan a run over a ``files`` table (pack_id, path, size_bytes, content or raw).
 
-    (pack_id, path) is unique.  ``diffs`` holds one diff text per pack; ``ranks``
-    is the rank table of the ``bpe`` token mode and ``pieces_path`` a folder that
-    keeps its merged pieces between runs.  ``known`` are :func:`facts` made
-    before; then ``files`` needs the text of rule files only, unless texts are rendered.
+    (pack_id, path) is unique.  ``diffs`` holds diff text (pack_id, diff), in any
+    number of rows per pack if columns ``path`` and ``part`` order them; ``packs``
+    (unique pack_id) may give packs their own ``persona``, ``recipe`` and ``task``,
+    where a null leaves the spec's.  ``ranks`` is the rank table of the ``bpe``
+    token mode and ``pieces_path`` a folder that keeps its merged pieces between
+    runs.  ``known`` are :func:`facts` made before; then ``files`` needs the text
+    of rule files only, unless texts are rendered.
     """
+    require_choices(packs)
     if spec.token_mode == "bpe" and ranks is None and known is None:
         raise ValueError("token mode bpe needs a rank table")
     if spec.changed_only and changed is None:
@@ -215,33 +236,57 @@ def pack(
     log = None
     if spec.log_commits is not None and commits is not None:
         log = history.commit_log(commits, spec.log_commits)
-    return Pack(spec, files, selection, stats, materialize(totals), log, diffs)
+    return Pack(spec, files, selection, stats, materialize(totals), log, diffs, packs)
+
+
+# names a persona goes by, in lower case, and its full name
+PERSONA_NAMES = {name: name for name in fixed.PERSONA_HEADERS} | {slug: name for name, slug in fixed.PERSONA_SLUGS.items()}
+
 
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), F.lower(key))
 
-def task_text(spec: PackSpec) -> str | None:
-    """Task and recipe prompt of a spec (P26); a blank task counts as none."""
-    parts = [spec.task] if spec.task and spec.task.strip() else []
-    if spec.recipe:
-        parts.append(fixed.RECIPES[spec.recipe.lower()][1])
-    return "\n\n".join(parts) or None
+
+def require_choices(packs: DataFrame | None) -> None:
+    """A pack that names an unknown persona or recipe is an error, as in a spec."""
+    for column, known in (("persona", PERSONA_NAMES), ("recipe", fixed.RECIPES)):
+        if packs is not None and column in packs.columns:
+            bad = packs.filter(F.col(column).isNotNull() & ~F.lower(column).isin(*known)).select(column).first()
+            if bad is not None:
+                raise ValueError(f"unknown {column} {bad[0]!r}; known: {', '.join(known)}")
+
+
+def with_choices(totals: DataFrame, spec: PackSpec, packs: DataFrame | None = None) -> DataFrame:
+    """Add ``persona`` (full name) and ``task_body`` per pack, null for none: from ``packs``, else from the spec."""
+    own = [c for c in ("persona", "recipe", "task") if packs is not None and c in packs.columns]
+    out = totals.join(packs.select("pack_id", *[F.col(c).alias(f"_{c}") for c in own]), "pack_id", "left") if own else totals
+
+    def choice(name: str) -> Column:
+        of_spec = F.lit(getattr(spec, name)).cast("string")
+        return F.coalesce(F.col(f"_{name}"), of_spec) if name in own else of_spec
+
+    prompts = {name: prompt for name, (_, prompt) in fixed.RECIPES.items()}
+    task = choice("task")
+    body = F.concat_ws("\n\n", F.when(~text.is_blank(task), task), _looked_up(prompts, choice("recipe")))
+    return out.withColumns({"persona": _looked_up(PERSONA_NAMES, choice("persona")), "task_body": F.nullif(body, F.lit(""))}).drop(
+        *[f"_{c}" for c in own]
+    )
 
 
-def header(totals: DataFrame, spec: PackSpec) -> DataFrame:
-    """Header text per pack (K7): persona, root, counts, stack, task, safety."""
-    persona = fixed.PERSONA_HEADERS[resolve_persona(spec.persona)] if spec.persona else None
-    task = task_text(spec)
+def header(totals: DataFrame, spec: PackSpec, packs: DataFrame | None = None) -> DataFrame:
+    """Header text per pack (K7): persona, root, counts, stack, task, safety; with ``persona`` and ``task_body``."""
     lines = [
-        F.lit(persona).cast("string"),
+        _looked_up(fixed.PERSONA_HEADERS, F.col("persona")),
         F.concat(F.lit("Root: "), F.col("pack_id")),
         F.concat(F.lit("Total Files: "), F.col("total_files").cast("string")),
         F.concat(F.lit("Total Tokens: "), F.col("total_tokens").cast("string")),
         F.when(
             F.size("tech_stack") > 0, F.concat(F.lit("Tech Stack: "), F.array_join("tech_stack", ", "))
         ),
-        F.lit("Task Status: Pending (See end of file)" if task and task.strip() else None).cast("string"),
+        F.when(F.col("task_body").isNotNull(), "Task Status: Pending (See end of file)"),
         text.safety_line(F.col("redactions"), spec.redact),
     ]
-    return totals.withColumn("header", F.concat_ws("\n", *lines))
+    return with_choices(totals, spec, packs).withColumn("header", F.concat_ws("\n", *lines))
 
 
 def dry_run(plan: Pack) -> DataFrame:

@@ -25,9 +25,8 @@ from packlake.functions import text
 from packlake.operators import tree
 from packlake.operators.order import path_key
 from packlake.operators.spread import join_per_pack, running
-from packlake.plans.pack import Pack, header, task_text
+from packlake.plans.pack import Pack, header
 from packlake.session import materialize
-from packlake.spec import resolve_persona
 
 SEPARATOR = "=" * 48
 PART_BYTES = 128 * 1024 * 1024
@@ -54,6 +53,17 @@ def _log_bodies(log: DataFrame) -> DataFrame:
     )
 
 
+def diff_pieces(diffs: DataFrame) -> DataFrame:
+    """(pack_id, path, entry, diff): the pieces of diff text that are not blank; those of a pack stand by path and part.
+
+    A table without ``path`` or ``part`` has one piece per pack, or per path.
+    """
+    path = F.coalesce("path", F.lit("")) if "path" in diffs.columns else F.lit("")
+    part = F.coalesce(F.col("part").cast("bigint"), F.lit(0).cast("bigint")) if "part" in diffs.columns else F.lit(0).cast("bigint")
+    entry = F.concat(path, F.lit("#"), F.lpad(part.cast("string"), 19, "0"))
+    return diffs.filter(~text.is_blank(F.col("diff"))).select("pack_id", path.alias("path"), entry.alias("entry"), "diff")
+
+
 class _Builder:
     """Collects section rows with one uniform schema.
 
@@ -67,8 +77,8 @@ class _Builder:
         self.carry = carry or []
         self.spec = plan.spec
         self.collation = plan.spec.collation
-        self.packs = header(plan.totals, plan.spec).select(
-            "pack_id", "header", "total_files", "total_tokens", "redactions", "tech_stack"
+        self.packs = header(plan.totals, plan.spec, plan.packs).select(
+            "pack_id", "header", "total_files", "total_tokens", "redactions", "tech_stack", "persona", "task_body"
         )
         self.rows: list[DataFrame] = []
         self.file_rows: list[DataFrame] = []
@@ -113,15 +123,24 @@ class _Builder:
             return
         self.add(_log_bodies(self.plan.log), LOG, body_of(F.col("body")))
 
-    def diff(self, body_of) -> None:
-        """Diff text comes as rows (pack_id, diff); blank ones render nothing."""
-        if self.plan.diffs is not None:
-            self.add(self.plan.diffs.filter(~text.is_blank(F.col("diff"))), DIFF, body_of(F.col("diff")))
+    def diff(self, before: Column | str | None = None, after: Column | str | None = None, piece=lambda body: body) -> None:
+        """Diff text, a row per piece, between a row before and one after it; a pack without any renders nothing.
+
+        ``before`` and ``after`` may use ``fence``, one that no piece of the pack breaks.
+        """
+        if self.plan.diffs is None:
+            return
+        pieces = diff_pieces(self.plan.diffs)
+        fences = pieces.groupBy("pack_id").agg(F.max(F.length(text.fence_for(F.col("diff")))).alias("_n"))
+        packs = fences.select("pack_id", F.repeat(F.lit("`"), F.col("_n")).alias("fence"))
+        key = F.array(path_key("path", self.collation))
+        rows = [(packs, before, F.lit("start"), None, 0), (pieces, piece(F.col("diff")), F.col("entry"), key, 1), (packs, after, F.lit("stop"), None, 2)]
+        for source, body, entry, at, rank in rows:
+            if body is not None:
+                self.add(source, DIFF, F.lit(body) if isinstance(body, str) else body, entry, at, F.lit(rank))
 
     def task(self, body_of) -> None:
-        task = task_text(self.spec)
-        if task and task.strip():
-            self.per_pack(TASK, body_of(F.lit(task)))
+        self.add(self.packs.filter("task_body IS NOT NULL"), TASK, body_of(F.col("task_body")))
 
     def union(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.rows + self.file_rows)
@@ -169,14 +188,8 @@ def markdown(b: _Builder) -> None:
     )
     b.log(lambda body: _lines("## Recent Commits", "", "```", body, "```", ""))
     b.diff(
-        lambda body: _lines(
-            "## Git Diff (uncommitted changes)",
-            "",
-            F.concat(text.fence_for(body), F.lit("diff")),
-            body,
-            text.fence_for(body),
-            "",
-        )
+        _lines("## Git Diff (uncommitted changes)", "", F.concat(F.col("fence"), F.lit("diff"))),
+        _lines(F.col("fence"), ""),
     )
     b.task(
         lambda body: _lines(
@@ -194,11 +207,8 @@ def xml(b: _Builder) -> None:
 
     b.per_pack(TOP, f"<{fixed.BRAND}>\n<tree><![CDATA[")
     b.tree()
-    task = task_text(plan.spec)
-    parts = [F.lit("]]></tree>"), cdata("metadata")(F.col("header"))]
-    if task and task.strip():
-        parts.append(cdata("task")(F.lit(task)))
-    b.per_pack(AFTER_TREE, _lines(*parts))
+    task = F.when(F.col("task_body").isNotNull(), cdata("task")(F.col("task_body")))
+    b.per_pack(AFTER_TREE, _lines("]]></tree>", cdata("metadata")(F.col("header")), task))
     shown = F.coalesce("shown", _note(plan.spec))
     b.per_file(
         FILES,
@@ -212,7 +222,7 @@ def xml(b: _Builder) -> None:
         ),
     )
     b.log(cdata("gitLog"))
-    b.diff(cdata("gitDiff"))
+    b.diff("<gitDiff><![CDATA[", "]]></gitDiff>")
     b.per_pack(END, f"</{fixed.BRAND}>")
 
 
@@ -234,7 +244,7 @@ def plain(b: _Builder) -> None:
     shown = F.coalesce("shown", _note(b.spec))
     b.per_file(FILES, b.files, block(F.concat(F.lit("File: "), F.col("path")), shown, ""))
     b.log(lambda body: block("RECENT COMMITS", body, ""))
-    b.diff(lambda body: block("GIT DIFF (uncommitted changes)", body, ""))
+    b.diff(block("GIT DIFF (uncommitted changes)"), "")
     b.task(lambda body: block("USER TASK / INSTRUCTIONS", body, ""))
 
 
@@ -243,7 +253,6 @@ def json_records(b: _Builder) -> None:
 
     :func:`json_documents` has the nested form.
     """
-    spec = b.spec
     b.per_pack(
         TOP,
         F.to_json(
@@ -253,7 +262,7 @@ def json_records(b: _Builder) -> None:
                 F.col("total_files").alias("totalFiles"),
                 F.col("total_tokens").alias("totalTokens"),
                 F.coalesce("tech_stack", F.array().cast("array<string>")).alias("techStack"),
-                F.lit(resolve_persona(spec.persona) if spec.persona else None).cast("string").alias("persona"),
+                "persona",
                 F.col("redactions").alias("redactedSecrets"),
                 F.lit(fixed.BRAND).alias("generator"),
             ),
@@ -282,7 +291,7 @@ def json_records(b: _Builder) -> None:
         return lambda body: F.to_json(F.struct(F.lit(kind).alias("type"), body.alias("text")))
 
     b.log(record("gitLog"))
-    b.diff(record("gitDiff"))
+    b.diff(piece=record("gitDiff"))
     b.task(record("task"))
 
 
@@ -380,7 +389,8 @@ def with_lines(plan: Pack) -> DataFrame:
 def _volumes(rows: DataFrame, max_bytes: int, separator: str) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("byte_offset", "text")))
     return rows.groupBy("pack_id", F.floor(F.col("byte_offset") / max_bytes).alias("volume")).agg(
-        F.array_join(F.transform(ordered, lambda s: s["text"]), separator).alias("document")
+        F.array_join(F.transform(ordered, lambda s: s["text"]), separator).alias("document"),
+        F.min("section").alias("first_section"),
     )
 
 
@@ -391,14 +401,14 @@ def volumes(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     the limit by more than one section; a pack below the limit is one volume.
     Joining a pack's volumes with line feeds gives the whole document.
     """
-    return _volumes(located(plan), max_bytes, "\n")
+    return _volumes(located(plan), max_bytes, "\n").drop("first_section")
 
 
 def tree_volumes(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """Only the tree, in volumes (K6); its lines are short, so they are measured as they are."""
     rows = tree_sections(plan)
     narrow = rows.select("pack_id", *SECTION_ORDER, F.lit(1).alias("n_lines"), F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return _volumes(rows.join(_offsets(narrow, "\n").select(*SECTION_KEY, *OFFSETS), SECTION_KEY), max_bytes, "\n")
+    return _volumes(rows.join(_offsets(narrow, "\n").select(*SECTION_KEY, *OFFSETS), SECTION_KEY), max_bytes, "\n").drop("first_section")
 
 
 def json_sections(b: _Builder) -> None:
@@ -424,7 +434,7 @@ def json_sections(b: _Builder) -> None:
         totalFiles=F.col("total_files").cast("string"),
         totalTokens=F.col("total_tokens").cast("string"),
         techStack=listed,
-        persona=string(F.lit(resolve_persona(spec.persona) if spec.persona else None).cast("string")),
+        persona=string(F.col("persona")),
         redactedSecrets=F.col("redactions").cast("string"),
         generator=string(F.lit(fixed.BRAND)),
     )
@@ -454,17 +464,29 @@ def json_sections(b: _Builder) -> None:
 
     none = plan.totals.select("pack_id").limit(0)
     log = none.withColumn("body", F.lit("")) if plan.log is None else _log_bodies(plan.log)
-    diffs = none.withColumn("diff", F.lit("")) if plan.diffs is None else plan.diffs
-    ends = b.packs.join(log, "pack_id", "left").join(diffs.filter(~text.is_blank(F.col("diff"))), "pack_id", "left")
-    closing = fields(2, task=string(F.lit(task_text(spec)).cast("string")), gitDiff=string(F.col("diff")), gitLog=string(F.col("body")))
-    b.add(ends, END, F.concat(F.lit("\n  ],\n"), closing, F.lit("\n}")))
+    ends = b.packs.join(log, "pack_id", "left")
+    closing = fields(2, task=string(F.col("task_body")), gitLog=string(F.col("body")))
+    pieces = None if plan.diffs is None else diff_pieces(plan.diffs)
+    if pieces is None:
+        b.add(ends, END, F.concat(F.lit("\n  ],\n"), closing, F.lit(',\n  "gitDiff": null\n}')))
+        return
+    place = F.struct(path_key("path", spec.collation), "entry")
+    first = pieces.groupBy("pack_id").agg(F.min_by("entry", place).alias("_first"))
+    ends = ends.join(first, "pack_id", "left")
+    some = F.col("_first").isNotNull()
+    b.add(ends, LOG, F.concat(F.lit("\n  ],\n"), closing, F.lit(',\n  "gitDiff": '), F.when(some, F.lit('"')).otherwise(F.lit("null"))))
+    # line feeds between pieces are part of the one string they make
+    marked = join_per_pack(pieces, first, ["pack_id"], spread_by="entry").withColumn("_json", string(F.col("diff")))
+    piece = F.concat(F.when(F.col("entry") == F.col("_first"), F.lit("")).otherwise(F.lit("\\n")), escaped)
+    b.add(marked, DIFF, piece, F.col("entry"), F.array(path_key("path", spec.collation)))
+    b.add(ends, END, F.concat(F.when(some, F.lit('"')).otherwise(F.lit("")), F.lit("\n}")))
 
 
 def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """The nested JSON document of every pack, whole, in volumes of about ``max_bytes`` (K4).
 
     A pack's volumes follow each other without a separator; a pack below the
-    size is one volume.
+    size is one volume.  ``first_section`` is the section a volume begins in.
     """
     return _volumes(located(plan, json_sections, ""), max_bytes, "")
 
@@ -472,18 +494,28 @@ def json_documents(plan: Pack, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
 def json_rows(documents: DataFrame) -> DataFrame:
     """(pack_id, kind, value): what nested JSON documents hold, read volume by volume (K4).
 
-    Kinds are ``metadata``, ``tree`` (a line each), ``file`` and ``closing``; but
-    for tree lines a value is a JSON object.  A volume is made of whole sections
-    and a line feed inside a JSON string is escaped, so line feeds tell the
-    layout and no volume needs another one: a pack is never put together.
+    Kinds are ``metadata``, ``tree`` and ``diff`` (a line each), ``file`` and
+    ``closing`` (task and log); but for lines a value is a JSON object.  A volume
+    is made of whole sections and a line feed inside a JSON string is escaped, so
+    line feeds and the first section tell the layout and no volume needs another
+    one: a pack is never put together.
     """
-    doc = F.col("document")
+    doc, first = F.col("document"), F.col("first_section")
+    none = F.array().cast("array<string>")
+
+    def unescaped(pattern: str, *goes_on: int) -> Column:
+        """Lines of a JSON string that begins by ``pattern``, or goes on from the volume before in these sections."""
+        opened = F.regexp_extract_all(doc, F.lit(pattern + r'([^"\n\\]*+(?:\\.[^"\n\\]*+)*+)(?:"|\z)'), F.lit(1))
+        rest = F.regexp_extract(doc, r'\A([^"\n\\]*+(?:\\.[^"\n\\]*+)*+)(?:"|\z)', 1)
+        pieces = F.concat(F.when(first.isin(*goes_on), F.array(rest)).otherwise(none), opened)
+        texts = F.transform(pieces, lambda p: F.from_json(F.concat(F.lit('["'), p, F.lit('"]')), "array<string>")[0])
+        return F.filter(F.flatten(F.transform(texts, lambda t: F.split(t, "\n", -1))), lambda line: line != "")
+
     top = F.regexp_extract(doc, r'(?s)\A\{\n  "metadata": (\{.*?\n  \}),\n  "tree": "', 1)
-    shape = r'(?:\A\{\n(?s:.*?)\n  "tree": "|\A(?=[\\├└]))([^\n]*?)(?:",\n  "files": \[\n|\z)'
-    string = F.concat(F.lit('["'), F.regexp_extract(doc, shape, 1), F.lit('"]'))
-    branches = F.filter(F.split(F.from_json(string, "array<string>")[0], "\n", -1), lambda line: line != "")
+    branches = unescaped(r'(?m)\n  "tree": "', TREE, META)
+    changes = unescaped(r'(?m)\n  "gitDiff": "', DIFF)
     entries = F.regexp_extract_all(doc, F.lit(r"(?m)^    \{\n(?:      [^\n]*+\n){6}    \}"), F.lit(0))
-    end = F.regexp_extract(doc, r'(?s)\n  \],\n(  "task".*)\z', 1)
+    end = F.regexp_extract(doc, r'(?s)\n  \],\n(  "task".*?),\n  "gitDiff": ', 1)
 
     def one(value: Column) -> Column:
         return F.filter(F.array(value), lambda v: v != "")
@@ -491,8 +523,8 @@ def json_rows(documents: DataFrame) -> DataFrame:
     def of(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    closing = F.transform(one(end), lambda v: F.concat(F.lit("{"), v))
-    found = F.concat(of("metadata", one(top)), of("tree", branches), of("file", entries), of("closing", closing))
+    closing = F.transform(one(end), lambda v: F.concat(F.lit("{"), v, F.lit("}")))
+    found = F.concat(of("metadata", one(top)), of("tree", branches), of("file", entries), of("diff", changes), of("closing", closing))
     return documents.select("pack_id", F.inline(found))
 
 

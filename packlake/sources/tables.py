@@ -89,6 +89,37 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_id, path, part, diff): the removal of every toxic document, its file header and its one hunk apart."""
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    docs = documents(spark, sf_dir, "doc_id", "lang", "source", "text").join(toxic, "doc_id", "left_semi")
+    head = F.concat(F.lit("--- a/"), document_path(), F.lit("\n+++ /dev/null"))
+    n = (F.regexp_count("text", F.lit("\n")) + 1).cast("string")
+    hunk = F.concat(F.lit("@@ -1,"), n, F.lit(" +0,0 @@\n-"), F.replace("text", F.lit("\n"), F.lit("\n-")))
+    pieces = F.posexplode(F.array(head, hunk)).alias("part", "diff")
+    return docs.select(F.col("source").alias("pack_id"), document_path().alias("path"), pieces)
+
+
+def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_id, persona, recipe, task): choices of single packs, by the last letter of their name."""
+    kind = F.ascii(F.right("source", F.lit(1))) % 5
+    return table(spark, sf_dir, "documents").select("source").distinct().select(
+        F.col("source").alias("pack_id"),
+        F.when(kind == 0, "SEC").when(kind == 1, "refactor").alias("persona"),
+        F.when(kind == 2, "Audit").alias("recipe"),
+        F.when(kind == 3, " \t").when(kind == 4, F.concat(F.lit("Look at "), "source")).alias("task"),
+    )
+
+
+def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credential-shaped files, one for every ninth document, with its text."""
+    docs = documents(spark, sf_dir, "doc_id", "source", "text").filter("doc_id % 9 = 4")
+    path = F.concat(F.lit("deploy/doc_"), F.col("doc_id").cast("string"), F.lit(".pem"))
+    return docs.select(
+        F.col("source").alias("pack_id"), path.alias("path"), F.octet_length("text").cast("bigint").alias("size_bytes"), F.col("text").alias("content")
+    )
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per event in the pack of its user's document."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")

@@ -14,8 +14,8 @@ SORTS = ("path", "churn", "size")
 class PackSpec:
     """What to select, how to shape it, how to render it.
 
-    One spec applies to every pack of the corpus; per-pack choices (persona,
-    recipe, task) may instead come as columns of a ``packs`` table.
+    One spec applies to every pack of the corpus; persona, recipe and task of
+    single packs may come as columns of the ``packs`` table of ``pack()``.
     """
 
     scan_paths: list[str] = field(default_factory=list)
@@ -66,6 +66,10 @@ class PackSpec:
     def max_file_bytes(self) -> int:
         return self.max_file_kb * 1024
 
+    @property
+    def shapes(self) -> bool:
+        return self.compress or self.remove_comments or self.remove_blank_lines
+
     def root_rules(self) -> list[str]:
         """Ignore rules added after those of the rule files."""
         rules = list(self.excludes)
