@@ -5,7 +5,9 @@ and notice names the one it cannot do without, and the regex is made of these.
 The words of the other texts are written out with single blanks, and each rule
 whose own keyword begins one of them is matched.  Rules are ordered by priority;
 a detection goes if another one contains it, or overlaps it with a better
-priority.
+priority.  Detections are sorted by their start and meet in blocks of ``BLOCK``:
+only blocks whose places overlap are compared, so a list of thousands of
+licenses costs little more than its length.
 
 The rules come from a table of licenses and a table of phrasings: every license
 name in every phrasing, several hundred rules in all.  A few base phrases are
@@ -127,6 +129,16 @@ NOTICES = [
     ("mit", "permission", 1, 1.0, "permission (?:is|to)", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "permission", 1, 1.0, "permission (?:is|to)", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", 1, 1.0, "redistribution and", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache-2", "contributor", 1, 1.0, "licen[cs]", "licen[cs]ed to the apache software foundation (?:asf )?under one or more contributor license agreements"),
+    ("gpl", "free", 1, 1.0, "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "free", 1, 1.0, "free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl-3", "affero", 1, 1.0, "affero", "it under the terms of the gnu affero general public license"),
+    ("mpl-2", "mozilla", 1, 1.0, "source code form", "this source code form is subject to the terms of the mozilla public license(?: version| v)? 2(?: 0)?"),
+    ("epl-1", "eclipse", 1, 1.0, "accompanying materials", "the accompanying materials are made available under the terms of the eclipse public license(?: version| v)? 1(?: 0)?"),
+    ("epl-2", "eclipse", 1, 1.0, "accompanying materials", "the accompanying materials are made available under the terms of the eclipse public license(?: version| v)? 2(?: 0)?"),
+    ("bsl-1", "organization", 1, 1.0, "permission (?:is|to)", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("unlicense", "unencumbered", 1, 1.0, "unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("ofl-1.1", "font", 1, 1.0, "font software", "this font software is licensed under the sil open font license(?: version)? 1 1"),
 ]
 
 
@@ -150,6 +162,7 @@ def _gate() -> str:
 
 
 GATE = _gate()
+BLOCK = 128
 RULE_TYPE = "array<struct<label:string,keyword:string,priority:int,score:double,regex:string>>"
 
 
@@ -161,28 +174,54 @@ def _n_words(piece: Column) -> Column:
     return F.size(F.filter(F.split(piece, F.lit(" ")), lambda w: w != ""))
 
 
+def _blocks(values: Column) -> Column:
+    """``values``, not empty, in runs of ``BLOCK``."""
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+
+
+def _running(values: Column) -> Column:
+    """Sums of ``values``, not empty, up to each of them: inside blocks, then over blocks."""
+    kind = "struct<total:int,out:array<int>>"
+
+    def sums(block: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            total = state["total"] + x
+            return F.struct(total.alias("total"), F.concat(state["out"], F.array(total)).alias("out")).cast(kind)
+
+        return F.aggregate(block, F.struct(F.lit(0).alias("total"), F.array().alias("out")).cast(kind), step, lambda s: s["out"])
+
+    def joined(inside: Column) -> Column:
+        before = sums(F.transform(inside, lambda b: F.element_at(b, -1)))
+        shifted = lambda b, at: F.transform(b["own"], lambda x: x + F.when(b["k"] == 0, 0).otherwise(F.get(at, b["k"] - 1)))
+        numbered = F.transform(inside, lambda b, k: F.struct(b.alias("own"), k.alias("k")))
+        return _let(before, lambda at: F.flatten(F.transform(numbered, lambda b: shifted(b, at))))
+
+    return _let(F.transform(_blocks(values), sums), joined)
+
+
 def _occurrences(normal: Column, rule: Column) -> Column:
     """array<struct<start, stop, priority, score, label>> of a rule's matches, in word numbers."""
-    kind = "struct<at:int,out:array<struct<start:int,stop:int,priority:int,score:double,label:string>>>"
+    kind = "array<struct<start:int,stop:int,priority:int,score:double,label:string>>"
 
     def place(matches: Column, gaps: Column) -> Column:
-        def step(state: Column, k: Column) -> Column:
-            def with_start(start: Column) -> Column:
-                stop = start + _n_words(F.get(matches, k))
-                hit = F.struct(
-                    start.alias("start"), stop.alias("stop"), rule["priority"].alias("priority"), rule["score"].alias("score"), rule["label"].alias("label")
+        lengths = F.transform(matches, _n_words)
+        between = F.transform(F.slice(gaps, 1, F.size(matches)), _n_words)
+
+        def hits(length: Column, stop: Column, gap: Column) -> Column:
+            def one(n: Column, k: Column) -> Column:
+                end = F.get(stop, k) + F.get(gap, k)
+                return F.struct(
+                    (end - n).alias("start"), end.alias("stop"), rule["priority"].alias("priority"), rule["score"].alias("score"), rule["label"].alias("label")
                 )
-                return F.struct(stop.alias("at"), F.concat(state["out"], F.array(hit)).alias("out")).cast(kind)
 
-            return _let(state["at"] + _n_words(F.get(gaps, k)), with_start)
+            return F.transform(length, one).cast(kind)
 
-        first = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda s: s["out"])
+        return _let(lengths, lambda n: _let(_running(n), lambda stop: _let(_running(between), lambda gap: hits(n, stop, gap))))
 
-    none = F.array().cast(kind.removeprefix("struct<at:int,out:").removesuffix(">"))
     return _let(
         F.regexp_extract_all(normal, rule["regex"], F.lit(0)),
-        lambda m: F.when(F.size(m) == 0, none).otherwise(_let(F.split(normal, rule["regex"], -1), lambda gaps: place(m, gaps))),
+        lambda m: F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(_let(F.split(normal, rule["regex"], -1), lambda gaps: place(m, gaps))),
     )
 
 
@@ -203,18 +242,30 @@ def _base_places(words: Column) -> Column:
 
 
 def _suppressed(found: Column) -> Column:
-    """Detections that no other one contains, or overlaps with a better priority."""
+    """Detections, by start, that no other one contains, or overlaps with a better priority."""
 
-    def beaten(h: Column) -> Column:
+    def beaten(h: Column, near: Column) -> Column:
         def beats(g: Column) -> Column:
             contains = (g["start"] <= h["start"]) & (g["stop"] >= h["stop"]) & (g["stop"] - g["start"] > h["stop"] - h["start"])
             overlaps = (g["start"] < h["stop"]) & (h["start"] < g["stop"])
             within = (h["start"] <= g["start"]) & (h["stop"] >= g["stop"]) & (h["stop"] - h["start"] > g["stop"] - g["start"])
             return contains | (overlaps & ~within & (g["priority"] < h["priority"]))
 
-        return F.exists(found, beats)
+        return F.exists(near, beats)
+
+    def spanned(rows: Column) -> Column:
+        return F.struct(rows.alias("rows"), F.get(rows["start"], 0).alias("low"), F.array_max(rows["stop"]).alias("end"))
+
+    def left(blocks: Column) -> Column:
+        def of_block(b: Column) -> Column:
+            touching = F.filter(blocks, lambda other: (other["low"] < b["end"]) & (b["low"] < other["end"]))
+            near = F.flatten(F.transform(touching, lambda other: other["rows"]))
+            return _let(near, lambda rows: F.filter(b["rows"], lambda h: ~beaten(h, rows)))
+
+        return F.flatten(F.transform(blocks, of_block))
 
-    return F.filter(found, lambda h: ~beaten(h))
+    by_start = _let(F.sort_array(found), lambda rows: _let(F.transform(_blocks(rows), spanned), left))
+    return F.when(F.size(found) == 0, found).otherwise(by_start)
 
 
 def scan(docs: DataFrame) -> DataFrame:

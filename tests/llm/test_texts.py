@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 from re import _constants, _parser
 
@@ -421,3 +422,24 @@ def test_licenses_each_rule_alone(documents):
     got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.scan(documents(rows)).collect())
     assert [str(x) for x in got] == [str((d, *plain_scan(t))) for d, t in rows]
     assert all(r[-2] and r[-1] > 0 for r in got)
+
+
+def test_licenses_many_in_one_text(documents):
+    """More detections than fit a block, overlapping over its borders, and at most five times the time for four times as many."""
+    pick = random.Random(5)
+    phrases = ["licensed under the apache license version 2.0", "under the mit license", "cc by nc sa 4.0 license", "gnu general public license", "x", "all rights reserved", "spdx license identifier mpl 2.0"]
+    text = " ".join(pick.choice(phrases) for _ in range(700))
+    rows = [(1, text, "s"), (2, "mit license " * 129, "s"), (3, "mit license " * 128, "s")]
+    got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.scan(documents(rows)).collect())
+    assert got == sorted((k, *plain_scan(t)) for k, t, _ in rows)
+    found = {r.doc_id: [(d.start, d.stop, d.label) for d in r.detections] for r in licenses.scan(documents(rows)).collect()}
+    assert found[2] == [(2 * k, 2 * k + 2, "mit") for k in range(129)]
+    assert found[3] == found[2][:128]
+
+    def seconds(n):
+        start = time.time()
+        licenses.scan(documents([(1, "Licensed under the MIT license, some words. " * n, "s")])).collect()
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(6400) <= 5 * seconds(1600) + 1
