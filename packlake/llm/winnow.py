@@ -13,7 +13,8 @@ The edited text takes its tail from the next document.  Documents meet their
 successor in blocks of neighbouring ids, and each block borrows the first
 document of the next one; the text is shuffled once.  Blocks come from
 ``SEGMENTS`` quantiles of the ids, each cut evenly into blocks of about
-``BLOCK`` rows.
+``BLOCK`` rows.  Rows without an id, and those of an id that fills a segment, are
+a segment of their own, cut by a digest of the text.
 
 Defined cases: a null text is an empty one; the empty text has an empty
 fingerprint; fewer than ``GRAM`` tokens make one hash, fewer than ``WINDOW``
@@ -97,21 +98,25 @@ def likeness(one: Column, other: Column) -> Column:
 def _blocks(ids: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
     """How to add a row's block (seg, sub), and the rows (doc_id, tie, to_seg, to_sub) that blocks borrow.
 
-    A block is a function of the id alone, so that no row meets a table to find
-    its own; only one row of each block is looked up, to be lent.
+    A block is a function of id and tie alone, so that no row meets a table to
+    find its own; only one row of each block is looked up, to be lent.
     """
-    cuts = sorted(set(ids.approxQuantile("doc_id", [k / SEGMENTS for k in range(1, SEGMENTS)], 0.002)))
-    bounds = F.array(*[F.lit(int(c)).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    found = [min(int(c), 2**63 - 1) for c in ids.approxQuantile("doc_id", [k / SEGMENTS for k in range(1, SEGMENTS)], 0.002)]
+    hot = {c for c, following in zip(found, found[1:]) if c == following}  # ids that fill a segment get one of their own
+    cuts = sorted({*found, *[min(c + 1, 2**63 - 1) for c in hot]})
+    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     segment = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
     spans = {r.seg: r for r in ids.groupBy(segment.alias("seg")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
-    numbers = sorted(spans) or [0]  # SEGMENTS + 1 at most
-    width = {k: max(1.0, (float(r.high) - float(r.low) + 1) * BLOCK / r.n) if r.low is not None else 1.0 for k, r in spans.items()} or {0: 1.0}
-    low = {k: float(r.low) if r.low is not None else 0.0 for k, r in spans.items()} or {0: 0.0}
+    numbers = sorted(spans) or [0]  # 2 * SEGMENTS + 1 at most
+    width = {k: ((r.high or 0) - (r.low or 0) + 1) * BLOCK / r.n for k, r in spans.items()} or {0: 1.0}
+    low = {k: r.low or 0 for k, r in spans.items()} or {0: 0}
     pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for k in numbers for x in (k, values[k])]), F.col("seg"))
 
     def place(rows: DataFrame) -> DataFrame:
-        sub = F.coalesce(F.floor((F.col("doc_id").cast("double") - pick(low)) / pick(width)), F.lit(0)).cast("bigint")
-        return rows.withColumn("seg", segment).withColumn("sub", sub)
+        part = F.conv(F.substring("tie", 1, 7), 16, 10).cast("double") / 16**7  # rows of one id follow each other by tie
+        exact = F.col("doc_id").cast("decimal(20,0)") - pick(low).cast("decimal(20,0)")  # doubles would mix up neighbours of large ids
+        at = F.coalesce(exact.cast("double"), F.lit(0.0)) + part
+        return rows.withColumn("seg", segment).withColumn("sub", F.floor(at / pick(width)).cast("bigint"))
 
     named = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")
     heads = materialize(place(ids).groupBy("seg", "sub").agg(F.min(named).alias("head")))

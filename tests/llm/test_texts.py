@@ -306,11 +306,29 @@ def alike(a, b):
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("which", ["odd", "sparse", "single"])
-def test_fingerprints(documents, which):
+def crowded_rows():
+    """A third of the rows without an id, a third under one id, the rest around 2**62."""
+    rng = random.Random(12)
+    return [(rng.choice([None, 7, 2**62 + rng.randrange(40)]), text_of(rng, rng.randint(1, 12))) for _ in range(900)]
+
+
+def test_crowded_ids_are_cut_into_blocks(documents, monkeypatch):
+    monkeypatch.setattr(winnow, "BLOCK", 20)
+    ids = documents(crowded_rows()).selectExpr("doc_id", "md5(cast(text AS binary)) AS tie")
+    place, _ = winnow._blocks(ids)
+    sizes = {(r.seg, r.sub): r["count"] for r in place(ids).groupBy("seg", "sub").count().collect()}
+    assert max(sizes.values()) <= 3 * winnow.BLOCK and sum(sizes.values()) == 900
+    order = sorted((r.doc_id is not None, r.doc_id or 0, r.tie, r.seg, r.sub) for r in place(ids).collect())
+    assert [o[3:] for o in order] == sorted(o[3:] for o in order)
+
+
+@pytest.mark.parametrize("which", ["odd", "sparse", "single", "crowded"])
+def test_fingerprints(documents, which, monkeypatch):
     rng = random.Random(11)
+    if which == "crowded":
+        monkeypatch.setattr(winnow, "BLOCK", 20)
     sparse = [(rng.choice([d, d * 1000, -d, 2**62 + d]), rng.choice(["", "ab" * 40, text_of(rng, rng.randint(1, 60)), "same same same same same same same same same same same same"])) for d in range(120)]
-    rows = {"odd": odd_rows(), "sparse": sparse, "single": [(5, "just one text here")]}[which]
+    rows = {"odd": odd_rows(), "sparse": sparse, "single": [(5, "just one text here")], "crowded": crowded_rows()}[which]
     out = winnow.fingerprints(documents(rows)).collect()
     write = lambda f: ",".join(f"{p}:{h:x}" for p, h in f)
     expected = []
