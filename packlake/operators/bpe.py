@@ -1,18 +1,27 @@
 """Exact byte-pair token counts for a given rank table (P3, ``bpe`` mode).
 
-Text is cut into pieces by a native regex and counted per (file, piece), so the
-costly merging runs once per distinct piece, and only for pieces that are not a
-single token already.  Merged lengths can be kept in a table between runs, so that
-a piece is merged once for all corpora counted with the same ranks.
+Text is cut into pieces by a native regex and counted where it is read: a task
+merges the distinct pieces of an Arrow batch, keeps a bounded number of merged
+lengths for its next batches, and hands on one number per row, so that pieces are
+never shuffled.  Pieces that are a single token already need no merging.
+
+Merged lengths can be kept in a table between runs, so that a piece is merged once
+for all corpora counted with the same ranks.  Pieces then meet that table, which has
+no bound, in a join, and are counted per (file, piece) for it.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.operators.spread import join_per_pack
@@ -32,6 +41,8 @@ _PATTERNS = {
     ),
 }
 PATTERNS = {name: pattern.replace("@", _WHITE) for name, pattern in _PATTERNS.items()}
+REMEMBERED = 1 << 18  # merged lengths a task keeps between batches, the last used ones
+REMEMBERED_BYTES = 64  # of longer pieces none is kept, so that what is kept has a bound
 
 
 def load_ranks(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +90,34 @@ def merged_length(piece: bytes, ranks: dict[bytes, int]) -> int:
     return parts
 
 
+def row_tokens(pieces: pa.ListArray, length: Callable[[bytes], int]) -> np.ndarray:
+    """Tokens of every row of ``pieces``; ``length`` is asked once per distinct piece of the batch."""
+    coded = pieces.flatten().cast(pa.binary()).dictionary_encode()
+    lengths = np.fromiter(map(length, coded.dictionary.to_pylist()), "int64", len(coded.dictionary))
+    before = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy()])])
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False))
+    return np.diff(before[ends], prepend=0)
+
+
+def tokens_in_place(pieces: Column, table: Broadcast, remembered: int = REMEMBERED) -> Column:
+    """Tokens of an array of pieces under the ranks of ``table``, merged by the task that reads them."""
+
+    @F.arrow_udf("bigint")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = table.value
+        kept = lru_cache(remembered)(lambda piece: merged_length(piece, known))
+
+        def length(piece: bytes) -> int:
+            if piece in known:
+                return 1
+            return kept(piece) if len(piece) <= REMEMBERED_BYTES else merged_length(piece, known)
+
+        for batch in batches:
+            yield pa.array(row_tokens(batch, length), "int64")
+
+    return counted(pieces)
+
+
 def ranks_id(ranks: DataFrame) -> str:
     """Name of a rank table: its size and a hash that does not depend on the order of its rows."""
     row = ranks.agg(
@@ -105,6 +144,31 @@ def _keep_lengths(unknown: DataFrame, lengths, path: str, ranks: str) -> DataFra
     return kept_lengths(spark, path, ranks)
 
 
+def _counted_with_table(pieces: DataFrame, ranks: DataFrame, table: Broadcast, keys: tuple[str, ...], path: str) -> DataFrame:
+    """(keys, tokens) per distinct piece of a file, by the merged lengths kept below ``path``."""
+
+    @F.pandas_udf("bigint")
+    def lengths(pieces: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = table.value
+        for batch in pieces:
+            yield batch.map(lambda p: merged_length(p.encode(), known)).astype("int64")
+
+    per_file = pieces.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("n"))
+    per_file = materialize(per_file)  # read by the job that keeps new pieces and by the result
+    # tokens that are valid text; adaptive execution broadcasts them if they turn out small
+    single = ranks.filter(F.is_valid_utf8(F.col("token").cast("string"))).select(
+        F.col("token").cast("string").alias("piece"), F.lit(1).cast("bigint").alias("one")
+    )
+    marked = per_file.join(single, "piece", "left")
+    unknown = marked.filter("one IS NULL").select("piece").distinct()
+    unknown = _keep_lengths(unknown, lengths, path, ranks_id(ranks))
+    return marked.filter("one IS NOT NULL").select(*keys, F.col("n").alias("tokens")).unionByName(
+        join_per_pack(marked.filter("one IS NULL"), unknown, ["piece"], "inner", spread_by=keys[-1]).select(
+            *keys, (F.col("n") * F.col("merged")).alias("tokens")
+        )
+    )
+
+
 def count_bpe(
     files: DataFrame,
     ranks: DataFrame,
@@ -121,35 +185,11 @@ def count_bpe(
     rows = ranks.collect()  # one vocabulary: it does not grow with the corpus
     table = spark.sparkContext.broadcast({bytes(r.token): r.rank for r in rows})
 
-    @F.pandas_udf("bigint")
-    def lengths(pieces: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = table.value
-        for batch in pieces:
-            yield batch.map(lambda p: merged_length(p.encode(), known)).astype("int64")
-
     pieces = F.regexp_extract_all("content", F.lit(PATTERNS[encoding]), F.lit(0))
-    per_file = (
-        files.select(*keys, F.explode(pieces).alias("piece"))
-        .groupBy(*keys, "piece")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if pieces_path is not None:
-        per_file = materialize(per_file)  # read by the job that keeps new pieces and by the result
-    # tokens that are valid text; adaptive execution broadcasts them if they turn out small
-    single = ranks.filter(F.is_valid_utf8(F.col("token").cast("string"))).select(
-        F.col("token").cast("string").alias("piece"), F.lit(1).cast("bigint").alias("one")
-    )
-    marked = per_file.join(single, "piece", "left")
-    unknown = marked.filter("one IS NULL").select("piece").distinct()
     if pieces_path is None:
-        unknown = unknown.withColumn("merged", lengths("piece"))
+        counted = files.select(*keys, tokens_in_place(pieces, table).alias("tokens"))
     else:
-        unknown = _keep_lengths(unknown, lengths, pieces_path, ranks_id(ranks))
-    counted = marked.filter("one IS NOT NULL").select(*keys, F.col("n").alias("tokens")).unionByName(
-        join_per_pack(marked.filter("one IS NULL"), unknown, ["piece"], "inner", spread_by=keys[-1]).select(
-            *keys, (F.col("n") * F.col("merged")).alias("tokens")
-        )
-    )
+        counted = _counted_with_table(files.select(*keys, F.explode(pieces).alias("piece")), ranks, table, keys, pieces_path)
     sums = counted.groupBy(*keys).agg(F.sum("tokens").cast("bigint").alias("tokens"))
     return (
         files.select(*keys)

@@ -1,6 +1,11 @@
 """Merged lengths of pieces are kept between runs."""
 
+import random
+import re
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from packlake.operators import bpe
 from packlake.plans import pack
@@ -59,3 +64,52 @@ def test_packs_take_the_table(corpus, ranks, tmp_path):
     plain = pack.pack(files, spec, ranks=ranks).totals.collect()
     for _ in range(2):
         assert pack.pack(files, spec, ranks=ranks, pieces_path=str(tmp_path / "pieces")).totals.collect() == plain
+
+
+def plain_counts(texts, ranks):
+    """By a loop over the pieces of each text; these texts are cut at blanks alone."""
+    known = {bytes(r.token): r.rank for r in ranks.collect()}
+    return [sum(1 if p in known else bpe.merged_length(p, known) for p in re.findall(rb" ?[a-z]+", (t or "").encode())) for t in texts]
+
+
+def test_pieces_are_not_shuffled(spark, corpus, ranks):
+    """What is exchanged is a number per row: it does not grow with the texts."""
+    out = bpe.count_bpe(corpus({"a": "abcdab xy", "b": None, "c": ""}), ranks)
+    exchanged = re.findall(r"Exchange \w+\(([^)]*)", out._jdf.queryExecution().executedPlan().toString())
+    assert exchanged and not any("piece" in keys for keys in exchanged)
+    assert {r.path: r.tokens for r in out.collect()} == {"a": 4, "b": 0, "c": 0}
+
+
+def test_counts_in_place_over_batches_and_forgotten_pieces(spark, ranks):
+    rng = random.Random(3)
+    texts = [None if i % 17 == 0 else " ".join("".join(rng.choice(["ab", "cd", "xy", "q"]) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(40))) for i in range(300)]
+    texts += ["abcdq" * 30, "abcdq" * 30 + " xy"]  # longer than what is kept
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, content string").repartition(3)
+    expected = dict(enumerate(plain_counts(texts, ranks)))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    table = spark.sparkContext.broadcast({bytes(r.token): r.rank for r in ranks.collect()})
+    try:
+        for batch in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {r.path: r.tokens for r in bpe.count_bpe(files, ranks, keys=("path",)).collect()} == expected
+            pieces = F.regexp_extract_all("content", F.lit(bpe.PATTERNS["o200k_base"]), F.lit(0))
+            few = files.select("path", bpe.tokens_in_place(pieces, table, remembered=5).alias("n"))  # null arrays too
+            assert {r.path: r.n for r in few.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_each_distinct_piece_of_a_batch_is_asked_once():
+    asked = []
+    rows = pa.array([["ab", "é", "ab"], None, [], ["é"], ["ab", "z"]], pa.list_(pa.string())).slice(1)
+    assert bpe.row_tokens(rows, lambda p: asked.append(p) or len(p)).tolist() == [0, 0, 2, 3]
+    assert sorted(asked) == [b"ab", b"z", "é".encode()]
+
+
+def test_rows_that_repeat_a_key_and_null_keys(spark, ranks, tmp_path):
+    """Rows of one key count together, as with kept pieces; a null key meets nothing."""
+    rows = [("a", "abcdab"), ("a", "xyz"), ("b", None), (None, "abcd"), (None, "ab")]
+    files = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    for folder in (None, str(tmp_path / "pieces")):
+        got = bpe.count_bpe(files, ranks, keys=("path",), pieces_path=folder).collect()
+        assert sorted((str(r.path), r.tokens) for r in got) == [("None", 0), ("None", 0), ("a", 4), ("a", 4), ("b", 0)]
